@@ -170,17 +170,13 @@ def cutoffs(
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **limits: float) -> DataFrame:
     """One row per document: counts, base_failed, failed rules, kept."""
-    facts = materialise(
-        measured(docs.withColumn("_s", F.coalesce(docs[stratum].cast("string"), F.lit("\0null"))), ("doc_id", "_s", "_t"))
-        if "_t" in docs.columns
-        else measured(docs.withColumn("_s", F.coalesce(docs[stratum].cast("string"), F.lit("\0null"))), ("doc_id", "_s")),
-        "quality",
-    )
+    named = docs.withColumn("_stratum", F.coalesce(docs[stratum].cast("string"), F.lit("\0null")))
+    facts = materialise(measured(named, ("doc_id", "_stratum", *[c for c in ("_t",) if c in docs.columns])), "quality")
     known = labels.select(F.col("doc_id"), (F.col("quality") == 1).alias("good")).where("good is not null and doc_id is not null")
-    rules = cutoffs(facts.join(known, "doc_id").where(~base_failed()), "_s", "good", **limits)
-    # Strata x measures rows: bounded by the number of strata, and checked.
+    rules = cutoffs(facts.join(known, "doc_id").where(~base_failed()), "_stratum", "good", **limits)
+    # One row per stratum.  Catalyst broadcasts it only if its measured size is small.
     by = rules.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("measure", "cutoff"))).alias("_cut"))
-    out = facts.join(F.broadcast(by) if stratum == "lang" else by, facts["_s"] == by["stratum"], "left")
+    out = facts.join(by, facts["_stratum"] == by["stratum"], "left")
     fails = F.filter(
         F.array(*[F.when(step_of(m) >= F.try_element_at("_cut", F.lit(m)), F.lit(m)) for m in MEASURES]), lambda x: x.isNotNull()
     )

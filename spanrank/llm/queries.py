@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanrank.llm import quality, urls
+from spanrank.llm import bpe, compaction, quality, urls
 from spanrank.llm.common import table
 
 
@@ -14,4 +14,20 @@ def op8_url_filters(spark, sf_dir):
     return urls.op8(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op8_url_filters)}
+def op6_bpe_codec(spark, sf_dir):
+    return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
+def op7_compaction(spark, sf_dir):
+    return compaction.op7(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_quality_rules,
+        op6_bpe_codec,
+        op7_compaction,
+        op8_url_filters,
+    )
+}
