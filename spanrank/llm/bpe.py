@@ -34,8 +34,8 @@ NEVER = 1 << 60
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The vocabulary's pre-tokenizer, its \s spelt out (fixed value).
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
-#: Words kept per worker; beyond that the memory starts afresh.
-KEPT_WORDS = 200_000
+#: Words kept per worker; beyond that the older half goes.
+KEPT_WORDS = 400_000
 #: Above these code points Unicode versions may differ: the library's own normaliser and splitter are asked.
 PLAIN = regex.compile(r"[\x00-ɏ‐-‧‰-⁞₠-₿]*+")
 
@@ -47,6 +47,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def halve(memory: dict, most: int, wanted: set) -> None:
+    """Drop the older half of a full memory, but nothing that is wanted now."""
+    if len(memory) > most:
+        for k in list(memory)[: len(memory) // 2]:
+            if k not in wanted:
+                del memory[k]
+
+
 class Codec:
     """A vocabulary with everything found out about it so far."""
 
@@ -169,40 +177,27 @@ class Codec:
         self.merged += int((~good).sum())
         return [x if ok else [self.ids[t] for t in self.merge(m)] for x, ok, m in zip(found, good.tolist(), made, strict=True)]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Chunks (runs without white space, normalised) into the memory."""
-        order = list(chunks)
-        parts = [self.pieces.findall(c) if PLAIN.fullmatch(c) else self.split_slow(c) for c in order]
-        distinct = list({p for x in parts for p in x})
-        ids = dict(zip(distinct, self.tokens(distinct), strict=True))
-        for c, x in zip(order, parts, strict=True):
-            own = [i for p in x for i in ids[p]]
-            self.words[c] = (len(own), " ".join(map(str, own)), " ".join([self.names[i] for i in own]))
-
-    def split_slow(self, chunk: str) -> list[str]:
-        """The library's own pieces; its byte letters are read back."""
-        byte = {c: b for b, c in enumerate(self.letters)}
-        return [bytes(byte[c] for c in p).decode("utf-8") for p, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+    def learn(self, met: set[str]) -> None:
+        """Words (pieces of the pre-tokenizer) into the memory."""
+        halve(self.words, KEPT_WORDS, met)
+        new = list(met - self.words.keys())
+        for p, own in zip(new, self.tokens(new), strict=True):
+            self.words[p] = (len(own), " ".join(map(str, own)), " ".join([self.names[i] for i in own]))
 
-    def chunks(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
+        """The pre-tokenizer's pieces of the normalised text (its white space never gets into a piece)."""
         if PLAIN.fullmatch(text):
-            text = unicodedata.normalize("NFC", text).lower()
-        else:
-            text = self.library.normalizer.normalize_str(text)
-        if regex.search(r"[\x1c-\x1f]", text):  # white space to Python, not to the vocabulary
-            return [c for c in regex.split(f"[{WHITE}]+", text) if c]
-        return text.split()
+            return self.pieces.findall(unicodedata.normalize("NFC", text).lower())
+        byte = {c: b for b, c in enumerate(self.letters)}
+        got = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(byte[c] for c in p).decode("utf-8") for p, _ in got]
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of ids, the ids joined by blanks, and the decoded
         text (the tokens joined: the vocabulary names no decoder)."""
         split = [self.split_special.split(t) if "<|" in t else [t] for t in texts]
-        rows = [[p if p in self.special else self.chunks(p) for p in parts] for parts in split]
-        met = {c for row in rows for p in row if isinstance(p, list) for c in p}
-        new = met - self.words.keys()
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words, new = {}, met
-        self.learn(new)
+        rows = [[p if p in self.special else self.split(p) for p in parts] for parts in split]
+        self.learn(set().union(*(p for row in rows for p in row if isinstance(p, list))))
         out = []
         for row in rows:
             got: list[tuple[int, str, str]] = []
