@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanrank.llm import bpe, compaction, quality, urls
+from spanrank.llm import bpe, compaction, fmindex, quality, suffixes, urls
 from spanrank.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op8_url_filters(spark, sf_dir):
     return urls.op8(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_array_dedup(spark, sf_dir):
+    return suffixes.op4(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark, sf_dir):
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
@@ -22,12 +26,18 @@ def op7_compaction(spark, sf_dir):
     return compaction.op7(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return fmindex.op9(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op3_quality_rules,
+        op4_suffix_array_dedup,
         op6_bpe_codec,
         op7_compaction,
         op8_url_filters,
+        op9_substring_dedup,
     )
 }
