@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from spanrank.llm import bpe, compaction, fmindex, quality, suffixes, urls
+from spanrank.llm import bpe, compaction, fmindex, lines, quality, suffixes, urls
 from spanrank.llm.common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return lines.op1(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +37,7 @@ def op9_substring_dedup(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op3_quality_rules,
         op4_suffix_array_dedup,
         op6_bpe_codec,

@@ -1 +1,30 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB twins of the queries that SQL can express."""
+
+from __future__ import annotations
+
+LINE_DEDUP = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM {documents}
+), c AS (
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), r AS (
+  SELECT a.doc_id, a.i AS i1, b.i AS i2, c.i AS i3, a.line || chr(10) || b.line || chr(10) || c.line AS run
+  FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.j = a.j + 1 JOIN c ON c.doc_id = a.doc_id AND c.j = a.j + 2
+), later AS (
+  SELECT doc_id, i1, i2, i3 FROM r QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i1) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest([i1, i2, i3]) AS i FROM later
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text,
+         count(*) FILTER (WHERE regexp_matches(l.line, '[^\x20\x09-\x0D]')) AS n_lines, count(g.i) AS n_removed
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+)"""
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP.replace("{documents}", "documents")
+    + " SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM kept",
+    "op7_compaction": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+}
