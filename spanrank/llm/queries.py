@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanrank.llm import bpe, compaction, fmindex, lines, quality, suffixes, urls
+from spanrank.llm import bpe, compaction, fmindex, lines, pii, quality, suffixes, urls
 from spanrank.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op9_substring_dedup(spark, sf_dir):
     return fmindex.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark, sf_dir):
+    return pii.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -44,5 +48,6 @@ QUERIES = {
         op7_compaction,
         op8_url_filters,
         op9_substring_dedup,
+        op10_pii,
     )
 }

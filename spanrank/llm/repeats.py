@@ -367,8 +367,8 @@ def repeated_spans(
                 doc, dig = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "digest"))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(dig), pa.array(start), pa.array(windows), blob], names=["key", "doc", "digest", "start", "windows", "blob"])
 
-    # A row that repeats with its id and text is one text here.
-    got = texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "asked").mapInArrow(fetch, pieces_schema).dropDuplicates(["doc", "digest", "start"])
+    # Rows repeated with their id and text give the same places; none counts against itself.
+    got = texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "asked").mapInArrow(fetch, pieces_schema)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches, shape):
@@ -395,7 +395,7 @@ def runs_of(flags: np.ndarray, doc: np.ndarray, dig: np.ndarray, start: np.ndarr
 
 
 #: Bytes of open stretches indexed together.
-SHARD = 8 << 20
+SHARD = 2 << 20
 
 
 def by_key(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:

@@ -206,10 +206,12 @@ def equal_windows(blobs: pa.Array, windows: np.ndarray, doc: np.ndarray, dig: np
     who = number[order]
     offset = np.arange(len(owner)) - heads[owner]
     group = np.cumsum(new)
-    best = np.lexsort((start[owner[who]] + offset[who], dig[owner[who]], doc[owner[who]], group))
-    lead = best[np.append(True, group[best][1:] != group[best][:-1])] if len(best) else best
-    flags = np.ones(len(owner), bool)
-    flags[who[lead]] = False
+    places = np.stack([doc[owner[who]], dig[owner[who]], start[owner[who]] + offset[who]])
+    best = np.lexsort((places[2], places[1], places[0], group))
+    head = np.append(True, group[best][1:] != group[best][:-1]) if len(best) else np.empty(0, bool)
+    least = places[:, best][:, np.flatnonzero(head)[np.cumsum(head) - 1]]
+    flags = np.zeros(len(owner), bool)
+    flags[who[best]] = (places[:, best] != least).any(axis=0)
     return flags
 
 
