@@ -35,7 +35,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: The vocabulary's pre-tokenizer, its \s spelt out (fixed value).
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 #: Words kept per worker; beyond that the older half goes.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 #: Above these code points Unicode versions may differ: the library's own normaliser and splitter are asked.
 PLAIN = regex.compile(r"[\x00-ɏ‐-‧‰-⁞₠-₿]*+")
 
@@ -67,14 +67,16 @@ class Codec:
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(spec["model"]["merges"])}
         self.letters = byte_letters()
-        self.longest = max(map(len, self.ids))
+        #: Every beginning of a token, the end mark aside.
+        self.heads = {t[:k] for t in map(lambda t: t.removesuffix(END), self.ids) for k in range(1, len(t) + 1)}
         self.pieces = regex.compile(PIECES, regex.V0)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.size = max(self.names) + 1
         self.pairs = np.empty(0, np.int64)  # known pairs, sorted: first * size + second
         self.fits = np.empty(0, bool)  # whether merging leaves the pair alone
         self.selfs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, str] = {}  # the ids, joined by blanks
+        self.decoded: dict[str, str] = {}  # the tokens, joined likewise
         self.speculated = self.merged = 0
         self._library = None
 
@@ -98,11 +100,15 @@ class Codec:
         pairs over a linked list, so that no word costs the square of its length."""
         if len(symbols) <= 24:
             out, rank = list(symbols), self.ranks.get
-            while len(out) > 1:
-                best = min(range(len(out) - 1), key=lambda i: rank((out[i], out[i + 1]), NEVER))
-                if rank((out[best], out[best + 1])) is None:
-                    break
-                out[best : best + 2] = [out[best] + out[best + 1]]
+            ranks = [rank(pair, NEVER) for pair in zip(out, out[1:], strict=False)]
+            while ranks and (least := min(ranks)) < NEVER:
+                i = ranks.index(least)
+                out[i] += out.pop(i + 1)
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank((out[i], out[i + 1]), NEVER)
+                if i:
+                    ranks[i - 1] = rank((out[i - 1], out[i]), NEVER)
             return out
         n, out = len(symbols), list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -125,17 +131,23 @@ class Codec:
     def greedy(self, symbols: list[str]) -> list[int] | None:
         """Longest match first, over the letters; None where nothing matches."""
         text, out, at = "".join(symbols), [], 0
+        ids, heads = self.ids.get, self.heads
         end = len(text)
+        body = end - len(END)  # no token ends inside the end mark
         while at < end:
-            for upto in range(min(end, at + self.longest), at, -1):
-                if end - len(END) < upto < end:
-                    continue  # inside the end mark
-                if (i := self.ids.get(text[at:upto])) is not None:
-                    out.append(i)
-                    at = upto
+            found = None
+            for upto in range(at + 1, body + 1):
+                if (part := text[at:upto]) not in heads:
                     break
+                if (i := ids(part)) is not None:
+                    found, stop = i, upto
             else:
+                if (i := ids(text[at:])) is not None:
+                    found, stop = i, end
+            if found is None:
                 return None
+            out.append(found)
+            at = stop
         return out
 
     def stands(self, token: int) -> bool:
@@ -180,9 +192,11 @@ class Codec:
     def learn(self, met: set[str]) -> None:
         """Words (pieces of the pre-tokenizer) into the memory."""
         halve(self.words, KEPT_WORDS, met)
+        halve(self.decoded, KEPT_WORDS, met)
         new = list(met - self.words.keys())
         for p, own in zip(new, self.tokens(new), strict=True):
-            self.words[p] = (len(own), " ".join(map(str, own)), " ".join([self.names[i] for i in own]))
+            self.words[p] = " ".join(map(str, own))
+            self.decoded[p] = " ".join([self.names[i] for i in own])
 
     def split(self, text: str) -> list[str]:
         """The pre-tokenizer's pieces of the normalised text (its white space never gets into a piece)."""
@@ -200,14 +214,16 @@ class Codec:
         self.learn(set().union(*(p for row in rows for p in row if isinstance(p, list))))
         out = []
         for row in rows:
-            got: list[tuple[int, str, str]] = []
+            ids, names = [], []
             for p in row:
                 if isinstance(p, str):
-                    got.append((1, str(self.special[p]), p))
-                else:
-                    got += map(self.words.__getitem__, p)
-            n, ids, names = zip(*got, strict=True) if got else ((), (), ())
-            out.append((sum(n), " ".join(ids), " ".join(names)))
+                    ids.append(str(self.special[p]))
+                    names.append(p)
+                elif p:
+                    ids.append(" ".join(map(self.words.__getitem__, p)))
+                    names.append(" ".join(map(self.decoded.__getitem__, p)))
+            joined = " ".join(ids)
+            out.append((joined.count(" ") + bool(joined), joined, " ".join(names)))
         return out
 
 
