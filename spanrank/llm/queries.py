@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanrank.llm import bpe, compaction, fmindex, lines, pii, quality, suffixes, urls
+from spanrank.llm import bpe, compaction, fmindex, lines, neardup, pii, quality, suffixes, urls
 from spanrank.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_suffix_array_dedup(spark, sf_dir):
     return suffixes.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark, sf_dir):
+    return neardup.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark, sf_dir):
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
         op1_line_dedup,
         op3_quality_rules,
         op4_suffix_array_dedup,
+        op5_minhash_near_dedup,
         op6_bpe_codec,
         op7_compaction,
         op8_url_filters,
