@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanrank.llm import bpe, compaction, fmindex, lines, neardup, pii, quality, suffixes, urls
+from spanrank.llm import bpe, compaction, decontaminate, fmindex, lines, neardup, pii, quality, suffixes, urls
 from spanrank.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_line_dedup(spark, sf_dir):
     return lines.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op2_decontamination,
         op3_quality_rules,
         op4_suffix_array_dedup,
         op5_minhash_near_dedup,
