@@ -6,12 +6,13 @@ slot keeps the shingle of its first arrival, and a shingle drops out once its ne
 arrival is later than every slot's.  Two texts agree in a slot with their
 probability Jaccard, so equal bands of ROWS slots propose candidates.
 
-Texts with the same words are one node.  Every node is verified against the least
-node of each of its bands (exact Jaccard of the shingle sets, at least 0.8), which
-gives classes; then, only in bands that still hold several classes, the nodes
-outside the band's largest class are verified against all nodes of other classes.
-So every candidate pair that could still join two classes is tested, and no group
-is expanded into all its pairs.
+Texts with the same words are one node, and nodes that share bands, directly or
+through others, are a family.  Every node is verified (exact Jaccard of the
+shingle sets, at least 0.8) against its family's centre, the node with the most
+company in its bands.  Nodes that fail are few unless a family really falls apart;
+they are verified, a block of them at a time, against all of their family, which
+streams by.  So every pair that could still join two classes is tested, while only
+links that join classes are ever made into rows.
 
 Defined results: a text with one to four words has one shingle, all of them; a
 text without words (or null) is in no group and its class is its own id; rows of
@@ -37,8 +38,8 @@ WORDS, BANDS, ROWS = 5, 24, 5
 SLOTS = BANDS * ROWS
 #: Similarity, as a fraction of whole numbers.
 SIMILAR = (4, 5)
-#: Members sent to one copy of a pivot.
-PER_PIVOT = 4096
+#: Members sent to one copy of a pivot, and unresolved nodes compared at once.
+PER_PIVOT, BLOCK = 4096, 1024
 
 
 def shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,6 +183,88 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
             return labels
 
 
+def joining(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (pivot, node) that join what a family's centre left apart.
+
+    ``families`` has node, family, and whether the node is resolved.  Each block of
+    unresolved nodes is held by one task while the family streams by."""
+    blocks = families.groupBy("family").agg(F.sum((~F.col("resolved")).cast("long")).alias("left")).where("left > 0").withColumn("blocks", F.ceil(F.col("left") / BLOCK).cast("int"))
+    placed = families.join(blocks.select("family", "blocks"), "family").withColumn("own", F.when(~F.col("resolved"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    rows = placed.join(sets, "node").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", "resolved", "node", "set")
+    rows = rows.withColumn("mine", F.coalesce(F.col("own") == F.col("block"), F.lit(False))).drop("own")
+    dealt = rows.repartition("family", "block").sortWithinPartitions("family", "block", F.col("mine").desc(), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, Held()
+        for batch in batches:
+            sets_ = batch.column("set")
+            flat = sets_.flatten().to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(sets_).to_numpy(zero_copy_only=False))])
+            nodes, mine, solved = (batch.column(c).to_pylist() for c in ("node", "mine", "resolved"))
+            keys = list(zip(batch.column("family").to_pylist(), batch.column("block").to_pylist(), strict=True))
+            out: tuple[list, list] = ([], [])
+            lo = 0
+            while lo < len(keys):
+                hi = lo + 1
+                while hi < len(keys) and keys[hi] == keys[lo]:
+                    hi += 1
+                if keys[lo] != block:
+                    block, held = keys[lo], Held()
+                for k in range(lo, hi):
+                    if mine[k]:
+                        held.add(nodes[k], flat[cuts[k] : cuts[k + 1]])
+                held.compare(nodes[lo:hi], solved[lo:hi], flat[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo], out)
+                lo = hi
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["pivot", "node"])
+
+    return dealt.mapInArrow(run, "pivot binary, node binary")
+
+
+class Held:
+    """A block of unresolved nodes, and which of them are joined already."""
+
+    def __init__(self):
+        self.nodes: list[bytes] = []
+        self.sets: list[np.ndarray] = []
+        self.above: dict[bytes, bytes] = {}
+        self.words = None
+
+    def add(self, node: bytes, values: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.sets.append(values.copy())
+        self.words = None
+
+    def root(self, x: bytes) -> bytes:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def compare(self, nodes: list[bytes], solved: list[bool], flat: np.ndarray, cuts: np.ndarray, out: tuple[list, list]) -> None:
+        """Each held node with all of ``nodes``; links that join two classes go out."""
+        if not self.nodes:
+            return
+        if self.words is None:
+            self.words = np.unique(np.concatenate(self.sets))
+            self.codes = [np.searchsorted(self.words, x) for x in self.sets]
+        sizes = np.diff(cuts)
+        at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
+        known = self.words[at] == flat
+        codes, heads = at[known], np.concatenate([[0], np.cumsum(known)])[cuts]
+        mark = np.zeros(len(self.words), bool)
+        for node, own in zip(self.nodes, self.codes, strict=True):
+            mark[own] = True
+            sums = np.concatenate([[0], np.cumsum(mark[codes], dtype=np.int64)])[heads]
+            mark[own] = False
+            both = np.diff(sums)
+            for k in np.flatnonzero(SIMILAR[1] * both >= SIMILAR[0] * (sizes + len(own) - both)).tolist():
+                # All resolved nodes of a family are in its centre's class.
+                a, b = self.root(node), self.root(b"centre" if solved[k] else nodes[k])
+                if a != b:
+                    self.above[a] = b
+                    out[0].append(node)
+                    out[1].append(nodes[k])
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc, digest, class (the least id of the class) for every row of ``docs``."""
     ship(docs.sparkSession)
@@ -189,24 +272,19 @@ def classes(docs: DataFrame) -> DataFrame:
     told = materialise(banded(texts), "bands")
     nodes = told.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
     members = materialise(nodes.select("node", "doc", F.explode("bands").alias("key")), "band-members")
-    shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     held = materialise(members.join(shared, "key"), "band-groups")
-    star = materialise(held.where("node <> pivot").select("pivot", "node").distinct(), "candidates")
+    family = components(held.where("node <> pivot").select("pivot", "node").distinct()).withColumnRenamed("root", "family")
+    score = held.groupBy("node").agg(F.sum("n").alias("score"), F.min("doc").alias("doc"))
+    placed = materialise(family.join(score, "node"), "families")
+    centre = placed.groupBy("family").agg(F.max_by("node", F.struct("score", "node")).alias("pivot"))
+    star = placed.join(centre, "family").where("node <> pivot").select("pivot", "node")
     # The texts of the nodes that have a candidate at all; a node's text is that of its least document.
-    wanted = held.select("doc").distinct()
-    sets = materialise(shingle_sets(texts.join(wanted, "doc", "left_semi")).join(held.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = materialise(shingle_sets(texts.join(placed.select("doc").distinct(), "doc", "left_semi")).join(placed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     links = materialise(verified(star, sets), "links")
-    roots = components(links)
-    # Bands with several classes left: the smaller classes against the rest.
-    placed = held.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.mode("root", True).alias("main")).where("x <> y").select("key", "main")
-    open_ = placed.join(split, "key")
-    small = open_.where("root <> main").select("key", F.col("node").alias("u"), F.col("root").alias("ru"))
-    rest = open_.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
-    pairs = small.join(rest, "key").where("ru <> rv").select(F.least("u", "v").alias("pivot"), F.greatest("u", "v").alias("node")).distinct()
-    more = materialise(verified(pairs.join(star, ["pivot", "node"], "left_anti"), sets), "links")
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
+    solved = links.select("node").unionByName(centre.select(F.col("pivot").alias("node"))).withColumn("yes", F.lit(True))
+    families = placed.select("node", "family").join(solved, "node", "left").select("node", "family", F.coalesce("yes", F.lit(False)).alias("resolved"))
+    roots = components(links.unionByName(joining(families, sets)))
     where = told.select("doc", "digest", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = where.where("root is not null").groupBy("root").agg(F.min("doc").alias("class"))
     return where.join(least, "root", "left").select("doc", "digest", F.coalesce("class", "doc").alias("class"))
