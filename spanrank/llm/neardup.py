@@ -272,10 +272,14 @@ def classes(docs: DataFrame) -> DataFrame:
     told = materialise(banded(texts), "bands")
     nodes = told.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
     members = materialise(nodes.select("node", "doc", F.explode("bands").alias("key")), "band-members")
-    shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = materialise(members.join(shared, "key"), "band-groups")
-    family = components(held.where("node <> pivot").select("pivot", "node").distinct()).withColumnRenamed("root", "family")
-    score = held.groupBy("node").agg(F.sum("n").alias("score"), F.min("doc").alias("doc"))
+    # A band is held together by its member with the most company, so that a family's
+    # nodes hang on few others.
+    score = materialise(held.groupBy("node").agg(F.sum("n").alias("score"), F.min("doc").alias("doc")), "scores")
+    known = held.select("key", "node").join(score.select("node", "score"), "node")
+    pivot = known.groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("pivot"))
+    family = components(held.join(pivot, "key").where("node <> pivot").select("pivot", "node").distinct()).withColumnRenamed("root", "family")
     placed = materialise(family.join(score, "node"), "families")
     centre = placed.groupBy("family").agg(F.max_by("node", F.struct("score", "node")).alias("pivot"))
     star = placed.join(centre, "family").where("node <> pivot").select("pivot", "node")
