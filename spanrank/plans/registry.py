@@ -1,4 +1,5 @@
 """All queries of the library proper, with their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from spanrank.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
