@@ -23,7 +23,47 @@ WITH l AS (
   FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
 )"""
 
+#: Bytes under a 100-byte string that starts earlier; spans are runs of such windows.
+BYTES = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, substring(hex(b), (2 * i + 1)::BIGINT, 200) AS s FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM
+  (SELECT doc_id, i, sum(apart) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM
+    (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS apart FROM later)) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM runs),
+kept AS (SELECT g.doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substring(hex(b), (2 * since + 1)::BIGINT, (2 * (lo - since))::BIGINT), '' ORDER BY lo) || substring(any_value(hex(b)), (2 * max(hi) + 1)::BIGINT) AS h
+  FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+PASSAGES = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM w JOIN f USING (s) WHERE doc_id > first),
+l AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+k AS (SELECT l.doc_id, string_agg(word, ' ' ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS t, count(g.i) AS n_removed FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+#: Classes of documents whose five-word shingle sets have a Jaccard of 0.8 or more.
+NEAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n m ON m.doc_id = x JOIN n o ON o.doc_id = y WHERE 5 * c >= 4 * (m.n + o.n - c)),
+u AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.y FROM r JOIN u ON u.x = r.b)
+SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a"""
+
 ORACLES: dict[str, str] = {
+    "op4_suffix_array_dedup": BYTES,
+    "op5_minhash_near_dedup": NEAR,
+    "op9_substring_dedup": PASSAGES,
     "op1_line_dedup": LINE_DEDUP.replace("{documents}", "documents")
     + " SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM kept",
     "op7_compaction": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
