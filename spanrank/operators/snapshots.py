@@ -43,10 +43,21 @@ def retired(sections: DataFrame, difference: DataFrame, pairs: DataFrame) -> Dat
     return sections.join(lost, "path", "left_anti")
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` such that it is worked out once: checkpointed where the session names a
+    shared folder (spark.checkpoint.dir), else kept by this process."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+
+
 def numbered(units: DataFrame, base: int, order: tuple[str, ...] = ("path", "start")) -> DataFrame:
     """Units with slots from ``base`` on, in order, without bringing them to one task:
     ranges are sorted by themselves and numbered by what the ranges before them hold."""
-    ranged = units.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    ranged = units.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stable(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
     held = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("low"))
     # One row a partition: bounded by the number of partitions.
     before = held.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

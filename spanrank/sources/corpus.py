@@ -78,4 +78,6 @@ def contents(files: DataFrame) -> DataFrame:
     read = spark.read.format("binaryFile").load([u.replace("[", "\\[").replace("{", "\\{") for u in uris])
     key = lambda c: F.regexp_replace(c, "^file:/+", "/")
     body = read.select(key(F.col("path")).alias("_k"), F.decode("content", "UTF-8").alias("text"), F.xxhash64("content").alias("hash"))
-    return files.withColumn("_k", key(F.col("uri"))).join(body, "_k").drop("_k")
+    # Spark's reader leaves out files without contents.
+    both = files.withColumn("_k", key(F.col("uri"))).join(body, "_k", "left").where((F.col("len") == 0) | F.col("hash").isNotNull())
+    return both.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("hash", F.coalesce("hash", F.xxhash64(F.lit(b"")))).drop("_k")
