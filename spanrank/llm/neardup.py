@@ -66,7 +66,7 @@ def prob_min_hash(text: np.ndarray, value: np.ndarray, weight: np.ndarray, n: in
     k = 0
     while len(value):
         k += 1
-        x = repeats.mix(value + U(k) * C1)
+        x = repeats.mix(value ^ repeats.mix(np.array([k], U)))
         time = time - np.log1p(-((x >> U(11)).astype(np.float64) * 2.0**-53)) / weight
         live = time < limit[text]
         text, value, weight, time, x = text[live], value[live], weight[live], time[live], x[live]

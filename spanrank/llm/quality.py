@@ -101,10 +101,11 @@ def step_of(measure: str) -> Column:
 
 def log_tail(k: str, n: str, p: float) -> str:
     """SQL for ln P(Bin(n, p) <= k), summed exactly, term by term, in logarithms."""
-    odds = f"ln({p!r} / (1 - {p!r}))"
+    one = f"ln(1 - {p!r}D)"  # doubles: a decimal would round
+    odds = f"(ln({p!r}D) - {one})"
     return (
         f"aggregate(sequence(1, greatest(cast({k} as int), 1)), "
-        f"struct({n} * ln(1 - {p!r}) as t, {n} * ln(1 - {p!r}) as s, 0 as i), (a, i) -> "
+        f"struct({n} * {one} as t, {n} * {one} as s, 0 as i), (a, i) -> "
         f"if(i > {k}, a, transform(array(a.t + ln(greatest({n} - i + 1, 1) / i) + {odds}), t -> "
         f"struct(t as t, greatest(a.s, t) + ln(1 + exp(-abs(a.s - t))) as s, i as i))[0])).s"
     )
@@ -149,7 +150,7 @@ def cutoffs(
         .withColumn(
             "admitted",
             F.when(F.col("k") > share * F.col("n_good"), F.lit(False)).otherwise(
-                F.expr(f"if(k = 0, n_good * ln(1 - {share!r}), {log_tail('k', 'n_good', share)})") <= F.col("limit")
+                F.expr(f"if(k = 0, n_good * ln(1 - {share!r}D), {log_tail('k', 'n_good', share)})") <= F.col("limit")
             ),
         )
     )

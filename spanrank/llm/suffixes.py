@@ -129,7 +129,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int, fold
 
 
 def laid_out(queues: list[tuple[Queue, Queue]]) -> np.ndarray:
-    parts = [x for up, down in queues for x in (*up, *reversed(down))]
+    parts = [x for up, down in queues for x in (*up, *[p[::-1] for p in reversed(list(down))])]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
