@@ -12,6 +12,7 @@ from spanrank.functions import embed as E
 from spanrank.functions import text as T
 from spanrank.operators import code, frontmatter, merge, predicates, rank, snapshots, units
 from spanrank.schema import BUDGET
+from spanrank.session import ship
 from spanrank.sources import corpus
 from spanrank.sources.catalog import Catalog
 
@@ -45,6 +46,7 @@ class Settings:
 
 class Index:
     def __init__(self, spark: SparkSession, place: str, embedder=None, settings: Settings | None = None):
+        ship(spark)
         self.spark, self.catalog = spark, Catalog(spark, place)
         self.embedder, self.settings = embedder or E.HashEmbedder(), settings or Settings()
 

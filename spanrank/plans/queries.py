@@ -12,6 +12,7 @@ from spanrank.functions import text as T
 from spanrank.functions import vectors as V
 from spanrank.operators import evaluate, frontmatter, graph, merge, rank, snapshots, units
 from spanrank.operators import predicates as P
+from spanrank.session import ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +24,12 @@ SHOWN = {"start": "first_line", "end": "last_line", "at": "line_no"}
 
 def query(sql: str | None = None):
     def keep(f):
-        QUERIES[f.__name__] = wraps(f)(lambda spark, sf: f(spark, sf).withColumnsRenamed(SHOWN))
+        @wraps(f)
+        def run(spark, sf):
+            ship(spark)
+            return f(spark, sf).withColumnsRenamed(SHOWN)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
