@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanrank.session import ship
+
+__all__ = ["LAST", "SPACE", "materialise", "only", "sha256_hex", "shared_dir", "ship", "table", "text_of", "words_of"]
 #: What separates words everywhere in this subpackage (fixed by the contracts).
 SPACE = r"\x20\x09-\x0D"
 #: Stands for a null id, so that such a row comes last in every order.
@@ -46,19 +47,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of any cluster."""
-    context = spark.sparkContext
-    if getattr(context, "_spanrank_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    place = tempfile.mkdtemp(prefix="spanrank-zip-")
-    atexit.register(shutil.rmtree, place, ignore_errors=True)
-    name = f"spanrank_{uuid.uuid4().hex[:8]}"
-    context.addPyFile(shutil.make_archive(os.path.join(place, name), "zip", root, "spanrank"))
-    context._spanrank_shipped = True
-
-
 def text_of(df: DataFrame) -> Column:
     """The text, a null counting as empty."""
     return F.coalesce(df["text"].cast("string"), F.lit(""))

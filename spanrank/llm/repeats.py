@@ -18,6 +18,7 @@ that a third of all rows share sends one row per batch, not one per copy.
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -214,8 +215,15 @@ def identified(docs: DataFrame) -> DataFrame:
     )
 
 
+def release() -> None:
+    """Let go of the words that an earlier stage of a pipeline has learnt in this worker."""
+    if (kept := sys.modules.get("spanrank.llm.bpe")) is not None:
+        kept._codecs.clear()
+
+
 def pieces(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """A batch cut into runs of rows of about ``most`` bytes of text."""
+    release()
     if not batch.num_rows:
         return
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
