@@ -23,10 +23,9 @@ def trim_end(x: Column) -> Column:
 
 def lines(x: Column) -> Column:
     """Lines without their ends: "\\n" or "\\r\\n" ends one, and none is empty at the end."""
-    raw = F.split(x, "\n", -1)
-    ended = F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
     # A carriage return goes only from lines that a newline ends.
-    return F.transform(ended, lambda s, i: F.when(i < F.size(raw) - 1, F.regexp_replace(s, "\r$", "")).otherwise(s))
+    raw = F.split(F.replace(x, F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    return F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
 
 
 def basename(path: Column) -> Column:

@@ -87,7 +87,8 @@ def grams(words: Column, n: int = 5) -> Column:
 
 def copies(a: DataFrame, b: DataFrame, a_id: str, b_id: str, n: int = 5) -> DataFrame:
     """Pairs with a common run of ``n`` words, and how many distinct ones they share."""
-    split = lambda df, i, name: df.select(F.col(i).alias(name), F.explode(F.array_distinct(grams(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), n))).alias("gram"))
+    words = F.array_remove(F.split(F.lower("text"), r"\s+"), "")  # a column of its own, or each gram would split the text again
+    split = lambda df, i, name: df.select(F.col(i).alias(name), words.alias("_w")).select(name, F.explode(F.array_distinct(grams(F.col("_w"), n))).alias("gram"))
     x, y = split(a, a_id, a_id), split(b, b_id, b_id)
     return x.join(y, "gram").groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
 

@@ -47,7 +47,9 @@ def headings(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     lined = lined.withColumn("_found", F.filter(found, lambda h: h.isNotNull()))
     outside = F.filter("_found", lambda h: F.size(F.filter("_fences", lambda f: f < h["at"])) % 2 == 0)
-    return lined.withColumn("_heads", outside).drop("_found", "_fences")
+    # Without fences nothing has to be counted; and two uses of ``_fences`` keep the
+    # optimiser from working it out anew for every heading.
+    return lined.withColumn("_heads", F.when(F.size("_fences") == 0, F.col("_found")).otherwise(outside)).drop("_found", "_fences")
 
 
 def sections(docs: DataFrame, text: str = "text") -> DataFrame:
