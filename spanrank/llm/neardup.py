@@ -100,7 +100,7 @@ def read_words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def banded(texts: DataFrame) -> DataFrame:
     """doc, digest, node (null without words), bands."""
-    schema = "doc long, digest long, node binary, bands array<long>"
+    schema = "doc long, digest int, node binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,5 +303,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = classes(docs)
     # A text that another document of the same id has too is told by its digest.
     gone = found.where("doc <> class").select(F.col("doc").alias("_doc"), F.col("digest").alias("_digest")).distinct()
-    tagged = docs.withColumn("_k", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))).withColumn("_g", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    tagged = docs.withColumn("_k", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))).withColumn("_g", repeats.text_digest(docs["text"]))
     return tagged.join(gone, (F.col("_k") == F.col("_doc")) & (F.col("_g") == F.col("_digest")), "left_anti").drop("_k", "_g")

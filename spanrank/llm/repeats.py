@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanrank.llm.common import LAST, materialise, ship
@@ -198,19 +198,23 @@ def stretches(symbols: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[n
     return text, start - offsets[text], count, key, content, own
 
 
-STRETCH = "key long, content long, doc long, digest long, start long, windows int, own boolean, seen boolean"
-SPANS = "doc long, digest long, start long, windows int"
+STRETCH = "key long, content long, doc long, digest int, start int, windows int, own boolean, seen boolean"
+SPANS = "doc long, digest int, start int, windows int"
 
 
 def batch_of(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split(" ")[0] for f in schema.split(", ")])
 
 
+def text_digest(text: Column) -> Column:
+    return F.hash(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """doc (the id, a null the largest number), digest (of the text), text."""
+    """doc (the id, a null the largest number), digest (tells texts of one id apart), text."""
     return docs.select(
         F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc"),
-        F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("digest"),
+        text_digest(docs["text"]).alias("digest"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
     )
 
@@ -256,7 +260,7 @@ def all_stretches(texts: DataFrame, symbols: Callable, shape: Shape, same_doc: b
                 else:  # earlier means in a document with a smaller id
                     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
                     seen = same & (owner != owner[head])
-                yield batch_of(STRETCH, key.view(np.int64), content.view(np.int64), owner, dig[text], start, count.astype(np.int32), own & same_doc, seen)
+                yield batch_of(STRETCH, key.view(np.int64), content.view(np.int64), owner, dig[text], start.astype(np.int32), count.astype(np.int32), own & same_doc, seen)
 
     return texts.mapInArrow(run, STRETCH)
 
@@ -360,7 +364,7 @@ def repeated_spans(
     hot = open_.groupBy("key").count().where(F.col("count") > HOT).select("key")
 
     wanted = open_.groupBy("doc", "digest").agg(F.collect_list(F.struct("key", "start", "windows")).alias("asked"))
-    pieces_schema = "key long, doc long, digest long, start long, windows int, blob binary"
+    pieces_schema = "key long, doc long, digest int, start int, windows int, blob binary"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,7 +403,7 @@ def runs_of(flags: np.ndarray, doc: np.ndarray, dig: np.ndarray, start: np.ndarr
     new[1:] &= ~(flags[:-1] & (owner[1:] == owner[:-1]))
     heads, total = np.flatnonzero(new), np.concatenate([[0], np.cumsum(flags)])
     upto = np.append(heads[1:], len(flags)) if len(heads) else heads
-    return batch_of(SPANS, doc[owner[heads]], dig[owner[heads]], place[heads], (total[upto] - total[heads]).astype(np.int32))
+    return batch_of(SPANS, doc[owner[heads]], dig[owner[heads]], place[heads].astype(np.int32), (total[upto] - total[heads]).astype(np.int32))
 
 
 #: Bytes of open stretches indexed together.
@@ -450,9 +454,9 @@ def by_window(rows: DataFrame, cut: Callable, shape: Shape, same_doc: bool) -> D
                 part = batch.slice(at, 4096)
                 doc, dig, start, windows = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "digest", "start", "windows"))
                 one, two, owner, place = cut_windows(part.column("blob"), windows, shape)
-                yield batch_of("a long, b long, doc long, digest long, start long", one.view(np.int64), two.view(np.int64), doc[owner], dig[owner], start[owner] + place)
+                yield batch_of("a long, b long, doc long, digest int, start int", one.view(np.int64), two.view(np.int64), doc[owner], dig[owner], (start[owner] + place).astype(np.int32))
 
-    each = rows.mapInArrow(run, "a long, b long, doc long, digest long, start long")
+    each = rows.mapInArrow(run, "a long, b long, doc long, digest int, start int")
     place = F.struct("doc", "digest", "start") if same_doc else F.struct("doc")
     first = each.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     later = each.join(first, ["a", "b"]).where(place > F.col("first"))
