@@ -114,3 +114,19 @@ def bootstrap(rows: DataFrame, value: str, rounds: int = 200, seed: int = 0) ->
     k = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
     means = drawn.withColumn("k", k).groupBy("round").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def leaks_name(question: Column, name: Column, prefix: int = 5) -> Column:
+    """Whether a question gives a name away: some word of it begins like the name."""
+    return F.exists(F.split(F.lower(question), r"[^a-z0-9_]+"), lambda w: (F.length(w) >= prefix) & F.startswith(F.lower(name), F.substring(w, 1, prefix)))
+
+
+def upper_median(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """The middle value, the upper one of two, by an exact discrete percentile from above."""
+    return rows.groupBy(*by).agg((-F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{value})")).alias("median"))
+
+
+def group_sample(rows: DataFrame, by: str, key: str, n: int, seed: str, proposals: DataFrame | None = None) -> DataFrame:
+    """:func:`stratified`, leaving out what has been proposed already."""
+    left = rows if proposals is None else rows.join(proposals.select(key), key, "left_anti")
+    return stratified(left, by, key, n, seed)

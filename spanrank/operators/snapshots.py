@@ -117,3 +117,18 @@ def compatible(meta: DataFrame) -> DataFrame:
     same = F.count_distinct(F.struct("dim", "max_chars", F.coalesce("prefixes", F.lit("")))) <= 1
     proven = (F.count(F.lit(1)) <= 1) | F.min(F.coalesce(F.length("fingerprint") > 0, F.lit(False)))
     return meta.agg((same & proven).alias("compatible"))
+
+
+def upserted(stamps: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stamps with those of ``fresh`` in place of their own paths' old ones."""
+    return stamps.join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
+
+
+def forgotten(stamps: DataFrame, difference: DataFrame) -> DataFrame:
+    """Stamps without those of vanished files."""
+    return stamps.join(difference.where("state = 'gone'").select("path"), "path", "left_anti")
+
+
+def held_duplicates(top: DataFrame, key: list[str]) -> DataFrame:
+    """How many rows a dedup by ``key`` collapses."""
+    return top.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*key))).alias("held"))

@@ -13,6 +13,7 @@ from spanrank.functions import vectors as V
 from spanrank.operators import evaluate, frontmatter, graph, merge, rank, snapshots, units
 from spanrank.operators import predicates as P
 from spanrank.session import ship
+from spanrank.sources import corpus
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -663,6 +664,82 @@ def function_units(spark, sf):
     return code.functions(c.select(F.concat(name, F.lit(".py")).alias("path"), source.alias("text"))).select("path", "start", "end", "heading")
 
 
+# ---------------------------------------------------------------- smaller operators
+@query(f"WITH {LISTINGS} SELECT b.path FROM b LEFT JOIN a ON a.path = b.path WHERE a.path IS NULL OR a.len <> b.len OR a.mtime <> b.mtime")
+def stat_prefilter(spark, sf):
+    """Files that must be opened: no stamp of the same length and time."""
+    old, new = two_listings(spark, sf)
+    return corpus.changed(new.select("path", "len", "mtime"), old).select("path")
+
+
+@query(f"WITH {LISTINGS} SELECT path, mtime FROM b UNION ALL SELECT path, mtime FROM a WHERE path NOT IN (SELECT path FROM b)")
+def upsert_stamps(spark, sf):
+    old, new = two_listings(spark, sf)
+    return snapshots.upserted(old, new).select("path", "mtime")
+
+
+@query(f"WITH {LISTINGS} SELECT path FROM a WHERE path NOT IN (SELECT path FROM df WHERE state = 'gone')")
+def forget_stamps(spark, sf):
+    old, new = two_listings(spark, sf)
+    return snapshots.forgotten(old, snapshots.diff(old, new)).select("path")
+
+
+@query("SELECT count(*) - count(DISTINCT conv_id) AS held FROM conversations")
+def held_duplicates(spark, sf):
+    return snapshots.held_duplicates(table(spark, sf, "conversations"), ["conv_id"])
+
+
+@query("SELECT role, -quantile_disc(-length(text), 0.5)::BIGINT AS median FROM conversations GROUP BY role")
+def unit_size_median(spark, sf):
+    c = table(spark, sf, "conversations").select("role", F.length("text").cast("long").alias("n"))
+    return evaluate.upper_median(c, "n", "role").select("role", F.col("median").cast("long").alias("median"))
+
+
+@query(r"SELECT doc_id, list_aggregate(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda w: length(w) >= 5), lambda w: starts_with(lower('Thention'), substr(w, 1, 5))::INT), 'max') IS NOT DISTINCT FROM 1 AS leaks FROM documents")
+def question_name_leak(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", evaluate.leaks_name(F.col("text"), F.lit("Thention")).alias("leaks"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def untranslated(spark, sf):
+    """Ids of one set that a second one has nothing for."""
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT unnest(['`' || source || '`', upper(lang[1]) || lang[2:] || 'Doc']) AS name FROM documents) GROUP BY name")
+def entity_names(spark, sf):
+    text = F.concat(F.lit("see `"), "source", F.lit("` and "), F.initcap("lang"), F.lit("Doc of it"))
+    names = table(spark, sf, "documents").select(F.explode(graph.names_of(text)).alias("name"))
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {KNN} SELECT count(*) AS edges, round(100.0 * count(*) FILTER (a.label = b.label) / count(*), 6) AS within FROM ke JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst")
+def graph_shares(spark, sf):
+    g = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"))
+    return graph.shares(near(spark, sf), g)
+
+
+@query(f"WITH {KNN}, {UND} SELECT a, b, 'only first' AS side FROM (SELECT * FROM u1 EXCEPT SELECT * FROM u2) UNION ALL SELECT a, b, 'both' FROM (SELECT * FROM u1 INTERSECT SELECT * FROM u2)")
+def graph_set_algebra(spark, sf):
+    e = near(spark, sf)
+    one, two = graph.undirected(e), graph.undirected(e.where("rank <= 2"))
+    return one.exceptAll(two).withColumn("side", F.lit("only first")).unionByName(one.intersect(two).withColumn("side", F.lit("both")))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('j' || doc_id), doc_id) <= 3")
+def control_sample(spark, sf):
+    d, lab = table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels")
+    return evaluate.group_sample(d, "lang", "doc_id", 3, "j", lab)
+
+
+@query("SELECT path, 'fr' AS folder FROM (SELECT lang || '/' || doc_id AS path FROM documents UNION ALL SELECT lang || 'x/' || doc_id FROM documents) WHERE starts_with(path, 'fr/')")
+def path_prefix(spark, sf):
+    d = table(spark, sf, "documents")
+    sides = d.select("lang", "doc_id", F.explode(F.array(F.lit("/"), F.lit("x/"))).alias("side"))
+    names = sides.select(F.concat("lang", "side", F.col("doc_id").cast("string")).alias("path"))
+    return names.where(T.under(F.col("path"), "/fr/")).select("path", F.lit("fr").alias("folder"))
+
+
 # ---------------------------------------------------------------- end to end
 @query()
 def query_end_to_end(spark, sf):
