@@ -17,6 +17,8 @@ that a third of all rows share sends one row per batch, not one per copy.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import sys
 import tempfile
@@ -36,7 +38,7 @@ C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 BASE = U(0x5851F42D4C957F2D)
 INVERSE = U(pow(int(BASE), -1, 2**64))
 #: Symbols worked on at once; longer texts are cut with an overlap of one window.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -225,6 +227,12 @@ def release() -> None:
         kept._codecs.clear()
 
 
+def trim() -> None:
+    """Give freed memory back to the machine: a stage's idle workers would sit on it."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """A batch cut into runs of rows of about ``most`` bytes of text."""
     release()
@@ -236,6 +244,7 @@ def pieces(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatc
         upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, upto - at)
         at = upto
+    trim()
 
 
 def all_stretches(texts: DataFrame, symbols: Callable, shape: Shape, same_doc: bool) -> DataFrame:
@@ -388,6 +397,7 @@ def repeated_spans(
                 doc, dig, start, windows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "digest", "start", "windows"))
                 flags = index(batch.column("blob"), windows, doc, dig, start, folder)
             yield runs_of(flags, doc, dig, start, windows)
+        trim()
 
     usual = got.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(decide, SPANS)
     spans = whole.unionByName(usual).unionByName(by_window(got.join(hot, "key", "left_semi"), cut, shape, same_doc))
@@ -407,7 +417,7 @@ def runs_of(flags: np.ndarray, doc: np.ndarray, dig: np.ndarray, start: np.ndarr
 
 
 #: Bytes of open stretches indexed together.
-SHARD = 2 << 20
+SHARD = 1 << 20
 
 
 def by_key(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
