@@ -1,25 +1,32 @@
 """Quality rules whose cut-offs carry a guarantee (DataFrame functions only).
 
-Each rule measures a document and rejects it at or above a cut-off.  A cut-off
-is admitted only if labelled good documents show, by an exact binomial test,
-that it rejects less than its share of good documents in that stratum.  Per
-(stratum, rule) the cut-offs are tested from the mildest on, stopping at the
-first that fails, so no correction is due inside the sequence; over the
-sequences the error is split evenly (Bonferroni).  The rules' shares add up to
-``risk``, so together they reject less than ``risk`` of the good documents of
-any stratum, with probability ``1 - error``.  Of the admitted cut-offs the one
-is taken that gains most bad documents, counting a good one ``penalty`` times.
+Each rule measures a document and rejects it at or above a cut-off.  The cut-offs
+of all measures stand in one order per stratum, and the joint rule of the first
+so many of them is tested, from the mildest on, by an exact binomial test of
+labelled good documents against the whole ``risk``, stopping at the first that
+fails; so no correction is due inside the sequence, and the error is split evenly
+over the strata (Bonferroni).  The order is fixed without the good labels it is
+tested on: cut-offs that reject fewer good documents of the other strata come
+first, then those of the measure that more of the stratum's bad ones stand out by.
+Every rule inside the last admitted joint rule rejects less than it, so together
+the rules reject less than ``risk`` of the good documents of any stratum, with
+probability ``1 - error``.  Of the admitted cut-offs of a measure the one is taken
+that gains most bad documents, counting a good one ``penalty`` times.
+
+A stratum with too few good labels to admit even a rule that rejects none of them
+(n ln(1 - risk) > ln(error / strata)) is tested together with all others like it;
+what is promised then holds for their documents taken together.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null stratum is a stratum of its own; a stratum with too few labels to admit a
-cut-off gets none and so loses nothing; rows are judged one by one, so repeated
+null stratum is a stratum of its own; where even the pooled strata have too few
+labels, or a stratum has none, it gets no rule and so loses nothing; rows are judged one by one, so repeated
 rows get equal verdicts; labels that repeat count once per row; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanrank.llm.common import materialise, text_of, words_of
@@ -121,52 +128,80 @@ def cutoffs(
 ) -> DataFrame:
     """(stratum, measure, cutoff) of the admitted rules; the rows are bounded by
     strata x measures.  ``labelled`` has the counts, a stratum and a boolean."""
-    long = labelled.where(F.col(good).isNotNull()).select(
-        F.col(stratum).alias("stratum"),
-        F.col(good).alias("good"),
-        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), step_of(m).alias("step")) for m in MEASURES])).alias("_"),
+    steps = F.array(*[step_of(m) for m in MEASURES])
+    known = labelled.where(F.col(good).isNotNull()).select(F.col(stratum).alias("stratum"), steps.alias("steps"), F.col(good).alias("good"))
+    # Labels summed by their steps: few rows, as most documents stand at 0.
+    cells = materialise(
+        known.groupBy("stratum", "steps").agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b")),
+        "quality-cells",
+    )
+    # One row per stratum; those with few good labels share a pool.
+    strata = cells.groupBy("stratum").agg(F.sum("g").alias("n")).join(F.broadcast(cells.agg(F.count_distinct("stratum").alias("n_strata"))))
+    few = F.col("n") * F.log1p(F.lit(-risk)) > F.log(F.lit(error) / F.col("n_strata"))
+    member = strata.select("stratum", F.when(few, F.lit("\0pool")).otherwise(F.concat(F.lit("="), "stratum")).alias("pool"))
+    pooled = cells.join(member, "stratum").groupBy("pool", "steps").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    pools = pooled.groupBy("pool").agg(F.sum("g").alias("n_good"), F.sum("b").alias("n_bad"))
+    tests = pools.agg(F.count(F.lit(1)).alias("n_tests"))
+    # One row per pool and measure: at most STEPS counts each, from here on independent of the corpus' size.
+    rows = (
+        pooled.select("pool", "g", "b", F.posexplode("steps").alias("measure", "step"))
+        .groupBy("pool", "measure", "step")
+        .agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+        .groupBy("pool", "measure")
+        .agg(F.collect_list(F.struct("step", "g", "b")).alias("hist"))
     )
-    counts = long.groupBy("stratum", "_.measure", "_.step").agg(
-        F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b")
-    )
-    # One row per sequence: at most STEPS counts each, from here on independent of the corpus' size.
-    rows = counts.groupBy("stratum", "measure").agg(
-        F.sum("g").alias("n_good"),
-        F.sum("b").alias("n_bad"),
-        F.collect_list(F.struct("step", "g", "b")).alias("hist"),
-    )
-    share = risk / len(MEASURES)
     every = F.expr(
         f"transform(sequence(1, {STEPS - 1}), c -> struct(c as cut, "
         "aggregate(filter(hist, h -> h.step >= c), 0L, (s, h) -> s + h.g) as k, "
-        "aggregate(filter(hist, h -> h.step >= c), 0L, (s, h) -> s + h.b) as hits))"
+        "aggregate(filter(hist, h -> h.step >= c), 0L, (s, h) -> s + h.b) as hits, "
+        "aggregate(filter(hist, h -> h.step = c), 0L, (s, h) -> s + h.b) as own))"
+    )
+    cuts = rows.withColumn("cuts", F.explode(every)).select("pool", "measure", "cuts.*")
+    order = Window.partitionBy("pool").orderBy("elsewhere", F.desc("reach"), "measure", F.desc("cut"))
+    chain = (
+        cuts.withColumn("elsewhere", F.sum("k").over(Window.partitionBy("measure", "cut")) - F.col("k"))
+        .withColumn("reach", F.max("hits").over(Window.partitionBy("pool", "measure")))
+        .where("own > 0")  # a cut-off that no bad document stands at gains nothing over the next
+        .withColumn("rank", F.row_number().over(order))
+    )
+    # For each measure and step the first rule of the order that rejects it.
+    first = chain.groupBy("pool").agg(F.collect_list(F.struct("measure", "cut", "rank")).alias("_c")).select(
+        "pool",
+        F.expr(
+            f"transform(sequence(0, {len(MEASURES) * STEPS - 1}), x -> "
+            f"array_min(transform(filter(_c, e -> e.measure = x div {STEPS} and e.cut <= x % {STEPS}), e -> e.rank)))"
+        ).alias("_first"),
     )
-    strata = counts.select("stratum").distinct().agg(F.count(F.lit(1)).alias("n_strata"))
+    level = F.array_min(F.transform("steps", lambda x, m: F.get("_first", m * STEPS + x)))
+    levels = pooled.join(first, "pool").groupBy("pool", level.alias("rank")).agg(F.sum("g").alias("g"))
+    hist = levels.where("rank is not null").groupBy("pool").agg(F.collect_list(F.struct("rank", "g")).alias("hist"))
     tested = (
-        rows.withColumn("cuts", F.explode(every))
-        .select("stratum", "measure", "n_good", "n_bad", "cuts.*")
-        .join(F.broadcast(strata))  # one row
-        .withColumn("limit", F.log(F.lit(error) / (F.col("n_strata") * len(MEASURES))))
+        chain.select("pool", "rank")
+        .join(hist, "pool")
+        .join(pools, "pool")
+        .join(F.broadcast(tests))  # one row
+        .withColumn("k", F.expr("aggregate(filter(hist, h -> h.rank <= rank), 0L, (s, h) -> s + h.g)"))
         .withColumn(
             "admitted",
-            F.when(F.col("k") > share * F.col("n_good"), F.lit(False)).otherwise(
-                F.expr(f"if(k = 0, n_good * ln(1 - {share!r}D), {log_tail('k', 'n_good', share)})") <= F.col("limit")
+            F.when(F.col("k") > risk * F.col("n_good"), F.lit(False)).otherwise(
+                F.expr(f"if(k = 0, n_good * ln(1 - {risk!r}D), {log_tail('k', 'n_good', risk)})") <= F.log(F.lit(error) / F.col("n_tests"))
             ),
         )
     )
+    # What lies behind the first failure is never reached.
+    stop = tested.groupBy("pool").agg(F.min(F.when(~F.col("admitted"), F.col("rank"))).alias("stop"))
     gain = F.col("hits") / F.greatest("n_bad", F.lit(1)) - penalty * F.col("k") / F.greatest("n_good", F.lit(1))
-    admitted = (
-        tested.groupBy("stratum", "measure")
-        .agg(
-            F.max(F.when(~F.col("admitted"), F.col("cut"))).alias("stop"),
-            F.collect_list(F.struct(gain.alias("gain"), "cut", "admitted", "hits")).alias("all"),
-        )
-        # Tested downwards from the top step: what lies under the first failure is never reached.
-        .withColumn("fit", F.expr("filter(all, x -> x.admitted and x.cut > coalesce(stop, 0) and x.gain > 0)"))
-        .where(F.size("fit") > 0)
-        .select("stratum", "measure", F.array_max("fit")["cut"].alias("cutoff"))
-    )
-    return admitted
+    best = (
+        chain.join(stop, "pool")
+        .where("stop is null or rank < stop")
+        .join(pools, "pool")
+        .select("pool", "measure", F.struct(gain.alias("gain"), "cut").alias("fit"))
+        .where("fit.gain > 0")
+        .groupBy("pool", "measure")
+        .agg(F.max("fit")["cut"].alias("cutoff"))
+    )
+    name = F.element_at(F.array(*map(F.lit, MEASURES)), F.col("measure") + 1)
+    return member.join(best, "pool").select("stratum", name.alias("measure"), "cutoff")
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **limits: float) -> DataFrame:

@@ -134,6 +134,32 @@ def test_quality(spark):
     assert quality.op3(frame(spark, EMPTY), labels).count() == 0
 
 
+def test_quality_with_few_labels(spark):
+    plain = "the cat sat on the mat and then it went to sleep for a very long time "
+    made = [(lang, k, n) for lang, good, bad in (("de", 300, 20), ("fr", 120, 10), ("es", 130, 10)) for k, n in ((1, good), (0, bad))]
+    rows = [(lang, k, plain + " ".join(f"w{i}x{j}" + ("" if k else " ###$") for j in range(20))) for lang, k, n in made for i in range(n)]
+    rows += [("it", None, rows[300][2])]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, _, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, k) for i, (_, k, _) in enumerate(rows)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.op3(docs, labels).collect()}
+    # de stands alone, fr and es have enough labels together; without any there is no rule.
+    assert all(kept[i] == (k != 0) for i, (_, k, _) in enumerate(rows))
+    # 100 good labels show nothing: even a rule that rejects none of them is not admitted.
+    few = labels.where("doc_id < 100 or quality = 0")
+    assert all(r.kept for r in quality.op3(docs, few).collect())
+
+
+def test_quality_joint_risk(spark):
+    # Each of two measures rejects 1 % of the good documents, other ones: 2 % together is too much.
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines")
+    row = lambda s, c, good: (100, 500, s, 0, 0, c, 10, "en", good)
+    good = [row(50 * (i < 20), 50 * (20 <= i < 40), True) for i in range(2000)]
+    bad = [row(50, 0, False)] * 900 + [row(0, 50, False)] * 100 + [row(99, 0, False)] * 5
+    facts = spark.createDataFrame(good + bad, ", ".join(f"{n} long" for n in names) + ", stratum string, good boolean")
+    got = [tuple(r) for r in quality.cutoffs(facts).collect()]
+    assert got == [("en", "symbols", 32)]
+
+
 def test_binomial_tail(spark):
     from math import comb, log
 
