@@ -263,6 +263,22 @@ def test_decontamination(spark):
     assert decontaminate.clean_documents(frame(spark, docs), bench).count() == len(docs) - 5
 
 
+def test_decontamination_by_long_items(spark):
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(3000)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, text(n - 9) + ". " + text(9) + ".") for i, n in enumerate((30, 97, 200, 300, 1500))]
+    some = lambda i, share: " ".join("other" if k % 20 >= 20 * share else w for k, w in enumerate(items[i][1].split()))
+    docs = [(i, text(r.randint(0, 400))) for i in range(60)]
+    docs += [(100 + i, text(150) + " " + t + " " + text(90)) for i, t in items]
+    docs += [(200 + i, text(77) + " " + some(i, 0.8)) for i in (2, 3, 4)]
+    docs += [(300 + i, text(77) + " " + some(i, 0.5)) for i in (2, 3, 4)]
+    docs += [(400, " ".join(items[3][1].split()[:100])), (401, text(50) + " " + " ".join(items[3][1].split()[120:]))]
+    got = collected(decontaminate.op2(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")))
+    assert [(d, i) for d, i, _ in got] == [(100, 0), (101, 1), (102, 2), (103, 3), (104, 4), (202, 2), (203, 3), (204, 4), (401, 3)]
+    assert [s for d, _, s in got if d < 200] == [1.0] * 5
+
+
 @pytest.mark.parametrize("op", [suffixes.op4, fmindex.op9, neardup.op5, lines.op1])
 def test_empty_table(spark, op):
     assert op(frame(spark, EMPTY)).count() == 0
