@@ -1,14 +1,17 @@
 """Source files into functions.
 
-Python is cut by its own parser; languages with braces by declaration patterns and
-counting braces outside strings and comments.  A unit is widened upwards over the
-comments, attributes and decorators directly above it.
+Python is cut by its own parser.  Other languages go through a small scanner: strings,
+comments and preprocessor lines are blanked out, what is left becomes a stream of
+tokens, and every brace that opens a block is asked whether the tokens before it head
+a function.  A block that never closes is an error, and its function is left out.  A
+unit is widened upwards over the comments, attributes and decorators right above it.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from itertools import takewhile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +21,31 @@ LANGUAGES = {
     "rs": "rust", "py": "python", "go": "go", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript",
     "tsx": "typescript", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "swift": "swift", "sh": "bash", "bash": "bash",
 }
+#: How lines begin that belong to the function below them (fixed values).
 ATTACHED = {"rust": ("//", "#["), "python": ("#", "@"), "bash": ("#", "@")}
 OTHERS = ("//", "/*", "*", "@")
-DECLARATION = {
-    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn\s+(\w+)",
-    "go": r"^func\s+(?:\([^)]*\)\s*)?(\w+)",
-    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)",
-    "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)",
-    "swift": r"^\s*(?:\w+\s+)*func\s+(\w+)",
-    "bash": r"^\s*(?:function\s+)?(\w+)\s*\(\)",
+
+#: Words that introduce a function, by language; the others name it before its parameters.
+INTRODUCED = {"rust": "fn", "go": "func", "swift": "func", "bash": "function", "javascript": "function", "typescript": "function"}
+#: Languages in which a name before parameters is enough.
+BY_PARAMETERS = {"javascript", "typescript", "java", "c", "cpp", "bash"}
+#: What stands before parentheses and a block without being a function.
+CONTROL = {"if", "for", "while", "switch", "catch", "with", "return", "synchronized", "elif", "else", "do", "try", "new", "function", "super", "sizeof"}
+
+_STRING = r"\"(?:\\.|[^\"\\])*\""
+_CHARACTER = r"'(?:\\[^\n']+|[^'\\\n])'"
+_SLASHES = r"//[^\n]*|/\*.*?\*/"
+SILENT = {
+    "bash": re.compile(rf"(?<!\S)\#[^\n]*|{_STRING}|'[^']*'", re.S),
+    "rust": re.compile(rf"{_SLASHES}|r(\#*)\".*?\"\1|{_STRING}|{_CHARACTER}", re.S),
+    "go": re.compile(rf"{_SLASHES}|`[^`]*`|{_STRING}|{_CHARACTER}", re.S),
+    "javascript": re.compile(rf"{_SLASHES}|`(?:\\.|[^`\\])*`|{_STRING}|'(?:\\.|[^'\\\n])*'", re.S),
+    "c": re.compile(rf"^[ \t]*\#(?:\\\n|[^\n])*|{_SLASHES}|{_STRING}|{_CHARACTER}", re.S | re.M),
+    "java": re.compile(rf"{_SLASHES}|\"\"\".*?\"\"\"|{_STRING}|{_CHARACTER}", re.S),
 }
-C_LIKE = r"^\s*(?!(?:if|for|while|switch|return|else|do|catch|new)\b)(?:[\w:<>,*&\[\]~]+\s+)+[*&]*([\w:~]+)\s*\([^;]*$"
+SILENT |= {"typescript": SILENT["javascript"], "cpp": SILENT["c"], "swift": SILENT["java"]}
+TOKEN = re.compile(r"\n|[A-Za-z_$][\w$]*|::|=>|\S")
+NAME = re.compile(r"[A-Za-z_$]")
 
 
 def language(path):
@@ -36,13 +53,62 @@ def language(path):
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
-def bare(line: str) -> str:
-    """A line without strings, characters and line comments."""
-    return re.sub(r"//.*$", "", re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'", "", line))
+def tokens(lang: str, source: str) -> list[tuple[str, int]]:
+    """(token, line) of what is neither comment nor literal; a literal keeps its lines and stands as one quote."""
+    out, line = [], 1
+    for m in TOKEN.finditer(SILENT[lang].sub(lambda m: ('"' if m[0][0] in "\"'`r" else " ") + "\n" * m[0].count("\n"), source)):
+        if m[0] == "\n":
+            line += 1
+        else:
+            out.append((m[0], line))
+    return out
+
+
+def headed(lang: str, header: list[tuple[str, int]]) -> tuple[str, int] | None:
+    """(name, first line) if the tokens before a block's brace head a function."""
+    words = [t for t, _ in header]
+    lead = INTRODUCED.get(lang)
+    if lead in words:
+        at = len(words) - 1 - words[::-1].index(lead)
+        k = at + 1
+        if lang == "go" and words[k : k + 1] == ["("]:  # the receiver
+            k = closing(words, k) + 1
+        k += words[k : k + 1] == ["*"]
+        if k < len(words) and NAME.match(words[k]):
+            return words[k], header[at][1]
+    if lang not in BY_PARAMETERS:
+        return None
+    depth = 0
+    for k, t in enumerate(words):
+        if t == "=" and not depth and lang not in ("javascript", "typescript"):
+            return None
+        if t == "(" and not depth and k and NAME.match(words[k - 1]) and words[k - 1] not in CONTROL:
+            first = k - 1
+            while first >= 2 and words[first - 1] in ("::", "~"):
+                first -= 2 if words[first - 1] == "::" else 1
+            before = words[first - 1] if first else ""
+            end = closing(words, k)
+            if before not in ("@", ".", "new", "=") and "=>" not in words[end:] and "=" not in words[end:] and not words[k - 1].startswith("__attribute"):
+                # Where statements end with their line, the header starts with the name's.
+                lines = [n for _, n in header]
+                start = lines[first] if lang in ("javascript", "typescript", "bash") else lines[0]
+                return "".join(words[first:k]), start
+        depth += (t == "(") - (t == ")")
+    return None
+
+
+def closing(words: list[str], at: int) -> int:
+    """Where the parenthesis at ``at`` closes."""
+    depth = 0
+    for k in range(at, len(words)):
+        depth += (words[k] == "(") - (words[k] == ")")
+        if not depth:
+            return k
+    return len(words) - 1
 
 
 def spans(lang: str, source: str) -> list[tuple[int, int, str]]:
-    lines = source.split("\n")
+    """(first line, last line, name) of the functions, by place."""
     if lang == "python":
         try:
             tree = ast.parse(source)
@@ -50,36 +116,32 @@ def spans(lang: str, source: str) -> list[tuple[int, int, str]]:
             return []
         found = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
         return sorted((n.lineno, n.end_lineno, n.name) for n in found)
-    out, pattern = [], re.compile(DECLARATION.get(lang, C_LIKE))
-    for k, line in enumerate(lines):
-        if not (m := pattern.match(line)):
-            continue
-        depth, opened = 0, False
-        for j in range(k, len(lines)):
-            text = bare(lines[j])
-            if not opened and ";" in text.split("{")[0]:
-                break  # a declaration without a body
-            depth += text.count("{") - text.count("}")
-            opened |= "{" in text
-            if opened and depth <= 0:
-                out.append((k + 1, j + 1, m[1]))
-                break
-    return out
-
-
-def widened(lang: str, lines: list[str], start: int) -> int:
-    marks = ATTACHED.get(lang, OTHERS)
-    while start > 1 and lines[start - 2].strip().startswith(marks):
-        start -= 1
-    return start
+    out: list[tuple[int, int, str]] = []
+    blocks: list[tuple[str, int] | None] = []
+    header: list[tuple[str, int]] = []
+    depth = 0  # of parentheses: a semicolon inside them ends nothing
+    for token, line in tokens(lang, source):
+        if token == "{" and not depth:
+            blocks.append(headed(lang, header))
+            header = []
+        elif token == "}" and not depth:
+            if blocks and (head := blocks.pop()):
+                out.append((head[1], line, head[0]))
+            header = []
+        elif token == ";" and not depth or token == ":" and header and header[-1][0] in ("public", "private", "protected"):
+            header = []
+        else:
+            depth = max(0, depth + (token == "(") - (token == ")"))
+            header.append((token, line))
+    return sorted(out)
 
 
 def cut(lang: str, source: str) -> list[tuple[int, int, str, str]]:
-    lines = source.split("\n")
-    out = []
+    """(first line, last line, name, text) of each function and what is attached to it."""
+    lines, marks, out = source.split("\n"), ATTACHED.get(lang, OTHERS), []
     for start, end, name in spans(lang, source):
-        first = widened(lang, lines, start)
-        out.append((first, end, name, "\n".join(lines[first - 1 : end])))
+        above = sum(1 for _ in takewhile(lambda x: x.strip().startswith(marks), reversed(lines[: start - 1])))
+        out.append((start - above, end, name, "\n".join(lines[start - above - 1 : end])))
     return out
 
 
