@@ -245,6 +245,23 @@ def test_pii_finds_unseen(spark):
     assert got[101] == (0, "", 0) and got[3] == (1, "email:22:36", 0)
 
 
+def test_pii_bootstraps_from_what_it_found(spark):
+    rows = [(i, f"hello please write to user{i}@mail.org today") for i in range(20)]
+    rows += [(100 + i, f"hello please write to user{i}(at)mail today") for i in range(8)]  # beside seeds
+    rows += [(400 + i, f"signed by user{i}(at)mail for good") for i in range(5)]  # the same words elsewhere
+    rows += [(200 + i, f"we asked of boss{i}(at)mail about it") for i in range(5)]  # their shape elsewhere
+    rows += [(300 + i, f"in the year {1900 + i} we met") for i in range(20)] + [(500, "hello please write to 1999 today")]
+    rows += [(600, "x please 5 write7 user1(at)mail"), (601, "user2@mail.org")]
+    got = {r.doc_id: r.n_found for r in pii.op10(frame(spark, rows)).collect()}
+    assert {i for i, n in got.items() if n} == {*range(100, 108), *range(400, 405), *range(200, 205)}
+
+
+@pytest.mark.parametrize("text", ["w" * 10**6 + " 1 " + "x" * 10**6 + "1", "1 " * 50000, "." * 10**6 + "1.", "9" * 10**6, "9 " * 10**5, "@" * 10**5, "+1" * 10**4, "a1@b.cd " * 20000])
+def test_pii_in_long_texts(spark, text):
+    got = tuple(pii.op10(frame(spark, [(1, text)])).first()[1:6])
+    assert got == brute.base_pii(text) if len(text) < 10**6 else got[:4] == (0, 0, 0, 0)
+
+
 def test_decontamination(spark):
     r = random.Random(3)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(400)]
