@@ -1,15 +1,20 @@
 """Substring dedup: 13-word windows that also start in a document with a smaller id.
 
 Stretches of windows (see :mod:`spanrank.llm.repeats`) bring together what can be
-equal.  The open ones of a shard become one text over word numbers; its
-Burrows-Wheeler transform stands in a wavelet matrix of packed bits with counts
-per 64 bits, which is the shard's FM-index.  Every window of the documents
-streamed to the shard is searched backwards, all of them a word at a time; the
-matches that reach 13 words are intervals of suffixes, and a window is repeated
-if its interval has a document with a smaller id.
+equal.  The different ones of a shard become one text over word numbers (words told
+apart by their bytes); its Burrows-Wheeler transform stands in a wavelet matrix of
+packed bits with counts per 64 bits, which is the shard's FM-index, beside the least
+document of any interval of suffixes.
+
+The documents' stretches are streamed against it, a block at a time.  Backward search
+gives each place its matching statistic: the most words before it, as far as the
+threshold, that also stand in a document with a smaller id.  A search ends where its
+interval has no such document left, and the places whose statistic reaches the
+threshold end the intervals that are reported.
 
 Defined results: a null text has no words; fewer than 13 words lose nothing; rows
-with one id are one document to each other; a null id counts as the largest.
+with one id are one document to each other; a null id counts as the largest; a very
+long text or word is treated like any other.
 """
 
 from __future__ import annotations
@@ -83,43 +88,63 @@ class FMIndex:
         """The intervals of symbol + pattern, from those of the patterns."""
         return self.first[symbol] + self.wavelet.rank(symbol, low), self.first[symbol] + self.wavelet.rank(symbol, high)
 
-    def search(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search from each end: the interval and how far it got (``length`` at most)."""
+    def statistics(self, text: np.ndarray, ends: np.ndarray, owner: np.ndarray, threshold: int) -> np.ndarray:
+        """For each end in a streamed text of ``owner`` the most words before it, ``threshold``
+        at most, that also stand in a smaller document (``hold`` names the suffixes')."""
+        out = np.zeros(len(ends), np.int64)
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.suffixes), np.int64)
-        matched = np.zeros(len(ends), np.int64)
         live = np.arange(len(ends))
-        for k in range(length):
+        for k in range(threshold):
             symbol = text[ends[live] - 1 - k]
-            a, b = self.step(symbol, low[live], high[live])
-            go = (a < b) & (symbol > 0)
-            live, a, b = live[go], a[go], b[go]
-            low[live], high[live] = a, b
-            matched[live] += 1
-        return low, high, matched
+            low, high = self.step(symbol, low, high)
+            go = np.flatnonzero((low < high) & (symbol > 0))
+            go = go[self.least.between(low[go], high[go]) < owner[live[go]]]
+            live, low, high = live[go], low[go], high[go]
+            out[live] = k + 1
+        return out
+
+    def hold(self, whose: np.ndarray) -> None:
+        """Note whose each suffix is."""
+        self.least = Least(whose[self.suffixes])
+
+
+class Least:
+    """The least of any interval, from the least of each power of two."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while len(self.levels[-1]) > (half := 1 << (len(self.levels) - 1)):
+            self.levels.append(np.minimum(self.levels[-1][:-half], self.levels[-1][half:]))
+
+    def between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least of [low, high), none empty."""
+        out, depth = np.empty(len(low), self.levels[0].dtype), np.frexp((high - low).astype(np.float64))[1] - 1
+        for k in np.unique(depth).tolist():
+            here = np.flatnonzero(depth == k)
+            out[here] = np.minimum(self.levels[k][low[here]], self.levels[k][high[here] - (1 << k)])
+        return out
+
+
+#: Places searched at once.
+STREAMED = 1 << 16
 
 
 def earlier_elsewhere(blobs: pa.Array, windows: np.ndarray, doc: np.ndarray, dig: np.ndarray, start: np.ndarray, folder: str | None, length: int = LENGTH) -> np.ndarray:
     """True for each window of the blobs that also starts in a document with a smaller id."""
     data, offsets = binary(blobs)
     starts, ends, counts = repeats.words_at(data, offsets)
-    distinct, numbers = np.unique(repeats.word_symbols(data, starts, ends), return_inverse=True)
+    distinct, numbers = repeats.distinct_words(data, starts, ends)
     sizes = np.diff(counts)
     at = counts[:-1] + np.arange(len(sizes))  # one mark after each piece
     text = np.zeros(len(starts) + len(sizes), np.int64)
     text[np.repeat(at - counts[:-1], sizes) + np.arange(len(starts))] = numbers + 1
     index = FMIndex(text, len(distinct) + 1, length + 1)
+    order = np.unique(doc, return_inverse=True)[1].astype(np.int32)
+    index.hold(np.repeat(order, sizes + 1))
     owner = np.repeat(np.arange(len(windows)), windows)
     place = np.repeat(at - (np.cumsum(windows) - windows), windows) + np.arange(len(owner))
-    low, high, matched = index.search(text, place + length, length)
-    # The least document of each interval; equal windows have the same interval.
-    whose = doc[np.minimum(np.searchsorted(at, index.suffixes, "right") - 1, len(doc) - 1)]
-    found, back = np.unique(low, return_inverse=True)
-    top = np.zeros(len(found), np.int64)
-    top[back] = high
-    pairs = np.empty(2 * len(found), np.int64)
-    pairs[::2], pairs[1::2] = found, top
-    least = np.minimum.reduceat(np.append(whose, LAST), pairs)[::2] if len(found) else found
-    return (matched == length) & (least[back] < doc[owner])
+    parts = [index.statistics(text, place[k : k + STREAMED] + length, order[owner[k : k + STREAMED]], length) for k in range(0, len(place), STREAMED)]
+    return np.concatenate([np.empty(0, np.int64), *parts]) >= length
 
 
 def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,23 +157,33 @@ def cut(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, start: np.ndarr
     return slices(data, starts[counts[text] + start], ends[counts[text] + end - 1])
 
 
-def window_digests(blobs: pa.Array, windows: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+def bounds(blobs: pa.Array, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The blobs' bytes; for each window its blob, its place there, and its bytes' start
+    and end, one blank between words."""
     data, offsets = binary(blobs)
     starts, ends, counts = repeats.words_at(data, offsets)
-    words = repeats.word_symbols(data, starts, ends)
     owner = np.repeat(np.arange(len(windows)), windows)
     place = np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]
-    at = counts[owner] + place
-    both = [repeats.digest(repeats.prefix_sums(repeats.mix(words * U(k))), at, at + shape.length) for k in (1, 7919)]
-    return both[0], both[1], owner, place
+    first = counts[owner] + place
+    text, to = joined(data, starts, ends)
+    return text, owner, place, to[first], to[first + LENGTH] - 1
 
 
-cut.windows = window_digests
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one blank after each, and where each starts."""
+    sizes = ends - starts + 1
+    to = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.full(int(to[-1]), 32, np.uint8)
+    index = np.repeat(starts - to[:-1], sizes) + np.arange(int(to[-1]))
+    word = np.ones(len(out), bool)
+    word[to[1:] - 1] = False
+    out[word] = data[index[word]]
+    return out, to
 
 
 def op9(docs: DataFrame) -> DataFrame:
     shape = Shape(LENGTH, GRAM)
-    texts, spans = repeats.repeated_spans(docs, word_rows, cut, earlier_elsewhere, shape, False, "passages")
+    texts, spans = repeats.repeated_spans(docs, word_rows, cut, bounds, earlier_elsewhere, shape, False, "passages")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,15 +192,8 @@ def op9(docs: DataFrame) -> DataFrame:
                 data, offsets = repeats.utf8(part.column("text"))
                 starts, ends, counts = repeats.words_at(data, offsets)
                 gone = repeats.covered(np.diff(counts), part.column("spans"), LENGTH)
-                # Kept words joined by one blank, by copying bytes once.
                 kept = np.flatnonzero(~gone)
-                sizes = ends[kept] - starts[kept] + 1
-                to = np.concatenate([[0], np.cumsum(sizes)])
-                out = np.full(int(to[-1]), 32, np.uint8)
-                index = np.repeat(starts[kept] - to[:-1], sizes) + np.arange(int(to[-1]))
-                word = np.ones(len(out), bool)
-                word[to[1:] - 1] = False
-                out[word] = data[index[word]]
+                out, to = joined(data, starts[kept], ends[kept])
                 cuts = np.searchsorted(kept, counts)
                 rows = []
                 for k, doc in enumerate(part.column("doc").to_pylist()):

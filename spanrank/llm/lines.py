@@ -1,18 +1,21 @@
 """Line dedup by winnowing over line hashes (DataFrame functions only).
 
-Lines with a word count; blank ones are always kept and stand for nothing.  Of
-each ``WINDOW`` consecutive line hashes the least (the rightmost of equals) is a
-fingerprint, so any ``RUN`` = WINDOW lines in a row hold one, chosen by their
-content alone: every repeated run of that length shares fingerprints with its
-earlier copy.  Fingerprints that stand in more than one place are joined back to
-their positions and extended both ways, to all runs of RUN lines around them; a
-run whose lines also start at an earlier place (smaller doc_id, or earlier in
-the same document) is deleted.  Overlapping runs add up, so longer repeats go as
-a whole.
-
-Defined results: a null text is empty and stays null; ties go to the earlier
-place; rows repeated with their id and text are one document; a null id counts as
-the largest; an empty table gives an empty result; other columns pass through.
+Lines with a word count; blank ones are always kept and stand for nothing.  Of each
+WINDOW consecutive line hashes the least one (the rightmost of equals) is selected as
+a fingerprint; so is every line of LONG words or more.  A document contributes one row
+for each place so selected, whichever windows selected it, with the digests of its
+neighbours.  A run of WINDOW lines, or a shorter one with a long line, selects the same
+place in every copy, so copies share fingerprints.  Fingerprints that stand in more
+than one place are joined back to their positions, and there the match is extended
+both ways, as far as the run's length allows, by comparing the neighbours' digests (128
+bits of each line's text) with those of the earliest place that has the same.  A run
+whose lines also start at an earlier place (smaller doc_id, or earlier in the same
+document) is deleted.  Runs that overlap add up, so longer repeats go as a whole.
+
+Defined results: a null text is empty and stays null; ties go to the earlier place;
+rows repeated with their id and text are one document; a null id counts as the
+largest; an empty table gives an empty result; other columns pass through; a text of
+very many lines is one row until its fingerprints leave it.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from spanrank.llm.common import LAST, materialise, sha256_hex, text_of
 
-#: Lines in the shortest run that is surely found and deleted.
-WINDOW = RUN = 3
+#: Lines in the shortest run that is deleted whatever its lines.
+WINDOW = 3
+#: Words of a line that is worth deleting by itself, or in a shorter run.
+LONG = 13
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -31,31 +36,43 @@ def doc_key(docs: DataFrame) -> tuple[Column, Column]:
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.xxhash64(text_of(docs))
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc, digest, lines): the runs that start earlier too, by the numbers of their lines."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """A row per selected place: doc, digest, print, and the lines around it.
+
+    ``near`` has the WINDOW - 1 lines before, the line itself and as many after it, as
+    (number, digest, whether long), null beyond the text's ends."""
     doc, digest = doc_key(docs)
-    lines = F.transform(
-        F.split(text_of(docs), "\n"), lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(HAS_WORD), F.xxhash64(x)).alias("h"))
-    )
-    told = docs.select(doc.alias("doc"), digest.alias("digest"), F.filter(lines, lambda x: x["h"].isNotNull()).alias("c"))
-    # Each run of RUN lines with its fingerprint and a digest of the whole run, both by content alone.
-    runs = materialise(
-        told.where(F.size("c") >= RUN).select(
-            "doc",
-            "digest",
-            F.expr(
-                f"inline(transform(sequence(1, size(c) - {RUN - 1}), k -> struct(c[k - 1].i as at, slice(c.i, k, {RUN}) as lines, "
-                f"array_min(slice(c.h, k, {WINDOW})) as print, xxhash64(slice(c.h, k, {RUN})) as run)))"
-            ),
-        ),
-        "line-runs",
+    line = lambda x, i: F.struct(
+        i.alias("i"),
+        F.when(x.rlike(HAS_WORD), F.xxhash64(x)).alias("h"),
+        F.unhex(F.md5(F.encode(x, "UTF-8"))).alias("m"),
+        (F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]++")) >= LONG).alias("long"),
     )
-    # Summed before the shuffle: a line that every document has sends one row a task.
-    prints = runs.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    near = runs.join(prints, "print", "left_semi")  # positions of repeated fingerprints
-    place = F.struct("doc", "digest", "at")
-    first = near.groupBy("print", "run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    return near.join(first, ["print", "run"]).where(place > F.col("first")).select("doc", "digest", "lines")
+    told = docs.select(doc.alias("doc"), digest.alias("digest"), F.filter(F.transform(F.split(text_of(docs), "\n"), line), lambda x: x["h"].isNotNull()).alias("c"))
+    # The selected place of each window: the last of the least, by (hash, -place).
+    least = f"array_min(transform(slice(c, k, {WINDOW}), (x, j) -> struct(x.h as h, -(k + j) as at)))"
+    windows = f"transform(filter(sequence(1, greatest(size(c) - {WINDOW - 1}, 1)), k -> size(c) >= {WINDOW}), k -> -{least}.at)"
+    long = "transform(filter(transform(c, (x, j) -> if(x.long, j + 1, 0)), k -> k > 0), k -> k)"
+    chosen = told.withColumn("_at", F.expr(f"array_distinct(concat({windows}, {long}))")).where(F.size("_at") > 0)
+    around = ", ".join(f"get(c, k - 1 + {d})" for d in range(1 - WINDOW, WINDOW))
+    return chosen.select("doc", "digest", F.expr(f"inline(transform(_at, k -> struct(c[k - 1].h as print, array({around}) as near)))"))
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc, digest, lines): the runs that start earlier too, by the numbers of their lines."""
+    chosen = materialise(fingerprints(docs), "line-prints")
+    # Counted before the shuffle: a line that every document has sends one row a task.
+    often = chosen.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    near = chosen.join(often, "print", "left_semi")  # positions of repeated fingerprints
+    # Extended: the runs of up to WINDOW lines that hold the fingerprint's line.
+    runs = [(lo, n) for n in range(1, WINDOW + 1) for lo in range(WINDOW - n, WINDOW)]
+    each = ", ".join(f"slice(near, {lo + 1}, {n})" for lo, n in runs)
+    whole = f"x -> not exists(x, y -> y is null) and (size(x) = {WINDOW} or exists(x, y -> y.long))"
+    extended = near.select("doc", "digest", F.explode(F.expr(f"transform(filter(array({each}), {whole}), x -> struct(x.i as lines, x.m as run))")).alias("x"))
+    extended = extended.select("doc", "digest", "x.lines", F.unhex(F.md5(F.expr("array_join(transform(x.run, y -> hex(y)), '')").cast("binary"))).alias("run"))
+    place = F.struct("doc", "digest", F.expr("lines[0]").alias("at"))
+    first = extended.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    return extended.join(first, "run").where(place > F.col("first")).select("doc", "digest", "lines")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

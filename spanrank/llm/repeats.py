@@ -6,12 +6,14 @@ Equal windows have equal keys, and neighbouring windows mostly share theirs, so
 the windows of a text fall into about ``2 / (length - gram + 2)`` *stretches* per
 symbol with one key each.  Only stretches meet in a shuffle, by key:
 
-* a stretch whose content digest has been seen before at an earlier place is
-  repeated as a whole;
-* the first places of different contents under one key are *open*: some of their
-  windows may be equal and some not.  They go to the caller's index, by key.
-
-Copies inside one batch of rows are settled before the shuffle, so a passage
+* stretches of one key with the same content (64 bits of BLAKE2 beside the key) are one
+  string with several places: all but the first are repeated as a whole;
+* the different strings of one key are *open*: some of their windows may be equal and
+  some not.  They go to the caller's index, by key, as bytes, and are compared exactly;
+* where a key has very many of them (HOT), their windows are dealt singly, by their own
+  digest, each still as bytes and to the same index.
+
+Copies inside one batch of rows are merged before the shuffle, so a passage
 that a third of all rows share sends one row per batch, not one per copy.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import os
 import sys
 import tempfile
@@ -72,11 +75,19 @@ def prefix_sums(symbols: np.ndarray) -> np.ndarray:
 
 
 def digest(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Digests of the slices [start, end), by content alone."""
+    """Digests of short slices [start, end) of digests; not for long ones, as some
+    strings of 1,024 and more symbols have equal sums whatever the symbols are."""
     down = powers(len(sums))[1]
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * C1)
 
 
+def strong(data: bytes, start: np.ndarray, end: np.ndarray, size: int = 8) -> np.ndarray:
+    """BLAKE2 digests of the slices [start, end), as one or two numbers each."""
+    make = hashlib.blake2b
+    out = b"".join([make(data[a:b], digest_size=size).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(out, U).reshape(-1, size // 8) if size > 8 else np.frombuffer(out, U)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -105,17 +116,24 @@ def words_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different words, and for each word the number of its own.
+
+    Arrow tells them apart by their bytes, each with the white space behind it, which
+    then goes, so that no byte is moved."""
+    if not len(starts):
+        return [], np.empty(0, np.int64)
+    offsets = np.append(starts, ends[-1]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    number: dict[bytes, int] = {}
+    same = np.array([number.setdefault(w.rstrip(b" \t\n\v\f\r"), len(number)) for w in coded.dictionary.to_pylist()], np.int64)
+    return list(number), same[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A digest of each word, worked out a piece at a time so that memory stays small."""
-    out = np.empty(len(starts), U)
-    at = 0
-    while at < len(starts):
-        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
-        lo, hi = starts[at], ends[upto - 1]
-        sums = prefix_sums(data[lo:hi].astype(U) + U(1))
-        out[at:upto] = digest(sums, starts[at:upto] - lo, ends[at:upto] - lo)
-        at = upto
-    return out
+    """64 bits of each word's BLAKE2 digest."""
+    words, number = distinct_words(data, starts, ends)
+    return np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], U)[number]
 
 
 def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
@@ -189,8 +207,8 @@ def stretches(symbols: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[n
         text = np.searchsorted(offsets, starts + at, "right") - 1
         near = twice_near(grams, keys, shape.width)
         own = np.searchsorted(near, starts + counts + shape.width - 2) > np.searchsorted(near, starts)
-        sums = prefix_sums(mix(part.astype(U) + C1) if part.dtype == np.uint8 else part)
-        found.append((text, starts + at, counts, keys[starts], digest(sums, starts, starts + counts + edge), own))
+        content = strong(part.tobytes(), starts * part.itemsize, (starts + counts + edge) * part.itemsize)
+        found.append((text, starts + at, counts, keys[starts], content, own))
         if upto == n:
             break
         at = upto - edge
@@ -247,6 +265,15 @@ def pieces(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatc
     trim()
 
 
+def repeated_rows(*columns: np.ndarray, last: tuple | None = None) -> np.ndarray:
+    """Of sorted rows those equal to the one before: the same place, of a row that stands twice in its table."""
+    out = np.ones(len(columns[0]), bool)
+    for k, x in enumerate(columns):
+        out[1:] &= x[1:] == x[:-1]
+        out[:1] &= last is not None and x[:1] == last[k]
+    return out
+
+
 def all_stretches(texts: DataFrame, symbols: Callable, shape: Shape, same_doc: bool) -> DataFrame:
     """The stretches of every text.  ``seen``: an equal one stands earlier in the
     same batch, which settles it.  ``same_doc``: whether an earlier place in the
@@ -259,7 +286,9 @@ def all_stretches(texts: DataFrame, symbols: Callable, shape: Shape, same_doc: b
                 dig = part.column("digest").to_numpy(zero_copy_only=False)
                 flat, offsets = symbols(*utf8(part.column("text")))
                 text, start, count, key, content, own = stretches(flat, offsets, shape)
-                order = np.lexsort((start, doc[text], content, key))
+                order = np.lexsort((start, dig[text], doc[text], content, key))
+                again = repeated_rows(*(x[order] for x in (key, content, doc[text], dig[text], start)))
+                order = order[~again]
                 text, start, count, key, content, own = (x[order] for x in (text, start, count, key, content, own))
                 owner = doc[text]
                 same = np.zeros(len(order), bool)
@@ -278,19 +307,22 @@ def split_stretches(rows: DataFrame, same_doc: bool) -> DataFrame:
     """Of all stretches: those repeated as a whole (key null), and the open ones
     (first places of the different contents of a key)."""
     schema = "key long, " + SPANS
-    sorted_ = rows.where(~F.col("seen")).drop("seen").repartition("key").sortWithinPartitions("key", "content", "doc", "start")
+    sorted_ = rows.where(~F.col("seen")).drop("seen").repartition("key").sortWithinPartitions("key", "content", "doc", "digest", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last key's rows may go on in the next batch: only its first rows per
         # content are held back, and of the content at hand its first document.
-        last_key = last_content = last_doc = None
+        last_key = last_content = last_doc = last = None
         held: list | None = None  # the last key's only open row so far, not yet let go
         for batch in batches:
             key, content, doc, dig, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             windows, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
-            n = len(key)
-            if not n:
+            once = ~repeated_rows(key, content, doc, dig, start, last=last)
+            if not once.any():
                 continue
+            last = (key[-1], content[-1], doc[-1], dig[-1], start[-1])
+            key, content, doc, dig, start, windows, own = (x[once] for x in (key, content, doc, dig, start, windows, own))
+            n = len(key)
             new_key = np.ones(n, bool)
             new_key[1:] = key[1:] != key[:-1]
             new_key[0] = last_key is None or key[0] != last_key
@@ -340,7 +372,7 @@ def split_stretches(rows: DataFrame, same_doc: bool) -> DataFrame:
     return sorted_.mapInArrow(run, schema)
 
 
-#: Open stretches of one key up to which they are indexed together.
+#: Open stretches of one key up to which they stay whole.
 HOT = 4096
 
 
@@ -348,6 +380,7 @@ def repeated_spans(
     docs: DataFrame,
     symbols: Callable,
     cut: Callable,
+    bounds: Callable,
     index: Callable,
     shape: Shape,
     same_doc: bool,
@@ -358,8 +391,9 @@ def repeated_spans(
 
     ``symbols(data, offsets)`` gives a batch's symbols and offsets; ``cut(data,
     offsets, text, start, end)`` the bytes of symbol slices as a binary array;
-    ``index(blobs, windows, doc, digest, start, folder)`` a boolean for every
-    window of open stretches with one set of keys, true where an equal one is
+    ``bounds(blobs, windows)`` the bytes of all blobs and where in them each window
+    starts and ends; ``index(blobs, windows, doc, digest, start, folder)`` a boolean
+    for every window of open stretches with one set of keys, true where an equal one is
     earlier.
     """
     ship(docs.sparkSession)
@@ -370,38 +404,69 @@ def repeated_spans(
     found = materialise(split_stretches(every, same_doc), f"{name}-found")
     whole = every.where("seen").select("doc", "digest", "start", "windows").unionByName(found.where("key is null").select("doc", "digest", "start", "windows"))
     open_ = found.where("key is not null")
-    hot = open_.groupBy("key").count().where(F.col("count") > HOT).select("key")
+    hot = open_.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
 
-    wanted = open_.groupBy("doc", "digest").agg(F.collect_list(F.struct("key", "start", "windows")).alias("asked"))
+    wanted = open_.join(hot, "key", "left").groupBy("doc", "digest").agg(F.collect_list(F.struct("key", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
     pieces_schema = "key long, doc long, digest int, start int, windows int, blob binary"
+    names = ["key", "doc", "digest", "start", "windows", "blob"]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 asked = part.column("asked")
-                each = asked.values_lengths if hasattr(asked, "values_lengths") else pc.list_value_length(asked)
-                lengths = each.to_numpy(zero_copy_only=False)
+                lengths = pc.list_value_length(asked).to_numpy(zero_copy_only=False)
                 flat = asked.flatten()
-                key, start, windows = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False) for i in range(3))
+                key, start, windows, hot = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False) for i in range(4))
                 text = np.repeat(np.arange(part.num_rows), lengths)
                 blob = cut(*utf8(part.column("text")), text, start, start + windows + shape.length - 1)
                 doc, dig = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "digest"))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(dig), pa.array(start), pa.array(windows), blob], names=["key", "doc", "digest", "start", "windows", "blob"])
+                batch_ = pa.RecordBatch.from_arrays([*map(pa.array, (key, doc, dig, start, windows)), blob], names=names)
+                yield batch_.filter(pa.array(~hot))
+                for at in range(0, len(many := np.flatnonzero(hot)), 4096):
+                    yield singly(batch_.take(pa.array(many[at : at + 4096])), bounds, same_doc)
 
     # Rows repeated with their id and text give the same places; none counts against itself.
     got = texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "asked").mapInArrow(fetch, pieces_schema)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_key(batches, shape):
+        settled: list[pa.RecordBatch] = []
+
+        def to_sort() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = pc.is_null(batch.column("blob"))
+                settled.append(batch.filter(known).select(["doc", "digest", "start", "windows"]))
+                yield batch.filter(pc.invert(known))
+
+        for batch in by_key(to_sort()):
             with tempfile.TemporaryDirectory(dir=os.environ.get("TMPDIR")) as folder:
                 doc, dig, start, windows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "digest", "start", "windows"))
                 flags = index(batch.column("blob"), windows, doc, dig, start, folder)
             yield runs_of(flags, doc, dig, start, windows)
+            yield from settled
+            settled.clear()
+        yield from settled
         trim()
 
-    usual = got.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(decide, SPANS)
-    spans = whole.unionByName(usual).unionByName(by_window(got.join(hot, "key", "left_semi"), cut, shape, same_doc))
-    return texts, spans
+    return texts, whole.unionByName(got.repartition("key").sortWithinPartitions("key").mapInArrow(decide, SPANS))
+
+
+def singly(rows: pa.RecordBatch, bounds: Callable, same_doc: bool) -> pa.RecordBatch:
+    """The windows of stretches as stretches of their own, by their digest.  Of equal
+    ones only the first keeps its bytes; the others are settled: they have none."""
+    data, owner, place, lo, hi = bounds(rows.column("blob"), rows.column("windows").to_numpy(zero_copy_only=False))
+    key = strong(data.tobytes(), lo, hi)
+    doc, dig, start = (rows.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("doc", "digest", "start"))
+    start = start + place.astype(np.int32)
+    order = np.lexsort((start, dig, doc, key))
+    order = order[~repeated_rows(*(x[order] for x in (key, doc, dig, start)))]
+    key, doc, dig, start, lo, hi = (x[order] for x in (key, doc, dig, start, lo, hi))
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    if not same_doc:  # earlier means in a document with a smaller id
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key)))) if len(key) else order
+        same &= doc != doc[head]
+    blob = pa.array([None if s else data[a:b].tobytes() for s, a, b in zip(same.tolist(), lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([*map(pa.array, (key.view(np.int64), doc, dig, start, np.ones(len(key), np.int32))), blob], names=["key", "doc", "digest", "start", "windows", "blob"])
 
 
 def runs_of(flags: np.ndarray, doc: np.ndarray, dig: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
@@ -417,11 +482,12 @@ def runs_of(flags: np.ndarray, doc: np.ndarray, dig: np.ndarray, start: np.ndarr
 
 
 #: Bytes of open stretches indexed together.
-SHARD = 1 << 20
+SHARD = 1 << 21
 
 
-def by_key(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
-    """Batches cut anew so that no key is in two of them; a key has HOT rows at most."""
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut anew so that no key is in two of them; a key has HOT different
+    stretches at most, or one window, once from each batch that had it."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -452,27 +518,6 @@ def by_key(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.Recor
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def by_window(rows: DataFrame, cut: Callable, shape: Shape, same_doc: bool) -> DataFrame:
-    """The same for keys with very many open stretches: one row per window, by two
-    digests of its content; an aggregate finds each content's first place, and only
-    contents with a second place are joined back (AQE splits large ones)."""
-    cut_windows = cut.windows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                doc, dig, start, windows = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "digest", "start", "windows"))
-                one, two, owner, place = cut_windows(part.column("blob"), windows, shape)
-                yield batch_of("a long, b long, doc long, digest int, start int", one.view(np.int64), two.view(np.int64), doc[owner], dig[owner], (start[owner] + place).astype(np.int32))
-
-    each = rows.mapInArrow(run, "a long, b long, doc long, digest int, start int")
-    place = F.struct("doc", "digest", "start") if same_doc else F.struct("doc")
-    first = each.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = each.join(first, ["a", "b"]).where(place > F.col("first"))
-    return later.select("doc", "digest", "start", F.lit(1).alias("windows"))
-
-
 def spans_by_text(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """Every text with its spans, both sides dealt by id and digest."""
     by = spans.groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))

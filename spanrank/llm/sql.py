@@ -8,11 +8,15 @@ WITH l AS (
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
   FROM {documents}
 ), c AS (
-  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
+  SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 13 AS long, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), r AS (
   SELECT a.doc_id, a.i AS i1, b.i AS i2, c.i AS i3, a.line || chr(10) || b.line || chr(10) || c.line AS run
   FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.j = a.j + 1 JOIN c ON c.doc_id = a.doc_id AND c.j = a.j + 2
+  UNION ALL
+  SELECT a.doc_id, a.i, b.i, b.i, a.line || chr(10) || b.line FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.j = a.j + 1 WHERE a.long OR b.long
+  UNION ALL
+  SELECT doc_id, i, i, i, line FROM c WHERE long
 ), later AS (
   SELECT doc_id, i1, i2, i3 FROM r QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i1) > 1
 ), gone AS (

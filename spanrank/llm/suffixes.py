@@ -1,16 +1,24 @@
 """Suffix-array dedup: bytes covered by a 100-byte string that starts earlier.
 
-Stretches of windows (see :mod:`spanrank.llm.repeats`) bring together what can
-be equal.  The open ones of a shard are laid end to end and their suffixes sorted
-by external induction: suffix tuples wait in queues by first byte, in the order
-they were induced, which is their priority; queues that outgrow their memory go
-to disk.  One induction sorts the LMS substrings, their names form a shorter
-string which is sorted in turn, and a second induction sorts all suffixes.  Beside
-each suffix stands the common prefix with the one before it, as far as 100 bytes.
+Stretches of windows (see :mod:`spanrank.llm.repeats`) bring together what can be
+equal.  The different ones of a shard are laid end to end and their suffixes sorted by
+external induction.  A suffix tuple (place, bytes it shares with the tuple before it)
+waits in a priority queue by first symbol and then by arrival, which in an induction is
+the order of the suffixes; a queue keeps IN_MEMORY tuples and puts the rest on disk, as
+runs by symbol, from where they are read back a stretch at a time.  The shard's text
+and the finished order are mapped files.
+
+One induction sorts the LMS substrings; their names form a shorter string, which is
+sorted by the same induction in turn while its alphabet is small against the number of
+buckets a queue can have, and by prefix doubling of the names where it is not.  The
+last induction hands common prefixes on: what stands before two suffixes in one bucket
+shares one byte more than the least prefix of all tuples scanned between them, a range
+minimum that each bucket carries from block to block.
 
 Defined results: a null text is empty; a text under 100 bytes loses nothing; rows
 with the same id and text get the same verdict, as one document; rows with one id
-and different texts are separate documents; a null id counts as the largest.
+and different texts are separate documents; a null id counts as the largest; a very
+long text is cut into stretches like any other.
 """
 
 from __future__ import annotations
@@ -30,40 +38,70 @@ from spanrank.llm.common import LAST
 from spanrank.llm.repeats import Shape, U
 
 LENGTH, GRAM = 100, 32
-#: Entries a queue keeps in memory.
-IN_MEMORY = 1 << 20
+#: Tuples a queue keeps in memory, and tuples scanned at once.
+IN_MEMORY, SCANNED = 1 << 17, 1 << 15
+#: Symbols of a string of names up to which it is sorted by induction, if it is so many times longer.
+BUCKETS, LONGER = 1 << 13, 16
+#: Common prefixes are known as far as this; as a byte, so below 255.
+DEEP = LENGTH + 4
 
 
 class Queue:
-    """First in, first out; what exceeds ``limit`` entries waits on disk."""
-
-    def __init__(self, folder: str | None = None, limit: int = IN_MEMORY):
-        self.folder, self.limit, self.parts, self.held = folder, limit, [], 0
-
-    def push(self, x: np.ndarray) -> None:
-        if not len(x):
-            return
-        self.parts.append(x)
-        self.held += len(x)
-        if self.folder and self.held > self.limit:
-            name = os.path.join(self.folder, uuid.uuid4().hex + ".npy")
-            np.save(name, np.concatenate([p for p in self.parts if not isinstance(p, str)]))
-            self.parts = [p for p in self.parts if isinstance(p, str)] + [name]
-            self.held = 0
-
-    def __iter__(self) -> Iterator[np.ndarray]:
-        """The entries in order; whatever was on disk is removed."""
-        parts, self.parts, self.held = self.parts, [], 0
-        for p in parts:
-            if isinstance(p, str):
-                yield np.load(p)
-                os.remove(p)
-            else:
-                yield p
-
-    def __reversed__(self) -> Iterator[np.ndarray]:
-        for p in reversed(self.parts):
-            yield (np.load(p) if isinstance(p, str) else p)[::-1]
+    """Suffix tuples by first symbol, then by arrival; what exceeds ``limit`` tuples
+    waits on disk.  A tuple is one number, place * 256 + common prefix."""
+
+    def __init__(self, sigma: int, folder: str | None = None, limit: int = IN_MEMORY):
+        self.folder, self.limit, self.held = folder, limit, 0
+        self.parts: list[list[np.ndarray]] = [[] for _ in range(sigma)]
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # on disk: tuples, and where each symbol's start
+        self.from_run = np.zeros(sigma, np.int64)  # runs of which a symbol's tuples were taken
+        self.spilled = 0
+
+    def push(self, symbol: int, tuples: np.ndarray) -> None:
+        if len(tuples):
+            self.parts[symbol].append(tuples)
+            self.held += len(tuples)
+            if self.folder and self.held > self.limit:
+                self.spill()
+
+    def deal(self, symbols: np.ndarray, tuples: np.ndarray) -> None:
+        """``tuples`` by their ``symbols``, which ascend."""
+        heads = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1])) if len(symbols) else []
+        for lo, hi in zip(heads, [*heads[1:], len(symbols)]):
+            self.push(int(symbols[lo]), tuples[lo:hi])
+
+    def spill(self) -> None:
+        sizes = np.array([sum(map(len, p)) for p in self.parts])
+        name = os.path.join(self.folder, uuid.uuid4().hex + ".npy")
+        np.save(name, np.concatenate([x for p in self.parts for x in p]))
+        self.runs.append((np.load(name, mmap_mode="r"), np.concatenate([[0], np.cumsum(sizes)])))
+        self.parts = [[] for _ in self.parts]
+        self.spilled += self.held
+        self.held = 0
+
+    def take(self, symbol: int) -> Iterator[np.ndarray]:
+        """The tuples of a symbol that wait now, in order, once, a block at a time."""
+        first, self.from_run[symbol] = self.from_run[symbol], len(self.runs)
+        parts, self.parts[symbol] = self.parts[symbol], []
+        self.held -= sum(map(len, parts))
+        yield from together([r[o[symbol] : o[symbol + 1]] for r, o in self.runs[first:]] + parts)
+
+    def falling(self, symbol: int) -> Iterator[np.ndarray]:
+        """All tuples of a symbol, the last one first; they stay."""
+        yield from together([x[::-1] for x in reversed([r[o[symbol] : o[symbol + 1]] for r, o in self.runs] + self.parts[symbol])])
+
+
+def together(pieces: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The pieces in order, in blocks of about SCANNED."""
+    held: list[np.ndarray] = []
+    for x in pieces:
+        for at in range(0, len(x), SCANNED):
+            held.append(np.asarray(x[at : at + SCANNED]))
+            if sum(map(len, held)) >= SCANNED:
+                yield np.concatenate(held)
+                held = []
+    if held:
+        yield np.concatenate(held)
 
 
 def smaller_types(text: np.ndarray) -> np.ndarray:
@@ -71,66 +109,151 @@ def smaller_types(text: np.ndarray) -> np.ndarray:
     n = len(text)
     differs = np.ones(n, bool)
     differs[:-1] = text[:-1] != text[1:]
-    at = np.where(differs, np.arange(n), n)
+    at = np.where(differs, np.arange(n, dtype=np.int32), n)
     at = np.minimum.accumulate(at[::-1])[::-1]  # where the run of equal symbols ends
     rises = np.ones(n, bool)
     rises[:-1] = text[:-1] < text[1:]
     return rises[at]
 
 
-def deal(queues: list[Queue], positions: np.ndarray, symbols: np.ndarray) -> None:
-    """Each position to the queue of its symbol, in order."""
-    if not len(positions):
-        return
-    order = np.argsort(symbols, kind="stable")
-    positions, symbols = positions[order], symbols[order]
-    heads = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
-    for lo, hi in zip(heads, [*heads[1:], len(symbols)], strict=True):
-        queues[symbols[lo]].push(positions[lo:hi])
+def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of ``values[lo .. hi]``, both ends in, lo <= hi."""
+    if not len(lo):
+        return np.empty(0, values.dtype)
+    depth = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1  # the greatest power of two inside
+    out, level = np.empty(len(lo), values.dtype), values
+    for k in range(int(depth.max()) + 1):
+        here = np.flatnonzero(depth == k)
+        out[here] = np.minimum(level[lo[here]], level[hi[here] - (1 << k) + 1])
+        level = np.minimum(level[: -(1 << k)], level[1 << k :]) if len(level) > (1 << k) else level
+    return out
 
 
-def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int, folder: str | None, limit: int) -> list[tuple[Queue, Queue]]:
-    """All suffixes by first symbol, induced from the order of the LMS suffixes:
-    for each symbol the L suffixes ascending and the S suffixes descending."""
-    make = lambda: [Queue(folder, limit) for _ in range(sigma)]
-    seeds, waiting, larger, smaller, falling = make(), make(), make(), make(), make()
-    deal(seeds, lms, text[lms])
+class Scan:
+    """The suffixes of one pass in order: what stands before each goes to its queue."""
+
+    def __init__(self, text: np.ndarray, is_s: np.ndarray, kind: bool, queue: Queue, sigma: int, told: bool):
+        self.text, self.is_s, self.kind, self.queue, self.told = text, is_s, kind, queue, told
+        # The least common prefix since a symbol's last tuple; below 0 before its first.
+        self.least = np.full(sigma, -1, np.int16)
+
+    def feed(self, places: np.ndarray, shared: np.ndarray) -> None:
+        """``shared``: with the suffix scanned before."""
+        before = places - 1
+        known = np.flatnonzero(places > 0)
+        known = known[self.is_s[before[known]] == self.kind]
+        symbols = self.text[before[known]]
+        order = np.argsort(symbols, kind="stable")
+        at, symbols = known[order], symbols[order]
+        if not self.told:
+            return self.queue.deal(symbols, before[at] * 256)
+        new = np.append(True, symbols[1:] != symbols[:-1]) if len(at) else np.empty(0, bool)
+        least = np.empty(len(at), np.int16)
+        heads = np.flatnonzero(new)
+        least[heads] = np.minimum(self.least[symbols[heads]], np.minimum.accumulate(shared)[at[heads]])
+        rest = np.flatnonzero(~new)
+        least[rest] = least_between(shared, at[rest - 1] + 1, at[rest])
+        # What the symbols carry on: all of this block, or what is left after their last tuple.
+        np.minimum(self.least, shared.min(initial=DEEP), out=self.least)
+        if len(at):
+            after = np.append(np.minimum.accumulate(shared[::-1])[::-1], DEEP)
+            lasts = np.append(heads[1:], len(at)) - 1
+            self.least[symbols[lasts]] = after[at[lasts] + 1]
+        self.queue.deal(symbols, before[at] * 256 + np.minimum(least + 1, DEEP))
+
+
+def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, shared: np.ndarray | None, sigma: int, folder: str | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order and what each shares with the one before it, induced from
+    the LMS suffixes in order and what they share (or nothing: the order alone)."""
+    n, told = len(text), shared is not None
+    shared = shared if told else np.zeros(len(lms), np.uint8)
+    cuts = np.searchsorted(text[lms], np.arange(sigma + 1))
+    runs = run_lengths(text)
+    larger, out = Queue(sigma, folder, limit), Queue(sigma, folder, limit)
+    rising = Queue(sigma, folder, limit)
+    scan = Scan(text, is_s, False, rising, sigma, told)
+    last = np.full(sigma, -1, np.int64)  # the greatest L suffix of each symbol
     for c in range(sigma):
-        todo = list(waiting[c])
-        while todo:
-            own = np.concatenate(todo)
-            larger[c].push(own)
-            before = own[own > 0] - 1
-            before = before[~is_s[before]]
-            symbols = text[before]
-            same = symbols == c
-            deal(waiting, before[~same], symbols[~same])
-            todo = [before[same]] if same.any() else []
-        for own in seeds[c]:
-            before = own[own > 0] - 1
-            deal(waiting, before, text[before])
-    falling[text[-1]].push(np.array([len(text) - 1]))  # nothing follows the last suffix to induce it
+        lead = 0
+        while blocks := list(rising.take(c)):
+            for x in blocks:
+                larger.push(c, x)
+                places, l = x >> 8, (x & 255).astype(np.int16)
+                if not lead:
+                    l[0] = 0
+                lead, last[c] = 1, places[-1]
+                scan.feed(places, l)
+        for lo in range(cuts[c], cuts[c + 1], SCANNED):
+            places, l = lms[lo : min(lo + SCANNED, cuts[c + 1])], shared[lo : min(lo + SCANNED, cuts[c + 1])].astype(np.int16)
+            if lo == cuts[c]:
+                l[0] = min(runs[last[c]], runs[places[0]]) if lead else 0
+            scan.feed(places, l)
+    waiting = Queue(sigma, folder, limit)
+    waiting.push(int(text[-1]), np.array([(n - 1) * 256], np.int64))  # nothing follows the last suffix to induce it
+    scan = Scan(text, is_s, True, waiting, sigma, told)
     for c in range(sigma - 1, -1, -1):
-        todo = list(falling[c])
-        while todo:
-            own = np.concatenate(todo)
-            smaller[c].push(own)
-            before = own[own > 0] - 1
-            before = before[is_s[before]]
-            symbols = text[before]
-            same = symbols == c
-            deal(falling, before[~same], symbols[~same])
-            todo = [before[same]] if same.any() else []
-        for own in reversed(larger[c]):
-            before = own[own > 0] - 1
-            before = before[is_s[before]]
-            deal(falling, before, text[before])
-    return list(zip(larger, smaller, strict=True))
-
-
-def laid_out(queues: list[tuple[Queue, Queue]]) -> np.ndarray:
-    parts = [x for up, down in queues for x in (*up, *[p[::-1] for p in reversed(list(down))])]
-    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+        least = -1  # the smallest S suffix of the symbol
+        while blocks := list(waiting.take(c)):
+            for x in blocks:
+                out.push(c, x)
+                places, l = x >> 8, (x & 255).astype(np.int16)
+                if least < 0:
+                    l[0] = 0
+                least = int(places[-1])
+                scan.feed(places, l)
+        above = min(runs[last[c]], runs[least]) if least >= 0 and last[c] >= 0 else 0
+        for x in larger.falling(c):
+            l = (x & 255).astype(np.int16)
+            l[1:], l[0], above = l[:-1].copy(), above, l[-1]
+            scan.feed(x >> 8, l)
+    order, common = mapped(folder, n, np.int32), mapped(folder, n, np.uint8)
+    at = 0
+    for c in range(sigma):
+        first = at
+        for x in larger.take(c):
+            order[at : at + len(x)], common[at : at + len(x)] = x >> 8, x & 255
+            at += len(x)
+        middle, above = at, 0
+        for x in out.falling(c):  # from the smallest S suffix up: what it shares stands with the one before it
+            order[at : at + len(x)] = x >> 8
+            l = x & 255
+            common[at + 1 : at + len(x)], common[at], above = l[:-1], above, l[-1]
+            at += len(x)
+        if first < middle < at:
+            common[middle] = min(runs[order[middle - 1]], runs[order[middle]])
+        if first < at:
+            common[first] = 0
+    return order, common
+
+
+def mapped(folder: str | None, n: int, kind: type) -> np.ndarray:
+    """An array of ``n``, on disk where there is a folder."""
+    return np.memmap(os.path.join(folder, uuid.uuid4().hex), kind, "w+", shape=(n,)) if folder and n else np.zeros(n, kind)
+
+
+def run_lengths(text: np.ndarray) -> np.ndarray:
+    """How often each place's symbol follows itself from there, DEEP at most."""
+    n = len(text)
+    ends = np.where(np.append(text[:-1] != text[1:], True), np.arange(n, dtype=np.int32), n)
+    return np.minimum(np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n, dtype=np.int32) + 1, DEEP).astype(np.int16)
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """For each suffix the symbols it shares with the one before it, ``most`` at most."""
+    out = np.zeros(len(order), np.int32)
+    padded = np.concatenate([text.astype(np.uint32 if int(text.max(initial=0)) > 65535 else np.uint16), np.zeros(8, np.uint16)])
+    each = 8 // padded.itemsize
+    wide = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(padded) - each + 1, each), (padded.itemsize,) * 2)).view("<u8").ravel()
+    live, depth = np.arange(1, len(order)), 0
+    while len(live) and depth < most:
+        a, b = order[live] + depth, order[live - 1] + depth
+        inside = np.maximum(a, b) < len(text)
+        live, a, b = live[inside], a[inside], b[inside]
+        differ = wide[a] ^ wide[b]
+        equal = np.where(differ == 0, each, np.bitwise_count((differ & (~differ + U(1))) - U(1)).astype(np.int64) // (64 // each))
+        out[live] = np.minimum(depth + equal, most)
+        live, depth = live[differ == 0], depth + each
+    return out
 
 
 def doubled(names: np.ndarray, rounds: int) -> np.ndarray:
@@ -147,41 +270,36 @@ def doubled(names: np.ndarray, rounds: int) -> np.ndarray:
     return rank
 
 
-def suffix_order(text: np.ndarray, folder: str | None = None, limit: int = IN_MEMORY, rounds: int = 7) -> np.ndarray:
-    """Positions of ``text`` (small symbols, the last one 0 and nowhere else) by
-    their suffixes, exact as far as 2 ** rounds LMS substrings, so at least 128
-    symbols, reach."""
+def suffix_order(text: np.ndarray, folder: str | None = None, limit: int = IN_MEMORY, rounds: int = 7, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of ``text`` (the last symbol 0 and nowhere else) by their suffixes, and
+    what each shares with the one before it, as far as DEEP; exact as far as 2 ** rounds
+    LMS substrings, so at least 128 symbols, reach."""
     sigma = int(text.max()) + 1
     is_s = smaller_types(text)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int64)
     if not len(lms):
-        return np.arange(len(text))[::-1]
-    order = laid_out(induce(text, is_s, lms, sigma, folder, limit))
+        return np.arange(len(text))[::-1], np.zeros(len(text), np.uint8)
+    start = lms[np.argsort(text[lms], kind="stable")]
+    order, _ = induce(text, is_s, start, None, sigma, folder, limit)
     marked = np.zeros(len(text), bool)
     marked[lms] = True
-    order = order[marked[order]]  # the LMS substrings in order
+    order = order[marked[order]].astype(np.int64)  # the LMS substrings in order
     ends = np.full(len(text), len(text), np.int64)
     ends[lms[:-1]] = lms[1:] + 1
-    sums = repeats.prefix_sums(text.astype(U) + U(1))
-    told = repeats.digest(sums, order, ends[order])
+    size = ends[order] - order
+    # Equal substrings get one name: compared symbol by symbol.
+    same = np.append(False, (size[1:] == size[:-1]) & (common_prefixes(text, order, int(size.max()))[1:] >= size[1:]))
     names = np.empty(len(text), np.int64)
-    names[order] = np.cumsum(np.append(True, told[1:] != told[:-1])) - 1
-    rank = doubled(names[lms], rounds)
-    return laid_out(induce(text, is_s, lms[np.argsort(rank, kind="stable")], sigma, folder, limit))
-
-
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix the bytes it shares with the one before it, ``most`` at most
-    (``text`` has ``most`` + 8 symbols to spare at its end)."""
-    out = np.zeros(len(order), np.int32)
-    wide = np.ascontiguousarray(np.lib.stride_tricks.as_strided(text, (len(text) - 7, 8), (1, 1))).view("<u8").ravel()
-    live, depth = np.arange(1, len(order)), 0
-    while len(live) and depth < most:
-        differ = wide[order[live] + depth] ^ wide[order[live - 1] + depth]
-        equal = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + U(1))) - U(1)) // 8)
-        out[live] = np.minimum(depth + equal, most)
-        live, depth = live[differ == 0], depth + 8
-    return out
+    names[order] = np.cumsum(~same) - 1
+    short = names[lms]
+    alphabet = int(short.max()) + 1
+    if alphabet == len(short):
+        sorted_ = lms[np.argsort(short, kind="stable")]
+    elif alphabet <= buckets and len(short) > LONGER * alphabet and short[-1] == 0 and (short[:-1] > 0).all():
+        sorted_ = lms[suffix_order(short.astype(np.int16), folder, limit, rounds, buckets)[0]]
+    else:
+        sorted_ = lms[np.argsort(doubled(short, rounds), kind="stable")]
+    return induce(text, is_s, sorted_, common_prefixes(text, sorted_, DEEP), sigma, folder, limit)
 
 
 def equal_windows(blobs: pa.Array, windows: np.ndarray, doc: np.ndarray, dig: np.ndarray, start: np.ndarray, folder: str | None, length: int = LENGTH, limit: int = IN_MEMORY) -> np.ndarray:
@@ -190,23 +308,20 @@ def equal_windows(blobs: pa.Array, windows: np.ndarray, doc: np.ndarray, dig: np
     sizes = np.diff(offsets)
     # One separator after each blob; windows end before it.
     at = offsets[:-1] + np.arange(len(sizes))
-    text = np.full(len(data) + len(sizes) + 1, 1, np.int16)
+    text = mapped(folder, len(data) + len(sizes) + 1, np.int16)
+    text[:] = 1
     text[np.repeat(at - offsets[:-1], sizes) + np.arange(len(data))] = data.astype(np.int16) + 2
     text[-1] = 0
-    order = suffix_order(text, folder, limit)
+    order, common = suffix_order(text, folder, limit)
     owner = np.repeat(np.arange(len(windows)), windows)
     heads = np.cumsum(windows) - windows
     place = np.repeat(at - heads, windows) + np.arange(len(owner))
-    number = np.full(len(text), -1, np.int64)
+    number = np.full(len(text), -1, np.int32)
     number[place] = np.arange(len(place))
-    order = order[number[order] >= 0]
-    bytes_ = np.zeros(len(text) + length + 8, np.uint8)
-    bytes_[: len(text) - 1] = np.where(text[:-1] > 1, text[:-1] - 2, 0).astype(np.uint8)
-    new = common_prefixes(bytes_, order, length) < length
+    group = np.cumsum(common < length)
     who = number[order]
-    offset = np.arange(len(owner)) - heads[owner]
-    group = np.cumsum(new)
-    places = np.stack([doc[owner[who]], dig[owner[who]], start[owner[who]] + offset[who]])
+    group, who = group[who >= 0], who[who >= 0]
+    places = np.stack([doc[owner[who]], dig[owner[who]], start[owner[who]] + who - heads[owner[who]]])
     best = np.lexsort((places[2], places[1], places[0], group))
     head = np.append(True, group[best][1:] != group[best][:-1]) if len(best) else np.empty(0, bool)
     least = places[:, best][:, np.flatnonzero(head)[np.cumsum(head) - 1]]
@@ -236,21 +351,18 @@ def cut(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, start: np.ndarr
     return slices(data, offsets[text] + start, offsets[text] + end)
 
 
-def window_digests(blobs: pa.Array, windows: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+def bounds(blobs: pa.Array, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The blobs' bytes; for each window its blob, its place there, and its bytes' start and end."""
     data, offsets = binary(blobs)
     owner = np.repeat(np.arange(len(windows)), windows)
     place = np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]
-    at = offsets[owner] + place
-    both = [repeats.digest(repeats.prefix_sums(repeats.mix(data.astype(U) * U(k) + repeats.C1)), at, at + shape.length) for k in (1, 7919)]
-    return both[0], both[1], owner, place
-
-
-cut.windows = window_digests
+    lo = offsets[owner] + place
+    return data, owner, place, lo, lo + LENGTH
 
 
 def op4(docs: DataFrame) -> DataFrame:
     shape = Shape(LENGTH, GRAM)
-    texts, spans = repeats.repeated_spans(docs, bytes_symbols, cut, equal_windows, shape, True, "suffixes")
+    texts, spans = repeats.repeated_spans(docs, bytes_symbols, cut, bounds, equal_windows, shape, True, "suffixes")
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,15 +54,75 @@ def test_suffix_dedup_of_hot_keys(spark, monkeypatch):
     assert collected(fmindex.op9(frame(spark, rows))) == sorted(brute.words_dedup(rows))
 
 
-def test_suffix_order_on_disk(tmp_path):
+@pytest.mark.parametrize("buckets", [2, 30000])
+def test_suffix_order_and_common_prefixes(tmp_path, monkeypatch, buckets):
     rng = np.random.default_rng(0)
-    for n, sigma in ((1, 1), (60, 2), (3000, 3), (4000, 60)):
-        text = np.append(rng.integers(1, sigma + 1, n), 0).astype(np.int16)
+    monkeypatch.setattr(suffixes, "LONGER", 1)
+    words = [rng.integers(1, 9, rng.integers(2, 8)) for _ in range(40)]
+    texts = [rng.integers(1, s + 1, n) for n, s in ((1, 1), (60, 2), (500, 1), (2000, 3), (3000, 60))] + [np.concatenate([words[i] for i in rng.integers(0, 40, 500)])]
+    for scanned, text in [(1 << 15, t) for t in texts] + [(7, texts[3][:600])]:
+        monkeypatch.setattr(suffixes, "SCANNED", scanned)
+        text = np.append(text, 0).astype(np.int16)
         b = text.astype(np.uint8).tobytes()
-        want = sorted(range(n + 1), key=lambda i: b[i : i + 128])
-        for got in (suffixes.suffix_order(text), suffixes.suffix_order(text, str(tmp_path), 16)):
-            assert [b[i : i + 100] for i in got] == [b[i : i + 100] for i in want]
-    assert not list(tmp_path.iterdir())
+        want = sorted(range(len(text)), key=lambda i: b[i : i + 128])
+        for folder, limit in ((None, 1 << 17), (str(tmp_path), 16)):
+            order, common = suffixes.suffix_order(text, folder, limit, buckets=buckets)
+            assert [b[i : i + 100] for i in order] == [b[i : i + 100] for i in want]
+            for j in range(1, len(order)):
+                x, y = (b[i : i + suffixes.DEEP] for i in order[j - 1 : j + 1])
+                assert common[j] == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+
+
+def test_suffix_shards_larger_than_the_queues(spark, monkeypatch):
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice(("ab", "c", "dea", "fff", "gh")) for _ in range(n))
+    parts = [text(60) for _ in range(6)]
+    rows = [(i, text(r.randint(0, 90)) + r.choice(parts)[r.randint(0, 30) :] + text(90) + r.choice(parts)) for i in range(60)]
+    spilt = []
+    plain = suffixes.Queue.spill
+    monkeypatch.setattr(suffixes.Queue, "spill", lambda self: (spilt.append(1), plain(self)))
+    monkeypatch.setattr(suffixes, "IN_MEMORY", 64)
+    shape = repeats.Shape(suffixes.LENGTH, suffixes.GRAM)
+    import pyarrow as pa
+
+    def index(*given):  # the query's own, told to keep fewer tuples
+        return suffixes.equal_windows(*given, limit=64)
+
+    texts, spans = repeats.repeated_spans(frame(spark, rows), suffixes.bytes_symbols, suffixes.cut, suffixes.bounds, index, shape, True, "small")
+    gone = {}
+    for x in spans.collect():
+        gone.setdefault(x.doc, set()).update(range(x.start, x.start + x.windows + 99))
+    assert [len(gone.get(i, ())) for i, _ in rows] == [x[2] for x in sorted(brute.bytes_dedup(rows))]
+    blobs = pa.array([t.encode() for _, t in rows], pa.binary())
+    n = np.array([len(t) - 99 for _, t in rows])
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        flags = suffixes.equal_windows(blobs, n, np.arange(60), np.zeros(60, np.int64), np.zeros(60, np.int64), folder, limit=64)
+    assert spilt and flags.sum() > 0
+
+
+THUE = "ab"
+for _ in range(10):
+    THUE += THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_and_texts_with_equal_polynomials(spark):
+    """Strings whose polynomials modulo 2 ** 64 are equal for any odd base."""
+    one, two = THUE, THUE.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([one] * 6 + ["x"] * 9)), (2, " ".join([two] * 6 + ["x"] * 9)), (3, " ".join(one)), (4, " ".join(two)), (5, one + "y" * 120), (6, two + "y" * 120)]
+    assert collected(fmindex.op9(frame(spark, rows))) == sorted(brute.words_dedup(rows))
+    assert collected(suffixes.op4(frame(spark, rows))) == sorted(brute.bytes_dedup(rows))
+    assert collected(neardup.op5(frame(spark, rows)))[:2] == [(1, 1), (2, 2)]
+
+
+def test_matching_statistics():
+    import pyarrow as pa
+
+    texts = ["a b c d e f", "x a b c d y", "b c d e f"]
+    data = pa.array([t.encode() for t in texts], pa.binary())
+    got = fmindex.earlier_elsewhere(data, np.array([3, 3, 2]), np.array([3, 1, 9]), np.zeros(3), np.zeros(3), None, 4)
+    assert got.tolist() == [True, False, False, False, False, False, True, True]
 
 
 @pytest.mark.parametrize("seed", [0, 1])
@@ -308,3 +368,5 @@ def test_repeated_rows_and_null_ids(spark, op):
     rows = op(docs).collect()
     assert len(rows) == 4 and sum(r.doc_id is None for r in rows) == 2
     assert len({tuple(r) for r in rows if r.doc_id == 1}) == 1
+    if "n_removed" in rows[0]:  # as one document: nothing stands before it
+        assert [r.n_removed for r in rows if r.doc_id == 1] == [0, 0]
