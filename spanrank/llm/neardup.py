@@ -1,10 +1,13 @@
 """MinHash near-dedup by ProbMinHash over weighted five-word shingles.
 
-A shingle weighs as often as it occurs.  Each one has arrivals of a Poisson
-process of that rate, with a slot each, all drawn from the shingle's own hash; a
-slot keeps the shingle of its first arrival, and a shingle drops out once its next
-arrival is later than every slot's.  Two texts agree in a slot with their
-probability Jaccard, so equal bands of ROWS slots propose candidates.
+Each shingle has arrivals of a Poisson process at the rate of its weight, with a slot
+each, all drawn from the shingle's own hash; a slot keeps the shingle of its first
+arrival, and a shingle drops out once its next arrival is later than every slot's.
+Two texts agree in a slot with their probability Jaccard, so equal bands of ROWS slots
+propose candidates.  Texts are alike by their sets of shingles: with all weights 1
+probability Jaccard is just that, so these bands find them with the chance the banding
+promises, however often a shingle is repeated.  Texts that repeat shingles have a
+second family of bands, by occurrences, which finds those that repeat alike.
 
 Texts with the same words are one node, and nodes that share bands, directly or
 through others, are a family.  Every node is verified (exact Jaccard of the
@@ -90,16 +93,25 @@ def binaries(a: np.ndarray, b: np.ndarray, null: np.ndarray) -> pa.Array:
 
 
 def read_words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Word digests, the texts' offsets in them, and each text's node: two digests of all its words."""
+    """Word digests, the texts' offsets in them, and each text's node: 128 bits of a digest of all its words."""
     data, offsets = repeats.utf8(part.column("text"))
     starts, ends, counts = repeats.words_at(data, offsets)
     words = repeats.word_symbols(data, starts, ends)
-    both = [repeats.digest(repeats.prefix_sums(repeats.mix(words * k)), counts[:-1], counts[1:]) for k in (U(1), C2)]
-    return words, counts, binaries(*both, np.diff(counts) == 0)
+    node = repeats.strong(words.tobytes(), counts[:-1] * 8, counts[1:] * 8, 16)
+    return words, counts, binaries(node[:, 0], node[:, 1], np.diff(counts) == 0)
+
+
+def band_keys(kept: np.ndarray) -> np.ndarray:
+    """A key for each band of each text's slots."""
+    n = len(kept)
+    keys = np.tile(np.arange(BANDS, dtype=U) * C1, (n, 1))
+    for r in range(ROWS):
+        keys = repeats.mix((keys ^ kept.reshape(n, BANDS, ROWS)[:, :, r]) * C2)
+    return keys
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """doc, digest, node (null without words), bands."""
+    """doc, digest, node (null without words), bands: by set, and where shingles repeat by occurrences too."""
     schema = "doc long, digest int, node binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,18 +119,26 @@ def banded(texts: DataFrame) -> DataFrame:
             for part in repeats.pieces(batch, 1 << 21):
                 words, counts, node = read_words(part)
                 n = part.num_rows
-                kept = prob_min_hash(*shingles(words, counts), n)
-                keys = np.tile(np.arange(BANDS, dtype=U) * C1, (n, 1))
-                for r in range(ROWS):
-                    keys = repeats.mix((keys ^ kept.reshape(n, BANDS, ROWS)[:, :, r]) * C2)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+                text, value, weight = shingles(words, counts)
+                plain = band_keys(prob_min_hash(text, value, np.ones(len(value)), n))
+                many = np.bincount(text[weight > 1], minlength=n) > 0
+                number = np.cumsum(many) - 1
+                some = many[text]
+                by = band_keys(prob_min_hash(number[text[some]], value[some], weight[some], int(many.sum())))
+                lengths = BANDS * (1 + many)
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
+                keys = np.empty(int(offsets[-1]), U)
+                place = offsets[:-1, None] + np.arange(BANDS)
+                keys[place] = plain
+                keys[place[many] + BANDS] = by
+                bands = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("digest"), node, bands], names=["doc", "digest", "node", "bands"])
 
     return texts.mapInArrow(run, schema)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """node, set: the sorted 32-bit shingle digests of each text."""
+    """node, set: the sorted shingle digests of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,11 +146,11 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 words, counts, node = read_words(part)
                 text, value, _ = shingles(words, counts)
                 offsets = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
-                # The upper halves keep the order of the whole.
-                sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(((value >> U(32)).astype(np.int64) - 2**31).astype(np.int32)))
+                # In the order of signed numbers.
+                sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array((value ^ U(1 << 63)).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([node, sets], names=["node", "set"])
 
-    return texts.mapInArrow(run, "node binary, set array<int>")
+    return texts.mapInArrow(run, "node binary, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -271,7 +291,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = repeats.identified(docs)
     told = materialise(banded(texts), "bands")
     nodes = told.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
-    members = materialise(nodes.select("node", "doc", F.explode("bands").alias("key")), "band-members")
+    members = materialise(nodes.select("node", "doc", F.explode(F.array_distinct("bands")).alias("key")), "band-members")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = materialise(members.join(shared, "key"), "band-groups")
     # A band is held together by its member with the most company, so that a family's
@@ -295,6 +315,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """A row per document: its class, and the least id of the class."""
     return classes(docs).select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), F.nullif("class", F.lit(LAST)).alias("class_id"))
 
 

@@ -158,6 +158,16 @@ def test_near_classes(spark):
     assert left == sorted({(c,) for _, c in got})
 
 
+def test_near_classes_of_unlike_weights(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(40):
+        w = [f"v{r.randint(0, 10**6)}" for _ in range(100)]
+        # The same shingles but for a few at a joint, some of them very many times in one of the two.
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:50] * (1 + k % 7) + w[50:55] * (30 * k) + w[50:]))]
+    assert collected(neardup.op5(frame(spark, rows))) == sorted(brute.near_classes(rows))
+
+
 def test_probability_jaccard():
     one, two = {k: 1 + k % 3 for k in range(300)}, {k: 1 + k % 3 for k in range(60, 360)}
     values = repeats.mix(np.array([*one, *two], np.uint64))
