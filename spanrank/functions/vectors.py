@@ -63,3 +63,24 @@ def score_batches(rows: DataFrame, key: str, embedding: str, queries: np.ndarray
     best = rows.select(key, embedding).where(F.size(embedding) == asked.shape[1]).mapInArrow(run, f"query int, {key} {kind}, score double")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), key)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def best_by_owner(rows: DataFrame, owner: str, embedding: str, queries: np.ndarray) -> DataFrame:
+    """(query, owner, score): the best score that any of an owner's rows has for each query.
+    A batch sends one row for each of its owners and queries."""
+    kind = rows.schema[owner].dataType.simpleString()
+    asked = np.asarray(queries, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            owners, mine = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            best = np.full((len(owners), len(asked)), -np.inf)
+            np.maximum.at(best, mine, flat.reshape(batch.num_rows, -1) @ asked.T)
+            q = np.tile(np.arange(len(asked), dtype=np.int32), len(owners))
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.repeat(owners, len(asked))), pa.array(best.ravel())], names=["query", owner, "score"])
+
+    each = rows.select(owner, embedding).where(F.size(embedding) == asked.shape[1]).mapInArrow(run, f"query int, {owner} {kind}, score double")
+    return each.groupBy("query", owner).agg(F.max("score").alias("score"))

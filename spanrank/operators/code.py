@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ast
 import re
+import textwrap
 from itertools import takewhile
 
 from pyspark.sql import DataFrame
@@ -152,3 +153,60 @@ def functions(files: DataFrame, path: str = "path", text: str = "text") -> DataF
     keep = [c for c in files.columns if c != text]
     some = files.withColumn("_lang", language(F.col(path))).where("_lang is not null")
     return some.withColumn("_u", F.explode(read("_lang", text))).select(*keep, "_u.start", "_u.end", "_u.heading", "_u.text")
+
+
+def statements(lang: str, source: str) -> tuple[int, list[int]]:
+    """Of a function's own text: the lines of its header, and the lines (from 0) on which a
+    statement of its body starts."""
+    lines = source.split("\n")
+    if lang == "python":
+        try:
+            node = ast.parse(textwrap.dedent(source)).body[0]
+        except (SyntaxError, ValueError, IndexError):
+            return 1, list(range(1, len(lines)))
+        body = getattr(node, "body", [])
+        starts = [min([x.lineno, *[d.lineno for d in getattr(x, "decorator_list", [])]]) - 1 for x in body]
+        return (starts[0], starts) if starts and starts[0] else (1, list(range(1, len(lines))))
+    depth, header, starts, fresh = 0, None, [], True
+    for token, line in tokens(lang, source):
+        if header is not None and depth == 1 and fresh and token != "}" and (not starts or starts[-1] < line - 1):
+            starts.append(line - 1)
+        fresh = False
+        if token == "{":
+            depth += 1
+            if header is None:
+                header, fresh = line, True
+        elif token == "}":
+            depth -= 1
+            fresh = depth == 1
+        elif token == ";" and depth == 1:
+            fresh = True
+    return (header or 1, starts or list(range(header or 1, len(lines))))
+
+
+def chunks(lang: str, source: str, budget: int) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of a function in pieces of at most ``budget``
+    characters: the statements of its body, neighbours together while there is room, each
+    piece under the header.  A statement too long by itself is a piece of its own."""
+    lines = source.rstrip("\n").split("\n")
+    if len(source) <= budget:
+        return [(0, len(lines) - 1, "\n".join(lines))]
+    header, starts = statements(lang, source)
+    head, out = "\n".join(lines[:header]), []
+    edges = sorted({header, *[s for s in starts if header < s < len(lines)]}) + [len(lines)]
+    first = edges[0]
+    for a, b in zip(edges, edges[1:]):
+        if a > first and len(head) + 1 + len("\n".join(lines[first:b])) > budget:
+            out.append((first, a - 1, head + "\n" + "\n".join(lines[first:a])))
+            first = a
+    out.append((first, len(lines) - 1, head + "\n" + "\n".join(lines[first:])))
+    return out
+
+
+def chunked(units: DataFrame, budget: int, path: str = "path", text: str = "text") -> DataFrame:
+    """Functions (path, text and the other columns) in chunks: start and end count from the function's first line."""
+    kind = "array<struct<first:int,last:int,text:string>>"
+    cut_ = F.udf(lambda lang, source: chunks(lang or "c", source or "", budget), kind, useArrow=True)
+    keep = [c for c in units.columns if c not in (text, "start", "end")]
+    each = units.withColumn("_c", F.explode(cut_(language(F.col(path)), F.col(text))))
+    return each.select(*keep, (F.col("_c.first") + 1).alias("start"), (F.col("_c.last") + 1).alias("end"), F.col("_c.text").alias("text"))

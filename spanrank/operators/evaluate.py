@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows up to which a counted side of a join is broadcast.
+SMALL = 500_000
+#: Lines to a bin of ranges, where ranges meet.
+BIN = 256
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has been counted and is small, else as it is."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def binned(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for every bin of lines that a range touches (column ``_bin``)."""
+    return ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(F.greatest(F.col(start), F.col(end)) / BIN))))
+
 
 def first_hits(results: DataFrame, query: str, relevant: Column) -> DataFrame:
     """The rank of each query's first relevant result, null if it has none."""
@@ -32,17 +47,21 @@ def fused(arms: list[DataFrame], query: str, item: str, k: int = 60) -> DataFram
 
 
 def containing(results: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Results on (file, line) pairs: the range holds the line."""
-    return results.join(pairs, "file").where((F.col("start") <= F.col("line")) & (F.col("line") <= F.col("end")))
+    """Results on (file, line) pairs: the range holds the line.  They meet by file and
+    bin of lines, so that a file with very many of both is no single group."""
+    near = binned(results, "start", "end").join(pairs.withColumn("_bin", F.floor(F.col("line") / BIN)), ["file", "_bin"])
+    return near.where((F.col("start") <= F.col("line")) & (F.col("line") <= F.col("end"))).drop("_bin")
 
 
 def overlapping(a: DataFrame, b: DataFrame, share: float = 0.5) -> DataFrame:
-    """Pairs of ranges of one file that share at least ``share`` of the shorter one."""
-    x = a.select("file", *[F.col(c).alias(f"a_{c}") for c in ("id", "start", "end")])
-    y = b.select("file", *[F.col(c).alias(f"b_{c}") for c in ("id", "start", "end")])
+    """Pairs of ranges of one file that share at least ``share`` of the shorter one.
+    They meet by file and bin of lines, each pair in the first bin both touch."""
+    x = binned(a.select("file", *[F.col(c).alias(f"a_{c}") for c in ("id", "start", "end")]), "a_start", "a_end")
+    y = binned(b.select("file", *[F.col(c).alias(f"b_{c}") for c in ("id", "start", "end")]), "b_start", "b_end")
     common = F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1
     short = F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")) + 1
-    return x.join(y, "file").where(common >= share * short).withColumn("overlap", common)
+    met = x.join(y, ["file", "_bin"]).where(F.col("_bin") == F.floor(F.greatest("a_start", "b_start") / BIN)).drop("_bin")
+    return met.where(common >= share * short).withColumn("overlap", common)
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
@@ -66,10 +85,12 @@ def reading_cost(ranked: DataFrame, query: str) -> DataFrame:
 
 
 def lexical(units: DataFrame, queries: DataFrame, pattern: str = r"[A-Za-z0-9_]{3,}") -> DataFrame:
-    """(query, id, words, matches): distinct query words in a unit, then all their matches."""
+    """(query, id, words, matches): distinct query words in a unit, then all their matches.
+    Units' words that nobody asks for go before anything is grouped."""
     words = lambda df, c: df.withColumn("word", F.explode(F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))))
     asked = words(queries, F.col("q")).select("query", "word").distinct()
-    found = words(units, F.col("text")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    wanted = small(asked.select("word").distinct())
+    found = words(units, F.col("text")).select("id", "word").join(wanted, "word", "left_semi").groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
     scored = found.join(asked, "word").groupBy("query", "id").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("matches"))
     order = Window.partitionBy("query").orderBy(F.col("words").desc(), F.col("matches").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order))
@@ -82,15 +103,17 @@ def contamination(hits: DataFrame, flagged: DataFrame, key: list[str]) -> DataFr
 
 
 def grams(words: Column, n: int = 5) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """A digest of each run of ``n`` words."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def copies(a: DataFrame, b: DataFrame, a_id: str, b_id: str, n: int = 5) -> DataFrame:
-    """Pairs with a common run of ``n`` words, and how many distinct ones they share."""
+    """Pairs with a common run of ``n`` words, and how many distinct ones they share.
+    Runs are told by 64-bit digests; where ``b``'s are few, ``a``'s others are never shuffled."""
     words = F.array_remove(F.split(F.lower("text"), r"\s+"), "")  # a column of its own, or each gram would split the text again
     split = lambda df, i, name: df.select(F.col(i).alias(name), words.alias("_w")).select(name, F.explode(F.array_distinct(grams(F.col("_w"), n))).alias("gram"))
     x, y = split(a, a_id, a_id), split(b, b_id, b_id)
-    return x.join(y, "gram").groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
+    return x.join(small(y), "gram").groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def stratified(rows: DataFrame, by: str, key: str, n: int, seed: str) -> DataFrame:
@@ -107,12 +130,17 @@ def verdicts(cases: DataFrame) -> DataFrame:
     return cases.withColumn("kind", kind)
 
 
-def bootstrap(rows: DataFrame, value: str, rounds: int = 200, seed: int = 0) -> DataFrame:
-    """mean, low, high of a 95 % interval from Poisson resampling of whole rows."""
-    drawn = rows.select(F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    u = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.col("round"), F.lit(seed)), F.lit(10**9)) / 1e9
+def bootstrap(rows: DataFrame, value: str, key: str, rounds: int = 200, seed: str = "0") -> DataFrame:
+    """mean, low, high of a 95 % interval from Poisson resampling of whole rows.
+
+    Draws come from a digest of the row's ``key`` and the round, so partitioning changes
+    nothing; each task sends one row a round."""
+    drawn = rows.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("k", F.lit("")), F.col("round").cast("string")))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2**32
+    #: The Poisson distribution's sums.
     k = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
-    means = drawn.withColumn("k", k).groupBy("round").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
+    means = drawn.select("round", "v", k.alias("k")).groupBy("round").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
@@ -130,3 +158,61 @@ def group_sample(rows: DataFrame, by: str, key: str, n: int, seed: str, proposal
     """:func:`stratified`, leaving out what has been proposed already."""
     left = rows if proposals is None else rows.join(proposals.select(key), key, "left_anti")
     return stratified(left, by, key, n, seed)
+
+
+def rates(hits: DataFrame, flagged: DataFrame, query: str, key: list[str], arms: str) -> DataFrame:
+    """:func:`contamination` of each arm (as with and without a filter): queries, hits, and the
+    mean over queries of the percentage of hits that are flagged."""
+    marked = hits.join(flagged.select(*key).distinct().withColumn("_bad", F.lit(1)), key, "left")
+    each = marked.groupBy(arms, query).agg(F.count(F.lit(1)).alias("n"), F.count("_bad").alias("bad"))
+    return each.groupBy(arms).agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("hits"), F.round(F.avg(100.0 * F.col("bad") / F.col("n")), 6).alias("percent"))
+
+
+def title_sample(titles: DataFrame, title: str, n: int, seed: str) -> DataFrame:
+    """``n`` distinct titles of two words or more, by a digest of seed and title."""
+    tidy = F.trim(F.regexp_replace(title, r"\s+", " "))
+    some = titles.select(tidy.alias("title")).where(F.contains("title", F.lit(" "))).distinct()
+    return some.orderBy(F.md5(F.concat(F.lit(seed), "title")), "title").limit(n)
+
+
+def control_pairs(proposals: DataFrame, ids: DataFrame, n: int, seed: str) -> DataFrame:
+    """(a, b): ``n`` random pairs that nobody proposed.  Each id is paired with the next
+    one in a seeded order, so pairs are as many as ids and none is made twice."""
+    order = F.md5(F.concat(F.lit(seed), F.col("id").cast("string")))
+    few = ids.select("id").distinct().orderBy(order, "id").limit(4 * n)  # enough, as proposals are rarely random
+    ring = few.withColumn("next", F.lead("id").over(Window.orderBy(order, "id"))).where("next is not null")  # 4 n rows
+    pairs = ring.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b"))
+    left = pairs.join(proposals.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")), ["a", "b"], "left_anti")
+    return left.orderBy(F.md5(F.concat(F.lit(seed), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"))), "a", "b").limit(n)
+
+
+def judged(cases: DataFrame, verdicts_: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cases with their verdict's score (0, 1, 2) and label: what a judge said of each
+    case's target, and of the best thing ranked above it."""
+    best = verdicts_.where("not target").groupBy("case").agg(F.max("score").alias("best_above"))
+    target = verdicts_.where("target").groupBy("case").agg(F.max("score").alias("target_score"))
+    return verdicts(cases.join(target, "case").join(best, "case", "left").join(labels, "case", "left").withColumn("best_above", F.coalesce("best_above", F.lit(0))))
+
+
+def lenient(results: DataFrame, query: str, score: str = "score") -> DataFrame:
+    """The first rank that a judge gave 2, and the first that it gave at least 1."""
+    return results.groupBy(query).agg(F.min(F.when(F.col(score) >= 2, F.col("rank"))).alias("strict"), F.min(F.when(F.col(score) >= 1, F.col("rank"))).alias("lenient"))
+
+
+def tallies(verdicts_: DataFrame, by: str) -> DataFrame:
+    """Of each group the share of verdicts 2, 1 and 0, and their mean."""
+    share = lambda k: F.round(F.avg((F.col("score") == k).cast("double")), 6).alias(f"share_{k}")
+    return verdicts_.groupBy(by).agg(F.count(F.lit(1)).alias("n"), share(2), share(1), share(0), F.round(F.avg("score"), 6).alias("mean"))
+
+
+def scored(results: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A query set's summary: ``results`` (query, file, start, end, rank) against ``pairs``
+    (query, file, line and the columns of ``by``); a query without a hit is a miss."""
+    hits = containing(results.withColumnRenamed("query", "_q"), pairs).where("_q = query").groupBy("query").agg(F.min("rank").alias("first"))
+    return summary(pairs.select("query", *by).distinct().join(hits, "query", "left"), by)
+
+
+def first_kinds(results: DataFrame, query: str, kind: str) -> DataFrame:
+    """How many queries have each kind of unit as their first result."""
+    first = results.groupBy(query).agg(F.min_by(kind, "rank").alias("kind"))
+    return first.groupBy("kind").agg(F.count(F.lit(1)).alias("queries"))

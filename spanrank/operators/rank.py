@@ -50,6 +50,11 @@ def select(rows: DataFrame, where: list[str] = (), exclude: list[str] = (), iden
     return P.exclude_pointed_at(kept, rows, list(exclude), identity) if exclude else kept
 
 
-def hydrate(top: DataFrame, records: DataFrame) -> DataFrame:
-    """Full records of the winners alone, in rank order."""
-    return records.join(F.broadcast(top.select("owner", "slot", "score", "rank")), ["owner", "slot"])
+#: Winners up to which they are sent to the records rather than the records to them.
+FEW = 10_000
+
+
+def hydrate(top: DataFrame, records: DataFrame, limit: int) -> DataFrame:
+    """Full records of the winners alone, with score and rank; there are ``limit`` at most."""
+    winners = top.select("owner", "slot", "score", "rank")
+    return records.join(F.broadcast(winners) if limit <= FEW else winners, ["owner", "slot"])

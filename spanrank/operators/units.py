@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanrank.functions import text as T
+from spanrank.operators import snapshots
 from spanrank.schema import BUDGET
 
 FENCE = r"^(?:```|~~~)"
@@ -122,19 +124,101 @@ def line_windows(docs: DataFrame, size: int = 40, step: int = 20, text: str = "t
     ).where("start <= _n").drop("_n", text)
 
 
-def commit_batches(files: DataFrame, want: int = 512) -> DataFrame:
-    """A batch number for each file (path, n units): a batch closes with the file that brings
-    it to ``want`` units.  Paths are dealt in order; only counts reach the one task."""
+def greedy_batches(files: DataFrame, key: str, size: str, want: int, closes_before: bool = False) -> DataFrame:
+    """(key, size, batch): a batch is a run of neighbours by ``key``.  It closes with the
+    row that brings it to ``want``, or (``closes_before``) before the row that would take
+    it beyond ``want``; a row larger than that is a batch of its own.
+
+    A range of rows takes whatever is held where it starts to what is held where it
+    ends.  There are about ``want`` such states, and those that close at the same row end
+    alike: each range sends a table of the different ones, the driver goes through the
+    tables (partitions x ``want`` rows at most), and rows are numbered where they are."""
+    kind = files.schema[key].dataType.simpleString()
+    ranged = snapshots.stable(files.select(key, F.col(size).cast("long").alias(size)).repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()))
+
+    def step(held: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a row of size ``n`` closes a batch, and what is held after it."""
+        if closes_before:
+            over = (held > 0) & (held + n > want)
+            return over, np.minimum(np.where(over, 0, held) + n, want + 1)  # beyond the limit all are alike
+        over = held + n >= want
+        return over, np.where(over, 0, held + n)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.arange(want + 2)
+        closed, total, part = np.zeros(len(held), np.int64), 0, None
+        for batch in batches:
+            for n in batch.column(1).to_pylist():
+                over, held = step(held, n)
+                closed, total = closed + over, total + n
+            if batch.num_rows:
+                part = batch.column(2)[0].as_py()
+        if part is not None:
+            # States that close at the same rows end alike; those that never close only add.
+            at = np.flatnonzero(np.append(True, (closed[1:] != closed[:-1]) | (closed[1:] > 0) & (held[1:] != held[:-1])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(at), pa.int32()), pa.array(at), pa.array(closed[at]), pa.array(held[at]), pa.array([total] * len(at), pa.int64())], names=["part", "state", "closed", "held", "total"]
+            )
+
+    tables: dict[int, list] = {}
+    for r in ranged.mapInArrow(ends, "part int, state long, closed long, held long, total long").collect():
+        tables.setdefault(r["part"], []).append(r)
+    number, held, begins = 0, 0, {}
+    for part in sorted(tables):
+        begins[part] = (number, held)
+        row = max((r for r in tables[part] if r["state"] <= held), key=lambda r: r["state"])
+        number, held = number + row["closed"], min(held + row["total"], want + 1) if not row["closed"] else row["held"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = held = 0
+        state = None
         for batch in batches:
             out = []
-            for n in batch.column(1).to_pylist():
-                out.append(number)
-                held += n
-                if held >= want:
-                    number, held = number + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=["path", "n", "batch"])
+            for n, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                state = state or begins[part]
+                over, after = step(np.array([state[1]]), n)
+                out.append(state[0] + int(over[0]) if closes_before else state[0])
+                state = (state[0] + int(over[0]), int(after[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=[key, size, "batch"])
+
+    return ranged.mapInArrow(run, f"{key} {kind}, {size} long, batch int")
+
+
+def commit_batches(files: DataFrame, want: int = 512) -> DataFrame:
+    """A batch number for each file (path, n units): a batch closes with the file that brings
+    it to ``want`` units."""
+    return greedy_batches(files, "path", "n", want)
+
+
+def char_batches(units: DataFrame, key: str, chars: str, budget: int = 40_000) -> DataFrame:
+    """A batch number for each unit, as many neighbours together as the budget of characters holds."""
+    return greedy_batches(units, key, chars, budget, closes_before=True)
+
+
+def parents(sections: DataFrame) -> DataFrame:
+    """Each section as its outermost one: a cutter that keeps what a first heading heads
+    together.  Columns path, start, end, heading."""
+    top = F.coalesce(F.get("breadcrumb", F.lit(0)), "heading")
+    runs = sections.withColumn("_top", F.when(F.size("breadcrumb") == 0, F.col("start")))
+    order = Window.partitionBy("path").orderBy("start")
+    runs = runs.withColumn("_top", F.coalesce(F.last("_top", ignorenulls=True).over(order), F.lit(0)))
+    return runs.groupBy("path", "_top").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(top, "start").alias("heading")).drop("_top")
+
+
+def pattern_units(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """Units from each line that matches a pattern to the line before the next one: path, start, end, heading."""
+    lines = docs.select("path", T.lines(F.col(text)).alias("_l")).withColumn("_n", F.size("_l"))
+    heads = lines.withColumn("_h", F.filter(F.transform("_l", lambda x, i: F.when(x.rlike(pattern), F.struct((i + 1).alias("at"), x.alias("line")))), lambda x: x.isNotNull()))
+    each = heads.select("path", "_n", "_h", F.posexplode("_h").alias("_i", "_x"))
+    return each.select("path", F.col("_x.at").alias("start"), (F.coalesce(F.get("_h", F.col("_i") + 1)["at"], F.col("_n") + 1) - 1).alias("end"), F.trim("_x.line").alias("heading"))
+
+
+#: Stands in where a corpus has no section to send.
+PROSE = "The quick brown fox jumps over the lazy dog and runs on through the wood. "
+
 
-    return files.select("path", F.col("n").cast("long")).coalesce(1).sortWithinPartitions("path").mapInArrow(run, "path string, n long, batch int")
+def longest(sections: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """One row: the longest section's length, its text as far as the budget, and where the
+    text comes from; prose of the budget's length where there are no sections."""
+    found = sections.where("text <> ''").agg(F.max(F.length("text")).cast("long").alias("longest"), F.max_by("text", F.struct(F.length("text"), "path", "start")).alias("text"))
+    made = (PROSE * (budget // len(PROSE) + 1))[:budget]
+    return found.select(F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce(F.substring("text", 1, budget), F.lit(made)).alias("text"), F.when(F.col("text").isNull(), "prose").otherwise("section").alias("origin"))

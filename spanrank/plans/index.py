@@ -150,9 +150,13 @@ def query(indexes: list[Index], text: str, where=(), exclude_pointed_by=(), iden
         if any(m.get(k) != metas[0].get(k) for k in ("dim", "max_chars", "document_prefix", "query_prefix")) or np.dot(m["fingerprint"], metas[0]["fingerprint"]) < E.FINGERPRINT_FLOOR:
             raise ValueError("the indexes don't share a vector space")
     vector = roots[0].embedder.embed([metas[0].get("query_prefix", "") + text])[0].tolist()
-    every = rank.union_roots([i.rows() for i in roots])
-    chosen = rank.select(every, list(where), list(exclude_pointed_by), identity)
-    top = rank.ranked(chosen, F.lit(vector) if vector else F.array(), rank.hydration_window(limit))
+    # Predicates see records alone, the ranking slots and vectors; whole records are read for the winners.
+    records = rank.union_roots([i.catalog.read("sections") for i in roots])
+    vectors = rank.union_roots([i.catalog.read("vectors") for i in roots])
+    chosen = rank.select(records, list(where), list(exclude_pointed_by), identity).select("owner", "slot")
+    window = rank.hydration_window(limit)
+    top = rank.ranked(vectors.join(chosen, ["owner", "slot"]), F.lit(vector) if vector else F.array(), window)
+    top = rank.hydrate(top, records.drop("fm"), window)
     top = top.withColumn("trail", F.array_join(F.array_append("breadcrumb", F.coalesce("heading", F.lit("(preamble)"))), " > "))
     ground = rank.background(top)
     return merge.results(rank.deduplicated(top, ["owner", "path", "start", "end"]), ground, limit)

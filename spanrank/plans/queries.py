@@ -190,11 +190,11 @@ def pointer_set(spark, sf):
 
 
 # ---------------------------------------------------------------- merging
-RUNS = """arr AS (SELECT path, island, list(score ORDER BY s) AS sc, list(s ORDER BY s) AS ss, list(t ORDER BY s) AS ts FROM isl GROUP BY path, island),
+RUNS = """arr AS (SELECT path, island, list(score ORDER BY s) AS sc, list(s ORDER BY s) AS ss, list(t ORDER BY s) AS ts, list(n % 3 ORDER BY s) AS ns FROM isl GROUP BY path, island),
 med AS (SELECT {ground} AS ground FROM top),
 st AS (SELECT *, 1 AS lo, len(sc) AS hi FROM arr
   UNION ALL
-  SELECT path, island, sc, ss, ts, unnest([lo, rhi + 1]) AS lo, unnest([rlo - 1, hi]) AS hi FROM (
+  SELECT path, island, sc, ss, ts, ns, unnest([lo, rhi + 1]) AS lo, unnest([rlo - 1, hi]) AS hi FROM (
     SELECT *, coalesce(list_max(list_filter(range(lo, b), lambda i: sc[i] < fl)) + 1, lo) AS rlo,
       coalesce(list_min(list_filter(range(b + 1, hi + 1), lambda i: sc[i] < fl)) - 1, hi) AS rhi FROM (
       SELECT *, {floor} AS fl FROM (SELECT st.*, list_max(list_filter(range(lo, hi + 1), lambda i: sc[i] = list_max(list_slice(sc, lo, hi)))) AS b FROM st WHERE lo <= hi), med))),
@@ -226,23 +226,32 @@ def merge_runs_fallback(spark, sf):
     return shown(merge.merged(window(spark, sf), spark.range(1).select(F.lit(None).cast("double").alias("background"))))
 
 
-@query()
+#: The rules that are replayed: fixed values.
+REPLAYED = {"r.90": (None, 0.90), "r.93": (None, 0.93), "r.95": (None, 0.95), "r.97": (None, 0.97), "r1": (None, 1.0), "k.25": (0.25, 0.95), "k.50": (0.5, 0.95)}
+
+
+def replayed(name: str, keep: float | None, ratio: float) -> str:
+    runs = RUNS.format(ground=RATIO["ground"], floor=f"{ratio} * sc[b]") if keep is None else RUNS.format(ground=MEDIAN["ground"], floor=f"CASE WHEN ground IS NULL THEN {ratio} * sc[b] ELSE sc[b] - {keep} * greatest(sc[b] - ground, 0) END")
+    return f"SELECT '{name}' AS rule, count(*) AS runs, sum(pieces)::BIGINT AS pieces FROM (WITH RECURSIVE {VEC_ROWS}, {runs})"
+
+
+@query(" UNION ALL ".join(replayed(name, *rule) for name, rule in REPLAYED.items()))
 def merge_replay_rules(spark, sf):
     """The numbers of runs and of pieces in them under each rule."""
     top = window(spark, sf)
     out = None
-    for name, rule in {"r.90": merge.Rule(None, 0.90), "r.93": merge.Rule(None, 0.93), "r.95": merge.Rule(None, 0.95), "r.97": merge.Rule(None, 0.97), "r1": merge.Rule(None, 1.0), "k.25": merge.Rule(0.25), "k.50": merge.Rule(0.5)}.items():
-        one = merge.merged(top, rank.background(top), rule).agg(F.count(F.lit(1)).alias("runs"), F.sum("pieces").alias("pieces")).select(F.lit(name).alias("rule"), "runs", "pieces")
+    for name, rule in REPLAYED.items():
+        one = merge.merged(top, rank.background(top), merge.Rule(*rule)).agg(F.count(F.lit(1)).alias("runs"), F.sum("pieces").alias("pieces")).select(F.lit(name).alias("rule"), "runs", "pieces")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query(f"WITH {VEC_ROWS} SELECT path, island::BIGINT AS island, CASE WHEN min(n % 3) = max(n % 3) THEN path || ' > ' || min(n % 3) ELSE path END AS trail FROM isl GROUP BY path, island")
 def shared_trail(spark, sf):
-    """Headings an island's pieces have in common, by folding split trails."""
-    rows = merge.islands(window(spark, sf)).groupBy("path", "island").agg(F.collect_list(F.split("trail", " > ")).alias("t"))
-    common = F.expr("aggregate(slice(t, 2, size(t)), t[0], (a, x) -> transform(filter(transform(a, (p, i) -> struct(p as p, forall(slice(arrays_zip(a, x), 1, i + 1), z -> z.a <=> z.x) as ok)), q -> q.ok), q -> q.p))")
-    return rows.select("path", "island", F.array_join(common, " > ").alias("trail"))
+    """Headings an island's pieces have in common."""
+    rows = merge.islands(window(spark, sf)).groupBy("path", "island").agg(F.collect_list("trail").alias("t"))
+    common = F.udf(lambda t: merge.shared_trail(list(t)), "string", useArrow=True)
+    return rows.select("path", "island", common("t").alias("trail"))
 
 
 @query(f"WITH {VEC_ROWS} SELECT round(CASE WHEN count(*) >= 128 THEN median(score) END, 6) AS background FROM top")
@@ -332,9 +341,30 @@ def line_windows(spark, sf):
     return units.line_windows(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "start", "end")
 
 
-@query("SELECT max(length(text))::BIGINT AS longest, max_by(doc_id, struct_pack(a := length(text), b := -doc_id)) AS doc_id FROM documents")
+@query(f"WITH {MD}, bd AS (SELECT sec.path, s, length(string_agg(line, chr(10) ORDER BY n)) AS size FROM sec JOIN ln ON ln.path = sec.path AND n BETWEEN s AND t GROUP BY sec.path, s) SELECT max(size)::BIGINT AS longest, least(max(size), 8000)::BIGINT AS sent FROM bd")
 def longest_section(spark, sf):
-    return table(spark, sf, "documents").agg(F.max(F.length("text")).cast("long").alias("longest"), F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("doc_id"))
+    """The longest section, and how much of it the budget lets through."""
+    text = units.longest(units.sections(md_docs(spark, sf)), 8000)
+    return text.select("longest", F.length("text").cast("long").alias("sent"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT i, doc_id, n, n AS held, 0 AS batch FROM o WHERE i = 1 UNION ALL
+  SELECT o.i, o.doc_id, o.n, CASE WHEN held > 0 AND held + o.n > 40000 THEN o.n ELSE held + o.n END, batch + CASE WHEN held > 0 AND held + o.n > 40000 THEN 1 ELSE 0 END FROM r JOIN o ON o.i = r.i + 1)
+SELECT doc_id, n AS n_chars, batch::INT AS batch FROM r""")
+def char_batches(spark, sf):
+    return units.char_batches(table(spark, sf, "documents"), "doc_id", "n_chars")
+
+
+@query(f"WITH {MD}, f AS (SELECT path, min(n) AS a FROM hd WHERE level = 1 GROUP BY path) SELECT sec.path, min(s)::INT AS first_line, max(t)::INT AS last_line, max_by(heading, -s) AS heading FROM sec JOIN f USING (path) GROUP BY sec.path, s >= a")
+def parent_units(spark, sf):
+    """Sections of one first heading as one unit."""
+    return units.parents(units.sections(md_docs(spark, sf)))
+
+
+@query(f"WITH {MD}, m AS (SELECT ln.path, n, trim(line) AS heading, total FROM ln JOIN cnt USING (path) WHERE regexp_matches(line, '^#+ ')) SELECT path, n::INT AS first_line, (coalesce(lead(n) OVER (PARTITION BY path ORDER BY n), total + 1) - 1)::INT AS last_line, heading FROM m")
+def pattern_units(spark, sf):
+    return units.pattern_units(md_docs(spark, sf), r"^#+ ")
 
 
 # ---------------------------------------------------------------- front matter
@@ -501,9 +531,13 @@ def lexical_rank(spark, sf):
 
 @query(f"WITH {MULTI}, bst AS (SELECT query, label, max(score) AS score FROM mr GROUP BY query, label) SELECT query, label, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, label) AS rank FROM bst")
 def chunk_rollup(spark, sf):
+    """An owner's score is its best chunk's; chunks meet the queries where they are read."""
     e = table(spark, sf, "embeddings")
-    n = e.count()
-    return evaluate.rolled_up(multi(spark, sf, max(n, 1)), "query", "label").select("query", "label", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    asked = e.where("vec_id % 20 = 0").select("vec_id", "embedding").orderBy("vec_id").collect()
+    names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(asked)], "query int, qid long")
+    best = V.best_by_owner(e, "label", "embedding", np.array([r[1] for r in asked]).reshape(len(asked), -1)).join(names, "query")
+    ranked = evaluate.rolled_up(best.select(F.col("qid").alias("query"), "label", "score"), "query", "label")
+    return ranked.select("query", "label", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 CONV = "c AS (SELECT conv_id::VARCHAR AS file, turn AS id, (turn * 4 + 1)::INT AS s, (turn * 4 + 3 + length(text) % 7)::INT AS t FROM conversations)"
@@ -568,10 +602,12 @@ def stratified_sample(spark, sf):
     return evaluate.stratified(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 5, "s")
 
 
-@query("SELECT title FROM (SELECT DISTINCT lower(o_orderpriority) || ' ' || o_orderstatus AS title FROM orders) ORDER BY md5('s' || title) LIMIT 8")
+@query(r"""WITH t AS (SELECT DISTINCT trim(regexp_replace(text, '\s+', ' ', 'g')) AS title FROM (SELECT string_split(text, '.')[1] AS text FROM documents))
+SELECT title FROM t WHERE contains(title, ' ') ORDER BY md5('s' || title), title LIMIT 8""")
 def title_sample(spark, sf):
-    titles = table(spark, sf, "orders").select(F.concat(F.lower("o_orderpriority"), F.lit(" "), "o_orderstatus").alias("title")).distinct()
-    return titles.orderBy(F.md5(F.concat(F.lit("s"), "title"))).limit(8)
+    """A document's first sentence stands for its title."""
+    first = table(spark, sf, "documents").select(F.get(F.split("text", r"\."), F.lit(0)).alias("title"))
+    return evaluate.title_sample(first, "title", 8, "s")
 
 
 @query("SELECT lang, source, grouping(source)::INT AS level, count(*) AS n, round(avg(n_chars), 6) AS chars FROM documents GROUP BY ROLLUP (lang, source) HAVING grouping(lang) = 0")
@@ -580,14 +616,83 @@ def grouped_summary(spark, sf):
     return d.rollup("lang", "source").agg(F.grouping("lang").alias("g"), F.grouping("source").cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("chars")).where("g = 0").drop("g")
 
 
-@query("SELECT quality, count(*) AS n, count(*) FILTER (toxic = 1) AS toxic, round(avg(toxic), 6) AS share FROM labels GROUP BY quality")
+@query("""SELECT source, count(*) AS n, round(avg((s = 2)::INT), 6) AS share_2, round(avg((s = 1)::INT), 6) AS share_1, round(avg((s = 0)::INT), 6) AS share_0, round(avg(s), 6) AS mean
+FROM (SELECT source, quality + toxic AS s FROM labels JOIN documents USING (doc_id)) GROUP BY source""")
 def verdict_tally(spark, sf):
-    return table(spark, sf, "labels").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"), F.round(F.avg("toxic"), 6).alias("share"))
+    said = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select("source", (F.col("quality") + F.col("toxic")).alias("score"))
+    return evaluate.tallies(said, "source")
+
+
+@query("""WITH v AS (SELECT doc_id AS c, quality AS target FROM labels), o AS (SELECT doc_id AS c, toxic + 1 AS best FROM labels WHERE doc_id % 3 <> 0)
+SELECT d.doc_id AS "case", lang, CASE WHEN target < 1 THEN 'bad query' WHEN coalesce(best, 0) >= 2 THEN 'false miss' WHEN coalesce(best, 0) >= 1 THEN 'ambiguous' ELSE 'true miss' END AS kind
+FROM documents d JOIN v ON v.c = d.doc_id LEFT JOIN o ON o.c = d.doc_id""")
+def judged_cases(spark, sf):
+    """Cases, what was said of their targets and of the best above, and labels, joined."""
+    d, lab = table(spark, sf, "documents").select(F.col("doc_id").alias("case"), "lang"), table(spark, sf, "labels")
+    said = lab.select(F.col("doc_id").alias("case"), F.lit(True).alias("target"), F.col("quality").alias("score")).unionByName(
+        lab.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("case"), F.lit(False).alias("target"), (F.col("toxic") + 1).alias("score"))
+    )
+    return evaluate.judged(d.select("case"), said, d).select("case", "lang", "kind")
+
+
+@query("SELECT conv_id AS query, min(turn + 1) FILTER (length(text) % 3 >= 2)::INT AS strict, min(turn + 1) FILTER (length(text) % 3 >= 1)::INT AS lenient FROM conversations GROUP BY conv_id")
+def lenient_ranks(spark, sf):
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("query"), (F.col("turn") + 1).cast("int").alias("rank"), (F.length("text") % 3).alias("score"))
+    return evaluate.lenient(c, "query")
+
+
+@query("""WITH q AS (SELECT label, vec_id FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT q.vec_id AS query, e.vec_id, e.label, list_inner_product(e.embedding::DOUBLE[], f.embedding::DOUBLE[]) AS score
+  FROM embeddings e, q JOIN embeddings f ON f.vec_id = q.vec_id),
+a AS (SELECT 'all' AS arm, query, vec_id, score FROM e UNION ALL SELECT 'filtered', query, vec_id, score FROM e WHERE label <> 9),
+t AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY arm, query ORDER BY score DESC, vec_id) <= 10),
+r AS (SELECT arm, query, count(*) AS n, count(*) FILTER (vec_id % 7 = 0 OR label = 9) AS bad FROM t JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) GROUP BY arm, query)
+SELECT arm, count(*) AS queries, sum(n)::BIGINT AS hits, round(avg(100.0 * bad / n), 6) AS percent FROM r GROUP BY arm""")
+def contamination_arms(spark, sf):
+    """Flagged hits among the ten best of every query, with and without a filter."""
+    e = table(spark, sf, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select("vec_id", "embedding").orderBy("vec_id").collect()
+    vectors = np.array([r[1] for r in asked]).reshape(len(asked), -1)
+    arms = [V.score_batches(rows, "vec_id", "embedding", vectors, 10).withColumn("arm", F.lit(n)) for n, rows in (("all", e), ("filtered", e.where("label <> 9")))]
+    return evaluate.rates(arms[0].unionByName(arms[1]), e.where("vec_id % 7 = 0 or label = 9"), "query", ["vec_id"], "arm")
 
 
-@query()
+SCORED = f"""{MULTI}, vr AS (SELECT vec_id, 'L' || label AS file, ((n - 1) * 5 + (n - 1) // 4 + 1)::INT AS s, ((n - 1) * 5 + (n - 1) // 4 + 5)::INT AS t FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)),
+pr AS (SELECT vec_id AS query, file, s + 7 AS line FROM vr WHERE vec_id % 20 = 0),
+fh AS (SELECT pr.query, any_value(file) AS file, min(rank) FILTER (vfile = file AND s <= line AND line <= t) AS first FROM pr LEFT JOIN (SELECT query, rank, file AS vfile, s, t FROM mr JOIN vr USING (vec_id) WHERE rank <= 20) m USING (query) GROUP BY pr.query)"""
+
+
+@query(f"WITH {SCORED} SELECT file, {SUMMARY} FROM fh GROUP BY file")
+def score_query_set(spark, sf):
+    """A query set through ranking, range lookup, first hits and their summary by file."""
+    units_ = vec_rows(spark, sf).select(F.col("slot").alias("vec_id"), F.col("path").alias("file"), "start", "end")
+    pairs = units_.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "file", (F.col("start") + 7).alias("line"))
+    results = multi(spark, sf, 20).select("query", "vec_id", "rank").join(units_, "vec_id").drop("vec_id")
+    return evaluate.scored(results, pairs, ("file",))
+
+
+@query(f"WITH {MULTI} SELECT kind, count(*) AS queries FROM (SELECT query, CASE WHEN label % 2 = 0 THEN 'section' ELSE 'function' END AS kind FROM mr WHERE rank = 1) GROUP BY kind")
+def mixed_first_kinds(spark, sf):
+    """Sections and functions ranked together: what kind comes first."""
+    both = multi(spark, sf, 5).withColumn("kind", F.when(F.col("label") % 2 == 0, "section").otherwise("function"))
+    return evaluate.first_kinds(both, "query", "kind")
+
+
+@query(f"""WITH {MULTI}, pf AS (SELECT query, 'on' AS prefix, min(rank) FILTER (label = qlabel AND vec_id <> query) AS first FROM mr WHERE rank <= 20 GROUP BY query
+UNION ALL SELECT query, 'off', min(rank) FILTER (label = qlabel AND vec_id <> query) FROM mr WHERE rank <= 5 GROUP BY query) SELECT prefix, {SUMMARY} FROM pf GROUP BY prefix""")
+def section_arms(spark, sf):
+    """Two arms of one query set (as with a prefix and without), summed up side by side."""
+    hit = (F.col("label") == F.col("qlabel")) & (F.col("vec_id") != F.col("query"))
+    arms = [evaluate.first_hits(multi(spark, sf, k), "query", hit).withColumn("prefix", F.lit(n)) for n, k in (("on", 20), ("off", 5))]
+    return evaluate.summary(arms[0].unionByName(arms[1]), ("prefix",))
+
+
+@query("""WITH d AS (SELECT toxic, r, ('0x' || substr(md5('0:' || doc_id || ':' || r), 1, 8))::BIGINT / 4294967296.0 AS u FROM labels, range(1, 201) t(r) WHERE toxic IS NOT NULL),
+k AS (SELECT r, toxic, CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.919699 THEN 2 WHEN u < 0.981012 THEN 3 WHEN u < 0.996340 THEN 4 ELSE 5 END AS k FROM d),
+m AS (SELECT r, sum(toxic * k)::DOUBLE / sum(k) AS m FROM k GROUP BY r)
+SELECT round(avg(m), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m""")
 def bootstrap_interval(spark, sf):
-    return evaluate.bootstrap(table(spark, sf, "labels"), "toxic")
+    got = evaluate.bootstrap(table(spark, sf, "labels"), "toxic", "doc_id")
+    return got.select(*[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
 # ---------------------------------------------------------------- graphs
@@ -633,9 +738,8 @@ def graph_jaccard(spark, sf):
 
 @query(f"WITH {KNN}, {UND}, tr AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT (SELECT count(*) FROM u1) AS edges, (SELECT count(*) FROM tr) AS links, count(*) AS met, round(count(*) / (SELECT count(*) FROM u1), 6) AS precision, round(count(*) / (SELECT count(*) FROM tr), 6) AS recall FROM u1 JOIN tr ON u1.a = tr.a AND u1.b = tr.b")
 def graph_precision_recall(spark, sf):
-    e = table(spark, sf, "embeddings")
-    truth = e.select(F.col("vec_id").alias("src"), "label").join(e.select(F.col("vec_id").alias("dst"), "label"), "label").where("src < dst")
-    return graph.precision_recall(near(spark, sf), truth)
+    groups = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"))
+    return graph.group_truth(near(spark, sf), groups)
 
 
 @query(f"WITH {KNN} SELECT dst, count(*) AS indegree FROM ke GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 3")
@@ -654,14 +758,43 @@ def norm_hash_dups(spark, sf):
     return table(spark, sf, "conversations").groupBy(T.norm_hash(F.col("text")).alias("hash")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'f' || c_custkey || '.py' AS path, 1::INT AS first_line, 3::INT AS last_line, 'f' || c_custkey AS heading FROM customer")
+SOURCES = {
+    "py": "import os\n\n# {0}\n@{1}\ndef f{1}(x):\n    def inner():\n        return '}}'\n    return inner\n\nclass A:\n    def g(self): pass\n",
+    "rs": "use x;\n\n/// {0}\n#[inline]\npub fn f{1}(a: &str) -> char {{\n    '}}' // }}\n}}\n\nfn open() {{\n",
+    "go": "package a\n\n// {0}\nfunc (s *S) F{1}() error {{\n\treturn nil\n}}\n",
+    "js": "const a = 1\nexport async function f{1}(x) {{\n  if (x) {{ return `}}` }}\n}}\n",
+    "c": "#include <{1}.h>\n/* {0} */\nstatic int f{1}(void) {{\n  return '{{';\n}}\nint none(void);\n",
+}
+#: What the functions of each are: (first line, last line, name); the open one of "rs" never closes.
+FOUND = {"py": [(3, 8, "f{}"), (6, 7, "inner"), (11, 11, "g")], "rs": [(3, 7, "f{}")], "go": [(3, 6, "F{}")], "js": [(2, 4, "f{}")], "c": [(2, 5, "f{}")]}
+
+
+@query(" UNION ALL ".join(f"SELECT 'f' || c_custkey || '.{x}' AS path, {a}::INT AS first_line, {b}::INT AS last_line, replace('{n}', '{{}}', c_custkey::VARCHAR) AS heading FROM customer" for x, every in FOUND.items() for a, b, n in every))
 def function_units(spark, sf):
+    """Functions of five languages, with attachments, nesting, braces in literals, and errors."""
+    from spanrank.operators import code
+
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_mktsegment").alias("m"))
+    files = None
+    for x, source in SOURCES.items():
+        text = F.replace(F.replace(F.lit(source.replace("{0}", "\1").replace("{1}", "\2").replace("{{", "{").replace("}}", "}")), F.lit("\1"), "m"), F.lit("\2"), "k")
+        one = c.select(F.concat(F.lit("f"), "k", F.lit(f".{x}")).alias("path"), text.alias("text"))
+        files = one if files is None else files.unionByName(one)
+    return code.functions(files).select("path", "start", "end", "heading")
+
+
+@query("""WITH k AS (SELECT c_custkey AS key, 20 + c_custkey % 13 AS n FROM customer), c AS (SELECT key, n, unnest(range(0, (n + 6) // 7)) AS chunk FROM k)
+SELECT 'f' || key || '.py' AS path, (2 + 7 * chunk)::INT AS first_line, least(8 + 7 * chunk, n + 1)::INT AS last_line, ('f' || key) AS heading,
+  md5('def f' || lpad(key::VARCHAR, 9, '0') || '(x):' || chr(10) || array_to_string(list_transform(range(7 * chunk, least(7 * chunk + 7, n)), lambda i: '    x += ' || lpad(i::VARCHAR, 3, '0')), chr(10))) AS body FROM c""")
+def chunked_functions(spark, sf):
+    """Long functions cut between statements into chunks under a budget, each with the header."""
     from spanrank.operators import code
 
-    c = table(spark, sf, "customer")
-    name = F.concat(F.lit("f"), F.col("c_custkey").cast("string"))
-    source = F.concat(F.lit("# "), F.col("c_mktsegment"), F.lit("\ndef "), name, F.lit("(x):\n    return x\n\nY = 1\n"))
-    return code.functions(c.select(F.concat(name, F.lit(".py")).alias("path"), source.alias("text"))).select("path", "start", "end", "heading")
+    c = table(spark, sf, "customer").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("k"))
+    body = F.transform(F.sequence(F.lit(0), (19 + F.col("c_custkey") % 13).cast("int")), lambda i: F.concat(F.lit("    x += "), F.lpad(i.cast("string"), 3, "0")))
+    text = F.concat(F.lit("def f"), "k", F.lit("(x):\n"), F.array_join(body, "\n"), F.lit("\n"))
+    files = c.select(F.concat(F.lit("f"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("heading"), text.alias("text"))
+    return code.chunked(files, 110).select("path", "start", "end", "heading", F.md5(F.col("text").cast("binary")).alias("body"))
 
 
 # ---------------------------------------------------------------- smaller operators
@@ -706,13 +839,31 @@ def untranslated(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT name, count(*) AS n FROM (SELECT unnest(['`' || source || '`', upper(lang[1]) || lang[2:] || 'Doc']) AS name FROM documents) GROUP BY name")
+@query(r"SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '`[^`\s]+`|[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+')) AS name FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY name")
 def entity_names(spark, sf):
-    text = F.concat(F.lit("see `"), "source", F.lit("` and "), F.initcap("lang"), F.lit("Doc of it"))
-    names = table(spark, sf, "documents").select(F.explode(graph.names_of(text)).alias("name"))
+    both = table(spark, sf, "documents").select("text").unionByName(table(spark, sf, "conversations").select("text"))
+    names = both.select(F.explode(graph.names_of(F.col("text"))).alias("name"))
     return names.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(r"""WITH t AS (SELECT lower(trim(regexp_replace(' ' || lang || '  Doc ', '\s+', ' ', 'g'))) AS subject, 'is from' AS relation, lower(trim(regexp_replace(upper(source), '\s+', ' ', 'g'))) AS object FROM documents
+UNION ALL SELECT lang, 'is', lang FROM documents) SELECT DISTINCT subject, relation, object FROM t WHERE subject <> object""")
+def entity_triples(spark, sf):
+    d = table(spark, sf, "documents")
+    raw = d.select(F.concat(F.lit(" "), "lang", F.lit("  Doc ")).alias("subject"), F.lit("is  FROM").alias("relation"), F.upper("source").alias("object"))
+    return graph.normal_triples(raw.unionByName(d.select(F.col("lang").alias("subject"), F.lit("Is").alias("relation"), F.initcap("lang").alias("object"))))
+
+
+@query(r"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS target FROM pages), f AS (SELECT page_id, '/' || string_split(url, '/')[4] AS path FROM pages),
+k AS (SELECT page_id AS src, 'p' || (length(target) * 7 % 50) || '#x' AS target FROM l) SELECT DISTINCT least(src, id) AS a, greatest(src, id) AS b FROM k JOIN (SELECT page_id AS id FROM pages WHERE page_id < 50) p ON regexp_replace(target, '#.*$', '') = 'p' || id WHERE src <> id""")
+def link_truth(spark, sf):
+    """Links that lead to a known page, as unordered pairs."""
+    pages = table(spark, sf, "pages")
+    found = graph.links(pages, "page_id", "html", 'href="/([^"]*)"').select("page_id", F.concat(F.lit("p"), F.length("target") * 7 % 50, F.lit("#x")).alias("target")).distinct()
+    files = pages.where("page_id < 50").select(F.col("page_id").alias("id"), F.concat(F.lit("p"), "page_id").alias("path"))
+    return graph.link_truth(found, files, "page_id")
+
+
 @query(f"WITH {KNN} SELECT count(*) AS edges, round(100.0 * count(*) FILTER (a.label = b.label) / count(*), 6) AS within FROM ke JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst")
 def graph_shares(spark, sf):
     g = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"))
@@ -732,6 +883,18 @@ def control_sample(spark, sf):
     return evaluate.group_sample(d, "lang", "doc_id", 3, "j", lab)
 
 
+@query(f"""WITH {KNN}, r AS (SELECT vec_id AS id, lead(vec_id) OVER (ORDER BY md5('c' || vec_id), vec_id) AS next FROM (SELECT vec_id FROM embeddings ORDER BY md5('c' || vec_id), vec_id LIMIT 40)),
+p AS (SELECT least(id, next) AS a, greatest(id, next) AS b FROM r WHERE next IS NOT NULL)
+SELECT a, b FROM p WHERE (a, b) NOT IN (SELECT (least(src, dst), greatest(src, dst)) FROM ke) ORDER BY md5('c' || a || '-' || b), a, b LIMIT 10""")
+def control_pairs(spark, sf):
+    """Random pairs that the graph does not propose."""
+    return graph_controls(near(spark, sf), table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")))
+
+
+def graph_controls(edges, ids):
+    return evaluate.control_pairs(edges, ids, 10, "c")
+
+
 @query("SELECT path, 'fr' AS folder FROM (SELECT lang || '/' || doc_id AS path FROM documents UNION ALL SELECT lang || 'x/' || doc_id FROM documents) WHERE starts_with(path, 'fr/')")
 def path_prefix(spark, sf):
     d = table(spark, sf, "documents")
@@ -741,11 +904,29 @@ def path_prefix(spark, sf):
 
 
 # ---------------------------------------------------------------- end to end
-@query()
+END_TO_END = """WITH RECURSIVE vr AS (SELECT vec_id AS slot, 'L' || label AS path, label, embedding, n,
+  ((n - 1) * 5 + (n - 1) // 4 + 1)::INT AS s, ((n - 1) * 5 + (n - 1) // 4 + 5)::INT AS t FROM
+  (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)),
+ch AS (SELECT vr.*, list_inner_product(vr.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM vr, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+  WHERE label <> 9 AND slot NOT IN (SELECT slot + 1 FROM vr WHERE slot % 10 = 0)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, slot) AS rank FROM ch) WHERE rank <= 128),
+isl AS (SELECT *, sum(apart) OVER (PARTITION BY path ORDER BY s) AS island FROM
+  (SELECT *, CASE WHEN lag(t) OVER (PARTITION BY path ORDER BY s) + 1 = s THEN 0 ELSE 1 END AS apart FROM top)),
+""" + RUNS.format(ground=MEDIAN["ground"], floor="CASE WHEN ground IS NULL THEN 0.95 * sc[b] ELSE sc[b] - 0.25 * greatest(sc[b] - ground, 0) END").replace(
+    "SELECT path, ss[rlo] AS first_line", "SELECT 0 AS owner, path, CASE WHEN list_min(ns[rlo:rhi]) = list_max(ns[rlo:rhi]) THEN path || ' > ' || ns[rlo] ELSE path END AS trail, ss[rlo] AS first_line"
+) + " ORDER BY score DESC, path, first_line LIMIT 5"
+
+
+@query(END_TO_END)
 def query_end_to_end(spark, sf):
-    """Filter, anti-join, exact ranking, window, merging, top ranges."""
+    """Filter, anti-join, exact ranking of narrow rows, window, hydration, merging, top ranges."""
     rows = vec_rows(spark, sf)
     rows = rows.withColumn("fm", P.fm_of(id=F.col("slot"), label=F.col("label"), supersedes=F.when(F.col("slot") % 10 == 0, F.col("slot") + 1)))
-    chosen = rank.select(rows, ["label!=9"], ["supersedes"]).drop("fm")
-    top = rank.ranked(chosen, vector(spark, sf), rank.hydration_window(5))
-    return merge.results(rank.deduplicated(top, ["owner", "path", "start", "end"]), rank.background(top), 5)
+    chosen = rank.select(rows, ["label!=9"], ["supersedes"])
+    window_ = rank.hydration_window(5)
+    top = rank.hydrate(rank.ranked(chosen.select("owner", "slot", "embedding"), vector(spark, sf), window_), rows.select("owner", "slot", "path", "start", "end", "trail"), window_)
+    return shown_all(merge.results(rank.deduplicated(top, ["owner", "path", "start", "end"]), rank.background(top), 5))
+
+
+def shown_all(df):
+    return df.withColumn("score", F.round("score", 6))
