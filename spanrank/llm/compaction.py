@@ -5,18 +5,21 @@ of one tier (a power of ``fanout`` of their bytes) have gathered, they are
 merged into one run of shards near the target size.  What the store holds is
 what the newest manifest names: a manifest is a new file, made under another name
 and renamed without overwriting, so a version appears whole or not at all, two
-writers can't commit the same version, and readers keep the version they opened.
-Data moves from executor to executor only inside Spark; the driver handles names
-and sizes of shards.
-
-Defined results: an empty arrival commits a run without rows; repeated rows and
-nulls are kept as they are; columns are the table's own, whatever their names.
+writers can't commit the same version, and readers keep the version they opened:
+nothing is deleted by a commit, only by a vacuum, after a time of retention.  A writer
+that finds its version taken commits to the next one.  Data moves from executor to
+executor only inside Spark; the driver handles names and sizes of shards.
+
+Defined results: an empty arrival commits a run without rows; repeated rows, nulls and
+very long texts are kept as they are; runs of equal size are merged together; columns
+are the table's own, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from spanrank.llm.common import sha256_hex, shared_dir, text_of
 
 FANOUT, TARGET = 4, 128 << 20
+#: Seconds for which a vacuum leaves old versions readable.
+RETENTION = 7 * 24 * 3600.0
 #: A merge never reads its shards in more pieces than files it writes, times this.
 SPLITS = 4
 
@@ -97,8 +102,13 @@ class Store:
         return Run(name, len(files), sum(files))
 
     def add(self, runs: list[Run], schema: dict) -> dict:
-        was = self.manifest()
-        return self.commit(was, [Run(**r) for r in was["runs"]] + runs, schema)
+        """Commit runs beside what the newest version names, after whichever writer came first."""
+        while True:
+            was = self.manifest()
+            try:
+                return self.commit(was, [Run(**r) for r in was["runs"]] + runs, schema)
+            except Conflict:  # each one is another writer's progress
+                continue
 
     def append(self, arrivals: DataFrame) -> dict:
         """One arrival: its partitions become one run of small shards."""
@@ -138,19 +148,56 @@ class Store:
         return self.spark.read.schema(kind).option("basePath", self.root).option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{r.name}" for r in runs])
 
     def compact(self) -> dict:
-        """Merge while a tier has enough runs; each merge is one commit."""
+        """Merge while a tier has enough runs; each merge is one commit.
+
+        The merged runs stay on disk for those who read older versions, until a
+        vacuum.  After a conflict the merge is committed to the version that won, if
+        that still names all it merged; else it is dropped and what is due chosen anew."""
         now = self.manifest()
         while chosen := self.due([Run(**r) for r in now["runs"]]):
             name, held = f"runs/{uuid.uuid4().hex}", sum(r.bytes for r in chosen)
             # Whole partitions are joined, nothing is shuffled.
             self.load(chosen, now["schema"]).coalesce(max(1, round(held / self.target))).write.parquet(f"{self.root}/{name}")
-            gone = {r.name for r in chosen}
-            kept = [Run(**r) for r in now["runs"] if r["name"] not in gone]
-            now = self.commit(now, [*kept, self.measure(name)], now["schema"])
-            for r in chosen:  # no version from this one on names them
-                self.fs.delete(self.path(f"{self.root}/{r.name}"), True)
+            merged, gone = self.measure(name), {r.name for r in chosen}
+            while gone <= {r["name"] for r in now["runs"]}:
+                kept = [Run(**r) for r in now["runs"] if r["name"] not in gone]
+                try:
+                    now = self.commit(now, [*kept, merged], now["schema"])
+                    break
+                except Conflict:
+                    now = self.manifest()
+            else:
+                self.fs.delete(self.path(f"{self.root}/{name}"), True)
         return now
 
+    def vacuum(self, retention: float = RETENTION) -> int:
+        """Delete manifests, but for the newest, and runs that no manifest left names,
+        all older than ``retention`` seconds; how many went.
+
+        Runs that were written but never committed go by the same rule, so a writer
+        must commit within that time."""
+        before = time.time() - retention
+        newest, named = self.version(), set()
+        for s in self.listed("manifest"):
+            file = s.getPath().getName()
+            if file.startswith("v") and (int(file[1:-5]) == newest or s.getModificationTime() / 1000 > before):
+                named |= {r["name"] for r in self.manifest(int(file[1:-5]))["runs"]}
+            elif s.getModificationTime() / 1000 <= before:
+                self.fs.delete(s.getPath(), False)
+        gone = 0
+        for s in self.listed("runs"):
+            name = f"runs/{s.getPath().getName()}"
+            parts = [f"{name}/{x.getPath().getName()}" for x in self.listed(name) if x.isDirectory() and "=" in x.getPath().getName()]
+            dead = [n for n in (parts or [name]) if n not in named] if s.getModificationTime() / 1000 <= before else []
+            for n in [name] if dead and len(dead) == len(parts or [name]) else dead:
+                self.fs.delete(self.path(f"{self.root}/{n}"), True)
+            gone += len(dead)
+        return gone
+
+    def listed(self, name: str) -> list:
+        place = self.path(f"{self.root}/{name}")
+        return list(self.fs.listStatus(place)) if self.fs.exists(place) else []
+
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
         if m["schema"] is None:
@@ -165,6 +212,7 @@ def compacted(docs: DataFrame, arrivals: int = 8, target: int = TARGET, unit: in
     while by in docs.columns:
         by += "_"
     store.append_each(docs.withColumn(by, F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(arrivals))), by)
+    store.vacuum(0)  # nobody else has opened it
     return store
 
 

@@ -53,7 +53,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     least = f"array_min(transform(slice(c, k, {WINDOW}), (x, j) -> struct(x.h as h, -(k + j) as at)))"
     windows = f"transform(filter(sequence(1, greatest(size(c) - {WINDOW - 1}, 1)), k -> size(c) >= {WINDOW}), k -> -{least}.at)"
     long = "transform(filter(transform(c, (x, j) -> if(x.long, j + 1, 0)), k -> k > 0), k -> k)"
-    chosen = told.withColumn("_at", F.expr(f"array_distinct(concat({windows}, {long}))")).where(F.size("_at") > 0)
+    # No condition on it: pushed down, it would work the lines out anew for every window.
+    chosen = told.withColumn("_at", F.expr(f"array_distinct(concat({windows}, {long}))"))
     around = ", ".join(f"get(c, k - 1 + {d})" for d in range(1 - WINDOW, WINDOW))
     return chosen.select("doc", "digest", F.expr(f"inline(transform(_at, k -> struct(c[k - 1].h as print, array({around}) as near)))"))
 

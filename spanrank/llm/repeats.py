@@ -482,7 +482,7 @@ def runs_of(flags: np.ndarray, doc: np.ndarray, dig: np.ndarray, start: np.ndarr
 
 
 #: Bytes of open stretches indexed together.
-SHARD = 1 << 21
+SHARD = 1 << 20
 
 
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ from spanrank.llm.repeats import Shape, U
 
 LENGTH, GRAM = 100, 32
 #: Tuples a queue keeps in memory, and tuples scanned at once.
-IN_MEMORY, SCANNED = 1 << 17, 1 << 15
+IN_MEMORY, SCANNED = 1 << 16, 1 << 15
 #: Symbols of a string of names up to which it is sorted by induction, if it is so many times longer.
 BUCKETS, LONGER = 1 << 13, 16
 #: Common prefixes are known as far as this; as a byte, so below 255.
@@ -50,8 +50,8 @@ class Queue:
     """Suffix tuples by first symbol, then by arrival; what exceeds ``limit`` tuples
     waits on disk.  A tuple is one number, place * 256 + common prefix."""
 
-    def __init__(self, sigma: int, folder: str | None = None, limit: int = IN_MEMORY):
-        self.folder, self.limit, self.held = folder, limit, 0
+    def __init__(self, sigma: int, folder: str | None = None, limit: int = IN_MEMORY, kind: type = np.int64):
+        self.folder, self.limit, self.held, self.kind, self.files = folder, limit, 0, kind, []
         self.parts: list[list[np.ndarray]] = [[] for _ in range(sigma)]
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # on disk: tuples, and where each symbol's start
         self.from_run = np.zeros(sigma, np.int64)  # runs of which a symbol's tuples were taken
@@ -59,7 +59,7 @@ class Queue:
 
     def push(self, symbol: int, tuples: np.ndarray) -> None:
         if len(tuples):
-            self.parts[symbol].append(tuples)
+            self.parts[symbol].append(tuples.astype(self.kind))
             self.held += len(tuples)
             if self.folder and self.held > self.limit:
                 self.spill()
@@ -74,11 +74,19 @@ class Queue:
         sizes = np.array([sum(map(len, p)) for p in self.parts])
         name = os.path.join(self.folder, uuid.uuid4().hex + ".npy")
         np.save(name, np.concatenate([x for p in self.parts for x in p]))
+        self.files.append(name)
         self.runs.append((np.load(name, mmap_mode="r"), np.concatenate([[0], np.cumsum(sizes)])))
         self.parts = [[] for _ in self.parts]
         self.spilled += self.held
         self.held = 0
 
+    def close(self) -> None:
+        """Its files go."""
+        self.runs.clear()
+        for name in self.files:
+            os.remove(name)
+        self.files.clear()
+
     def take(self, symbol: int) -> Iterator[np.ndarray]:
         """The tuples of a symbol that wait now, in order, once, a block at a time."""
         first, self.from_run[symbol] = self.from_run[symbol], len(self.runs)
@@ -169,8 +177,8 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, shared: np.ndarr
     shared = shared if told else np.zeros(len(lms), np.uint8)
     cuts = np.searchsorted(text[lms], np.arange(sigma + 1))
     runs = run_lengths(text)
-    larger, out = Queue(sigma, folder, limit), Queue(sigma, folder, limit)
-    rising = Queue(sigma, folder, limit)
+    kind = np.uint32 if n < 1 << 24 else np.int64
+    larger, out, rising, waiting = (Queue(sigma, folder, limit, kind) for _ in range(4))
     scan = Scan(text, is_s, False, rising, sigma, told)
     last = np.full(sigma, -1, np.int64)  # the greatest L suffix of each symbol
     for c in range(sigma):
@@ -178,7 +186,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, shared: np.ndarr
         while blocks := list(rising.take(c)):
             for x in blocks:
                 larger.push(c, x)
-                places, l = x >> 8, (x & 255).astype(np.int16)
+                places, l = (x >> 8).astype(np.int64), (x & 255).astype(np.int16)
                 if not lead:
                     l[0] = 0
                 lead, last[c] = 1, places[-1]
@@ -188,7 +196,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, shared: np.ndarr
             if lo == cuts[c]:
                 l[0] = min(runs[last[c]], runs[places[0]]) if lead else 0
             scan.feed(places, l)
-    waiting = Queue(sigma, folder, limit)
+    rising.close()
     waiting.push(int(text[-1]), np.array([(n - 1) * 256], np.int64))  # nothing follows the last suffix to induce it
     scan = Scan(text, is_s, True, waiting, sigma, told)
     for c in range(sigma - 1, -1, -1):
@@ -196,7 +204,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, shared: np.ndarr
         while blocks := list(waiting.take(c)):
             for x in blocks:
                 out.push(c, x)
-                places, l = x >> 8, (x & 255).astype(np.int16)
+                places, l = (x >> 8).astype(np.int64), (x & 255).astype(np.int16)
                 if least < 0:
                     l[0] = 0
                 least = int(places[-1])
@@ -205,7 +213,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, shared: np.ndarr
         for x in larger.falling(c):
             l = (x & 255).astype(np.int16)
             l[1:], l[0], above = l[:-1].copy(), above, l[-1]
-            scan.feed(x >> 8, l)
+            scan.feed((x >> 8).astype(np.int64), l)
     order, common = mapped(folder, n, np.int32), mapped(folder, n, np.uint8)
     at = 0
     for c in range(sigma):
@@ -223,6 +231,8 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, shared: np.ndarr
             common[middle] = min(runs[order[middle - 1]], runs[order[middle]])
         if first < at:
             common[first] = 0
+    for queue in (larger, out, waiting):
+        queue.close()
     return order, common
 
 
@@ -231,6 +241,13 @@ def mapped(folder: str | None, n: int, kind: type) -> np.ndarray:
     return np.memmap(os.path.join(folder, uuid.uuid4().hex), kind, "w+", shape=(n,)) if folder and n else np.zeros(n, kind)
 
 
+def unmapped(*arrays: np.ndarray) -> None:
+    """Their files go."""
+    for x in arrays:
+        if isinstance(x, np.memmap):
+            os.remove(x.filename)
+
+
 def run_lengths(text: np.ndarray) -> np.ndarray:
     """How often each place's symbol follows itself from there, DEEP at most."""
     n = len(text)
@@ -278,12 +295,13 @@ def suffix_order(text: np.ndarray, folder: str | None = None, limit: int = IN_ME
     is_s = smaller_types(text)
     lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int64)
     if not len(lms):
-        return np.arange(len(text))[::-1], np.zeros(len(text), np.uint8)
+        return np.arange(len(text), dtype=np.int32)[::-1], np.zeros(len(text), np.uint8)
     start = lms[np.argsort(text[lms], kind="stable")]
-    order, _ = induce(text, is_s, start, None, sigma, folder, limit)
+    every = induce(text, is_s, start, None, sigma, folder, limit)
     marked = np.zeros(len(text), bool)
     marked[lms] = True
-    order = order[marked[order]].astype(np.int64)  # the LMS substrings in order
+    order = np.asarray(every[0][marked[every[0]]], np.int64)  # the LMS substrings in order
+    unmapped(*every)
     ends = np.full(len(text), len(text), np.int64)
     ends[lms[:-1]] = lms[1:] + 1
     size = ends[order] - order
@@ -296,7 +314,9 @@ def suffix_order(text: np.ndarray, folder: str | None = None, limit: int = IN_ME
     if alphabet == len(short):
         sorted_ = lms[np.argsort(short, kind="stable")]
     elif alphabet <= buckets and len(short) > LONGER * alphabet and short[-1] == 0 and (short[:-1] > 0).all():
-        sorted_ = lms[suffix_order(short.astype(np.int16), folder, limit, rounds, buckets)[0]]
+        shorter = suffix_order(short.astype(np.int16), folder, limit, rounds, buckets)
+        sorted_ = lms[shorter[0]]
+        unmapped(*shorter)
     else:
         sorted_ = lms[np.argsort(doubled(short, rounds), kind="stable")]
     return induce(text, is_s, sorted_, common_prefixes(text, sorted_, DEEP), sigma, folder, limit)
@@ -318,8 +338,9 @@ def equal_windows(blobs: pa.Array, windows: np.ndarray, doc: np.ndarray, dig: np
     place = np.repeat(at - heads, windows) + np.arange(len(owner))
     number = np.full(len(text), -1, np.int32)
     number[place] = np.arange(len(place))
-    group = np.cumsum(common < length)
+    group = np.cumsum(common < length, dtype=np.int32)
     who = number[order]
+    unmapped(text, order, common)
     group, who = group[who >= 0], who[who >= 0]
     places = np.stack([doc[owner[who]], dig[owner[who]], start[owner[who]] + who - heads[owner[who]]])
     best = np.lexsort((places[2], places[1], places[0], group))

@@ -1,9 +1,16 @@
 """URL filters: rules first, then logistic regression on hashed n-grams
 (DataFrame functions only).
 
+The model learns from a table of labelled urls (url, label: 1 to block), the caller's
+or this module's small one, which was made up for it: hosts built from general English
+words to allow and from words of the spam trade to block; none is taken from any
+table it judges.  ``held_out`` measures it on hosts whose words it hasn't seen.
+
 Defined results: a null url, or one without ``://``, has an empty host and an
-empty path, meets no rule, and is allowed; an empty seed table gives a model
-that allows everything; repeated urls get equal verdicts.
+empty path, meets no rule, and is allowed; an empty table of labels gives a model
+that allows everything; repeated urls get equal verdicts, and repeated labels count
+once a row; rules of equal length go by their text; the whole of a very long url is
+read; columns beside the named ones take no part.
 """
 
 from __future__ import annotations
@@ -19,21 +26,23 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: The small labelled table the query trains on: words of hosts, by label.
-BLOCK_HOSTS = (
-    "cheap-pills.test", "spam-farm.test", "best-casino.test", "free-casino-bonus.test", "cheap-watches.test",
-    "pills-online.test", "win-money-fast.test", "hot-singles.test", "payday-loans.test", "cheap-meds.test",
-    "link-farm.test", "spam-links.test", "farm-of-spam.test", "adult-cams.test", "xxx-videos.test",
-    "replica-bags.test", "free-pills.test", "discount-pills.test", "lottery-winner.test", "seo-spam.test",
-    "adult-site.test", "adult-dating.test", "ads-server.test", "click-ads.test", "free-spins.test",
+#: Words of the small labelled table: what hosts to block and to allow are made of.
+BLOCK_WORDS = (
+    "casino", "poker", "bets", "betting", "jackpot", "lottery", "slots", "pills", "pharma", "viagra", "cialis", "meds", "payday", "loans",
+    "replica", "watches", "xxx", "adult", "porn", "sexy", "singles", "escort", "cams", "spam", "seo", "backlinks", "linkfarm", "clickads",
+    "ads", "adtrack", "popups", "warez", "torrent", "cracked", "keygen", "crypto", "giveaway", "prizes", "moneyfast", "weightloss",
 )
-ALLOW_HOSTS = (
-    "therat.test", "ththen.test", "blog.theres.test", "m.thertion.test", "thother.test",
-    "tionsh.test", "news.theland.test", "library.test", "docs.python.test", "museum-online.test",
-    "blog.gardening.test", "weather.test", "university.test", "city-council.test", "history-society.test",
-    "recipes.test", "m.sports-news.test", "hospital.test", "ththing.test", "thering.test",
-    "blog.thernd.test", "theren.test", "ththly.test", "school.test",
+ALLOW_WORDS = (
+    "weather", "theatre", "northern", "gathering", "together", "brother", "mother", "rhythm", "thesis", "thinking", "earth", "health",
+    "nation", "station", "education", "library", "fashion", "edition", "action", "relation", "fiction", "vision", "portion", "lotion",
+    "museum", "history", "garden", "recipes", "hospital", "school", "college", "council", "city", "village", "music", "painting",
+    "science", "physics", "biology", "research", "journal", "daily", "evening", "morning", "courier", "letters", "reading", "writing",
+    "cycling", "running", "hiking", "river", "mountain", "harbour", "bridge", "railway", "airport", "travel", "kitchen", "bakery",
+    "farmers", "orchard", "forest", "animals", "birds", "planets", "climate", "energy", "software", "support", "status", "docs",
+    "forum", "wiki", "parish", "charity", "community", "family", "children", "teacher", "theory", "method", "otherwise", "number",
 )
+#: What stands around them: the same for both.
+AROUND = ("{}.test", "www.{}.test", "my-{}.test", "{}-online.test", "blog.{}.test", "m.the-{}.test", "{}24.test", "free-{}.test")
 PATHS = ("/en/145", "/fr/72.html", "/de/980/", "/es/3?page=2&ref=x", "/en/511#top")
 BUCKETS, SIZES, MAX_LABELLED, ROUNDS, RATE, DECAY = 4096, (3, 4, 5), 2000, 400, 4.0, 1e-4
 
@@ -67,8 +76,24 @@ def features(df: DataFrame, host: str, path: str, buckets: int = BUCKETS) -> Dat
 
 
 def seed_table(spark: SparkSession) -> DataFrame:
-    rows = [(f"https://{h}{p}", y) for y, hosts in ((1, BLOCK_HOSTS), (0, ALLOW_HOSTS)) for h in hosts for p in PATHS]
-    return spark.createDataFrame(rows, "url string, label int")
+    """url, label, word: the small labelled table."""
+    made = [(w, y, k) for y, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for k, w in enumerate(words)]
+    rows = [(f"https://{AROUND[(k + j) % len(AROUND)].format(w)}{PATHS[(k + 2 * j) % len(PATHS)]}", y, w) for w, y, k in made for j in range(4)]
+    return spark.createDataFrame(rows, "url string, label int, word string")
+
+
+def held_out(labelled: DataFrame, group: str = "word", folds: int = 5, threshold: float = 0.5) -> DataFrame:
+    """One row: how many labelled urls were judged, with the precision and recall of
+    "block", each by a model that saw no url of the same ``group``."""
+    out, fold = None, F.pmod(F.xxhash64(group), F.lit(folds))
+    for k in range(folds):
+        weights = fit(labelled.where(fold != k).select("url", "label"))
+        host, path = host_path(F.col("url"))
+        rest = features(labelled.where(fold == k).select("label", host.alias("_h"), path.alias("_q")), "_h", "_q")
+        told = rest.select("label", (score("_f", weights) >= threshold).cast("int").alias("said"))
+        out = told if out is None else out.unionByName(told)
+    hits = F.sum(F.col("label") * F.col("said"))
+    return out.agg(F.count(F.lit(1)).alias("n"), (hits / F.sum("said")).alias("precision"), (hits / F.sum("label")).alias("recall"))
 
 
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS, rounds: int = ROUNDS) -> list[float]:
@@ -110,7 +135,7 @@ def score(features_col: str, weights: list[float]) -> Column:
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's score for every row."""
-    weights = fit(labelled)
+    weights = fit(labelled.select("url", "label"))
     host, path = host_path(pages["url"])
     parsed = features(pages.select(pages["page_id"], host.alias("host"), path.alias("path")), "host", "path")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -122,5 +147,5 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, st
     )
 
 
-def op8(pages: DataFrame) -> DataFrame:
-    return judge_urls(pages, seed_table(pages.sparkSession))
+def op8(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    return judge_urls(pages, seed_table(pages.sparkSession) if labelled is None else labelled)

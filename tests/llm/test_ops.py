@@ -267,6 +267,25 @@ def test_store(spark, tmp_path):
     assert store.read().count() == 2 * docs.count() and store.read(first["version"]).count() == docs.count()
     with pytest.raises(compaction.Conflict):
         store.commit(first, [], first["schema"])
+    # A frame opened before a compaction reads on after it, until a vacuum.
+    opened, n = store.read(), docs.count()
+    for _ in range(3):
+        store.append(docs)
+    store.compact()
+    assert opened.count() == 2 * n and store.read().count() == 5 * n
+    assert store.vacuum() == 0 and store.read(first["version"]).count() == n
+    assert store.vacuum(-60) > 0 and store.read().count() == 5 * n
+    # A writer that comes second commits to the next version.
+    plain, late = store.manifest, []
+
+    def stale(version=None):
+        out = plain(version)
+        if version is None and not late:
+            late.append(compaction.Store.add(compaction.Store(spark, store.root), [], out["schema"]))
+        return out
+
+    store.manifest = stale
+    assert store.append(docs)["version"] == late[0]["version"] + 1 and store.read().count() == 6 * n
     empty = compaction.op7(frame(spark, EMPTY))
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_bytes", "text_sha256"]
 
