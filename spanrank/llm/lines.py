@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         i.alias("i"),
         F.when(x.rlike(HAS_WORD), F.xxhash64(x)).alias("h"),
         F.unhex(F.md5(F.encode(x, "UTF-8"))).alias("m"),
-        (F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]++")) >= LONG).alias("long"),
+        x.rlike(rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){{{LONG}}}").alias("long"),
     )
     told = docs.select(doc.alias("doc"), digest.alias("digest"), F.filter(F.transform(F.split(text_of(docs), "\n"), line), lambda x: x["h"].isNotNull()).alias("c"))
     # The selected place of each window: the last of the least, by (hash, -place).
