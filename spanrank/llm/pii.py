@@ -283,10 +283,23 @@ def found_spans(docs: DataFrame, **limits) -> DataFrame:
     return short.join(by, short["doc_id"].eqNullSafe(by["_doc"]) & (short["_digest"] == by["_dig"]), "left")
 
 
+def name(kind: str):
+    return lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string"))
+
+
+def told() -> list[Column]:
+    """The counts of base spans, and the digest of their list."""
+    base = F.concat(*[F.transform(f"_{k}", name(k)) for k in KINDS])
+    return [*[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.encode(F.array_join(base, ","), "UTF-8"), 256).alias("base_sha256")]
+
+
+def based(docs: DataFrame) -> DataFrame:
+    """The base spans of every row, counted and digested."""
+    return base_spans(docs, ("doc_id",)).select("doc_id", *told())
+
+
 def op10(docs: DataFrame) -> DataFrame:
     out = found_spans(docs)
-    name = lambda k: lambda x: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string"))
-    base = F.concat(*[F.transform(f"_{k}", name(k)) for k in KINDS])
     more = F.transform(F.coalesce("_found", F.array().cast("array<struct<s:int,e:int,k:string>>")), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
     # All spans: by kind as listed, then start; a found span stands among its kind.
     per_kind = [
@@ -301,8 +314,7 @@ def op10(docs: DataFrame) -> DataFrame:
     ]
     return out.select(
         "doc_id",
-        *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
-        F.sha2(F.encode(F.array_join(base, ","), "UTF-8"), 256).alias("base_sha256"),
+        *told(),
         F.array_join(F.concat(*per_kind), ",").alias("spans"),
         F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_found"),
     )

@@ -17,7 +17,12 @@ A stratum with too few good labels to admit even a rule that rejects none of the
 (n ln(1 - risk) > ln(error / strata)) is tested together with all others like it;
 what is promised then holds for their documents taken together.
 
-Defined results: a null or empty text has no words and fails the base rules; a
+The labels are not split: the order is fixed without the good labels of the stratum
+that it is tested on, and the test stops at its first failure, so each of them serves
+as held out.  Strata are those that have labels.
+
+Defined results: a null or empty text has no words and fails the base rules; equal
+gains go to the milder cut-off, and a very long text is measured as a whole; a
 null stratum is a stratum of its own; where even the pooled strata have too few
 labels, or a stratum has none, it gets no rule and so loses nothing; rows are judged one by one, so repeated
 rows get equal verdicts; labels that repeat count once per row; an empty table
@@ -221,6 +226,11 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **limits:
     )
 
 
+def base(docs: DataFrame) -> DataFrame:
+    """The counts of every row and whether it fails the base rules, whatever the labels."""
+    return measured(docs).withColumn("base_failed", base_failed()).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged(docs, labels).select(
         "doc_id",

@@ -46,6 +46,21 @@ def op10_pii(spark, sf_dir):
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
+def quality_base_counts(spark, sf_dir):
+    """What of operator 3 SQL can say: the counts and the base rules."""
+    return quality.base(table(spark, sf_dir, "documents"))
+
+
+def url_rules(spark, sf_dir):
+    """What of operator 8 SQL can say: hosts, paths and rules."""
+    return urls.ruled(table(spark, sf_dir, "pages"))
+
+
+def pii_base_spans(spark, sf_dir):
+    """What of operator 10 SQL can say: the base spans."""
+    return pii.based(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -59,5 +74,8 @@ QUERIES = {
         op8_url_filters,
         op9_substring_dedup,
         op10_pii,
+        quality_base_counts,
+        url_rules,
+        pii_base_spans,
     )
 }

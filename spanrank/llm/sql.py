@@ -64,7 +64,53 @@ u AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.y FROM r JOIN u ON u.x = r.b)
 SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a"""
 
+#: Counts of every whole text, and the base rules.
+BASE_COUNTS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+t AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+r AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS w FROM t) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+c AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c"""
+
+#: Host, path and the longest fitting rule of every url.
+URL_RULES = r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+f AS (SELECT page_id, rule, verdict FROM u, (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+  ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')) r(verdict, rule, name, head)
+  WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, head) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
+SELECT u.page_id, host, path, rule, verdict FROM u LEFT JOIN f ON f.page_id = u.page_id"""
+
+PATTERNS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast('0' || right(x, 3) AS INT), 0) <= 255))"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", "length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN (length(d) - j) % 2 = 0 THEN d[j]::INT ELSE (2 * d[j]::INT) // 10 + (2 * d[j]::INT) % 10 END)) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15"),
+)
+
+#: Base spans of the four kinds, by place.
+BASE_SPANS = (
+    "WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
+    + ", ".join(
+        f"m_{kind} AS (SELECT doc_id, {k} AS k, i, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d, (list_sum(list_transform(range(1, i + 1), lambda j: length(bs[j]))) + coalesce(list_sum(list_transform(range(1, i), lambda j: length(ms[j]))), 0))::BIGINT AS s "
+        f"FROM (SELECT doc_id, ms, bs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_split_to_array(t, '{pattern}') AS bs FROM t))), "
+        f"s_{kind} AS (SELECT doc_id, k, s, '{kind}:' || s || ':' || (s + length(m)) AS said FROM m_{kind} WHERE {test})"
+        for k, (kind, pattern, test) in enumerate(PATTERNS)
+    )
+    + ", a AS ("
+    + " UNION ALL ".join(f"SELECT * FROM s_{kind}" for kind, _, _ in PATTERNS)
+    + ") SELECT t.doc_id, "
+    + ", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, (kind, _, _) in enumerate(PATTERNS))
+    + ", sha256(coalesce(string_agg(said, ',' ORDER BY k, s), '')) AS base_sha256 FROM t LEFT JOIN a ON a.doc_id = t.doc_id GROUP BY t.doc_id"
+)
+
 ORACLES: dict[str, str] = {
+    "quality_base_counts": BASE_COUNTS,
+    "url_rules": URL_RULES,
+    "pii_base_spans": BASE_SPANS,
     "op4_suffix_array_dedup": BYTES,
     "op5_minhash_near_dedup": NEAR,
     "op9_substring_dedup": PASSAGES,

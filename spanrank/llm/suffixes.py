@@ -145,12 +145,17 @@ class Scan:
         # The least common prefix since a symbol's last tuple; below 0 before its first.
         self.least = np.full(sigma, -1, np.int16)
 
-    def feed(self, places: np.ndarray, shared: np.ndarray) -> None:
-        """``shared``: with the suffix scanned before."""
+    def feed(self, places: np.ndarray, shared: np.ndarray, own: int) -> None:
+        """``shared``: with the suffix scanned before; ``own``: the symbol of the suffixes."""
+        for at in range(0, len(places), SCANNED):
+            self.feed_block(places[at : at + SCANNED], shared[at : at + SCANNED], own)
+
+    def feed_block(self, places: np.ndarray, shared: np.ndarray, own: int) -> None:
         before = places - 1
         known = np.flatnonzero(places > 0)
         known = known[self.is_s[before[known]] == self.kind]
         symbols = self.text[before[known]]
+        known, symbols = known[symbols != own], symbols[symbols != own]  # see chained
         order = np.argsort(symbols, kind="stable")
         at, symbols = known[order], symbols[order]
         if not self.told:
@@ -170,6 +175,30 @@ class Scan:
         self.queue.deal(symbols, before[at] * 256 + np.minimum(least + 1, DEEP))
 
 
+def chained(places: np.ndarray, shared: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A symbol's suffixes that start with it once, in order, and after them those that
+    start with runs of it: what a place with ``back`` more of its symbol before it
+    induces in its own bucket, run by run, however long the runs."""
+    more = back[places]
+    if not more.any():
+        return places, shared
+    who = np.repeat(np.arange(len(places)), more)
+    step = 1 + np.arange(len(who)) - np.repeat(np.cumsum(more) - more, more)
+    order = np.lexsort((who, step))
+    who, step = who[order], step[order]
+    new = np.append(True, step[1:] != step[:-1])
+    rest = np.flatnonzero(~new)
+    own = step.copy()  # the first of a run's length shares the shorter run with the one before
+    own[rest] += least_between(shared, who[rest - 1] + 1, who[rest])
+    return np.concatenate([places, places[who] - step]), np.concatenate([shared, np.minimum(own, DEEP).astype(np.int16)])
+
+
+def one(blocks: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and common prefixes of tuples."""
+    x = np.concatenate([np.empty(0, np.int64), *blocks]).astype(np.int64)
+    return x >> 8, (x & 255).astype(np.int16)
+
+
 def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, shared: np.ndarray | None, sigma: int, folder: str | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order and what each shares with the one before it, induced from
     the LMS suffixes in order and what they share (or nothing: the order alone)."""
@@ -177,43 +206,40 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, shared: np.ndarr
     shared = shared if told else np.zeros(len(lms), np.uint8)
     cuts = np.searchsorted(text[lms], np.arange(sigma + 1))
     runs = run_lengths(text)
+    starts = np.maximum.accumulate(np.where(np.append(True, text[1:] != text[:-1]), np.arange(n, dtype=np.int32), 0))
+    back = np.arange(n, dtype=np.int32) - starts
     kind = np.uint32 if n < 1 << 24 else np.int64
     larger, out, rising, waiting = (Queue(sigma, folder, limit, kind) for _ in range(4))
     scan = Scan(text, is_s, False, rising, sigma, told)
     last = np.full(sigma, -1, np.int64)  # the greatest L suffix of each symbol
     for c in range(sigma):
-        lead = 0
-        while blocks := list(rising.take(c)):
-            for x in blocks:
-                larger.push(c, x)
-                places, l = (x >> 8).astype(np.int64), (x & 255).astype(np.int16)
-                if not lead:
-                    l[0] = 0
-                lead, last[c] = 1, places[-1]
-                scan.feed(places, l)
-        for lo in range(cuts[c], cuts[c + 1], SCANNED):
-            places, l = lms[lo : min(lo + SCANNED, cuts[c + 1])], shared[lo : min(lo + SCANNED, cuts[c + 1])].astype(np.int16)
-            if lo == cuts[c]:
-                l[0] = min(runs[last[c]], runs[places[0]]) if lead else 0
-            scan.feed(places, l)
+        places, l = one(rising.take(c))
+        if len(places):
+            l[0] = 0
+            places, l = chained(places, l, back)
+            larger.push(c, places * 256 + l)
+            last[c] = places[-1]
+            scan.feed(places, l, c)
+        if cuts[c] < cuts[c + 1]:
+            places, l = lms[cuts[c] : cuts[c + 1]], shared[cuts[c] : cuts[c + 1]].astype(np.int16)
+            l[0] = min(runs[last[c]], runs[places[0]]) if last[c] >= 0 else 0
+            scan.feed(places, l, c)
     rising.close()
     waiting.push(int(text[-1]), np.array([(n - 1) * 256], np.int64))  # nothing follows the last suffix to induce it
     scan = Scan(text, is_s, True, waiting, sigma, told)
     for c in range(sigma - 1, -1, -1):
-        least = -1  # the smallest S suffix of the symbol
-        while blocks := list(waiting.take(c)):
-            for x in blocks:
-                out.push(c, x)
-                places, l = (x >> 8).astype(np.int64), (x & 255).astype(np.int16)
-                if least < 0:
-                    l[0] = 0
-                least = int(places[-1])
-                scan.feed(places, l)
-        above = min(runs[last[c]], runs[least]) if least >= 0 and last[c] >= 0 else 0
+        above = 0
+        places, l = one(waiting.take(c))
+        if len(places):
+            l[0] = 0
+            places, l = chained(places, l, back)
+            out.push(c, places * 256 + l)
+            scan.feed(places, l, c)
+            above = min(runs[last[c]], runs[places[-1]]) if last[c] >= 0 else 0
         for x in larger.falling(c):
             l = (x & 255).astype(np.int16)
             l[1:], l[0], above = l[:-1].copy(), above, l[-1]
-            scan.feed((x >> 8).astype(np.int64), l)
+            scan.feed((x >> 8).astype(np.int64), l, c)
     order, common = mapped(folder, n, np.int32), mapped(folder, n, np.uint8)
     at = 0
     for c in range(sigma):
@@ -255,20 +281,20 @@ def run_lengths(text: np.ndarray) -> np.ndarray:
     return np.minimum(np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n, dtype=np.int32) + 1, DEEP).astype(np.int16)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix the symbols it shares with the one before it, ``most`` at most."""
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each suffix the symbols it shares with the one before it, as far as its own ``most``."""
     out = np.zeros(len(order), np.int32)
     padded = np.concatenate([text.astype(np.uint32 if int(text.max(initial=0)) > 65535 else np.uint16), np.zeros(8, np.uint16)])
     each = 8 // padded.itemsize
     wide = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(padded) - each + 1, each), (padded.itemsize,) * 2)).view("<u8").ravel()
     live, depth = np.arange(1, len(order)), 0
-    while len(live) and depth < most:
+    while len(live := live[most[live] > depth]):
         a, b = order[live] + depth, order[live - 1] + depth
         inside = np.maximum(a, b) < len(text)
         live, a, b = live[inside], a[inside], b[inside]
         differ = wide[a] ^ wide[b]
         equal = np.where(differ == 0, each, np.bitwise_count((differ & (~differ + U(1))) - U(1)).astype(np.int64) // (64 // each))
-        out[live] = np.minimum(depth + equal, most)
+        out[live] = np.minimum(depth + equal, most[live])
         live, depth = live[differ == 0], depth + each
     return out
 
@@ -306,7 +332,7 @@ def suffix_order(text: np.ndarray, folder: str | None = None, limit: int = IN_ME
     ends[lms[:-1]] = lms[1:] + 1
     size = ends[order] - order
     # Equal substrings get one name: compared symbol by symbol.
-    same = np.append(False, (size[1:] == size[:-1]) & (common_prefixes(text, order, int(size.max()))[1:] >= size[1:]))
+    same = np.append(False, (size[1:] == size[:-1]) & (common_prefixes(text, order, size)[1:] >= size[1:]))
     names = np.empty(len(text), np.int64)
     names[order] = np.cumsum(~same) - 1
     short = names[lms]
@@ -319,7 +345,7 @@ def suffix_order(text: np.ndarray, folder: str | None = None, limit: int = IN_ME
         unmapped(*shorter)
     else:
         sorted_ = lms[np.argsort(doubled(short, rounds), kind="stable")]
-    return induce(text, is_s, sorted_, common_prefixes(text, sorted_, DEEP), sigma, folder, limit)
+    return induce(text, is_s, sorted_, common_prefixes(text, sorted_, np.full(len(sorted_), DEEP)), sigma, folder, limit)
 
 
 def equal_windows(blobs: pa.Array, windows: np.ndarray, doc: np.ndarray, dig: np.ndarray, start: np.ndarray, folder: str | None, length: int = LENGTH, limit: int = IN_MEMORY) -> np.ndarray:

@@ -147,5 +147,13 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, st
     )
 
 
+def ruled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """page_id, host, path, the rule that fits, and its verdict: null where the model decides."""
+    host, path = host_path(pages["url"])
+    parsed = pages.select(pages["page_id"], host.alias("host"), path.alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    return parsed.withColumn("rule", rule).withColumn("verdict", verdict)
+
+
 def op8(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     return judge_urls(pages, seed_table(pages.sparkSession) if labelled is None else labelled)

@@ -82,3 +82,36 @@ def base_pii(text):
 
     found = {k: [f"{k}:{m.start()}:{m.end()}" for m in p.finditer(text or "") if good(k, m.group())] for k, p in PII.items()}
     return (*map(len, found.values()), sha(",".join(x for v in found.values() for x in v).encode()))
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def leaks(docs, items, stride=32, piece=96):
+    """(doc, item) by the definition: shares of items in the words around each stride."""
+    def words(t):
+        return re.findall(r"[a-z0-9\x80-\uffff]+", (t or "").lower())
+
+    out = set()
+    for i, t in items:
+        own = words(t)
+        n = len(own)
+        answer = own[n - min(n, max(8, len(words(t.rstrip(" .!?\n").replace("!", ".").replace("?", ".").rpartition(".")[2])))) :]
+        k = max(1, -(-n // piece))
+        for d, text in docs:
+            w = words(text)
+            for s in range(0, len(w), stride):
+                for j in range(k):
+                    before = n * j // k
+                    lo, width = (s - stride, 4 * stride) if k == 1 else (s - before - before // 2 - stride, n + n // 2 + 4 * stride)
+                    row = w[max(0, lo) : max(0, lo + width)]
+                    share = lcs(own, row) / n
+                    if share >= 0.7 or share >= 0.55 and lcs(answer, row) >= 0.85 * len(answer):
+                        out.add((d, i))
+    return sorted(out)
