@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanrank.llm.common import ship
+from spanrank.llm.common import KEPT, ship
 
 END = "</w>"
 NEVER = 1 << 60
@@ -228,6 +228,7 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+KEPT.append(_codecs)
 
 
 def codec(path: str) -> Codec:

@@ -12,13 +12,23 @@ from pyspark.sql import functions as F
 
 from spanrank.session import ship
 
-__all__ = ["LAST", "SPACE", "materialise", "only", "sha256_hex", "shared_dir", "ship", "table", "text_of", "words_of"]
+__all__ = ["KEPT", "LAST", "SPACE", "let_go", "materialise", "only", "sha256_hex", "shared_dir", "ship", "table", "text_of", "words_of"]
 #: What separates words everywhere in this subpackage (fixed by the contracts).
 SPACE = r"\x20\x09-\x0D"
 #: Stands for a null id, so that such a row comes last in every order.
 LAST = 2**63 - 1
 
 
+#: What operators keep in a worker beyond a task, to be let go of by others.
+KEPT: list[dict] = []
+
+
+def let_go() -> None:
+    """Empty what earlier stages of a pipeline have kept in this worker."""
+    for kept in KEPT:
+        kept.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

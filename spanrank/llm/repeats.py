@@ -23,7 +23,6 @@ import contextlib
 import ctypes
 import hashlib
 import os
-import sys
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -31,10 +30,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanrank.llm.common import LAST, materialise, ship
+from spanrank.llm.common import LAST, let_go, materialise, ship
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -116,24 +116,32 @@ def words_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The different words, and for each word the number of its own.
-
-    Arrow tells them apart by their bytes, each with the white space behind it, which
-    then goes, so that no byte is moved."""
+def coded_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words with the white space behind them as a list of different ones, and for
+    each word its place in it.  Arrow tells them apart by their bytes; none is moved."""
     if not len(starts):
         return [], np.empty(0, np.int64)
     offsets = np.append(starts, ends[-1]).astype(np.int64)
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
+BLANK = b" \t\n\v\f\r"
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different words, and for each word the number of its own."""
+    words, coded = coded_words(data, starts, ends)
     number: dict[bytes, int] = {}
-    same = np.array([number.setdefault(w.rstrip(b" \t\n\v\f\r"), len(number)) for w in coded.dictionary.to_pylist()], np.int64)
-    return list(number), same[coded.indices.to_numpy(zero_copy_only=False)]
+    same = np.array([number.setdefault(w.rstrip(BLANK), len(number)) for w in words], np.int64)
+    return list(number), same[coded]
 
 
 def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of each word's BLAKE2 digest."""
-    words, number = distinct_words(data, starts, ends)
-    return np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], U)[number]
+    """A digest (XXH3, 64 bits) of each word's bytes."""
+    words, coded = coded_words(data, starts, ends)
+    make = xxhash.xxh3_64_intdigest
+    return np.fromiter((make(w.rstrip(BLANK)) for w in words), U, len(words))[coded]
 
 
 def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
@@ -239,12 +247,6 @@ def identified(docs: DataFrame) -> DataFrame:
     )
 
 
-def release() -> None:
-    """Let go of the words that an earlier stage of a pipeline has learnt in this worker."""
-    if (kept := sys.modules.get("spanrank.llm.bpe")) is not None:
-        kept._codecs.clear()
-
-
 def trim() -> None:
     """Give freed memory back to the machine: a stage's idle workers would sit on it."""
     with contextlib.suppress(OSError, AttributeError):
@@ -253,7 +255,7 @@ def trim() -> None:
 
 def pieces(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """A batch cut into runs of rows of about ``most`` bytes of text."""
-    release()
+    let_go()
     if not batch.num_rows:
         return
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
