@@ -84,3 +84,25 @@ def best_by_owner(rows: DataFrame, owner: str, embedding: str, queries: np.ndarr
 
     each = rows.select(owner, embedding).where(F.size(embedding) == asked.shape[1]).mapInArrow(run, f"query int, {owner} {kind}, score double")
     return each.groupBy("query", owner).agg(F.max("score").alias("score"))
+
+
+def scores(rows: DataFrame, keep: tuple[str, ...], embedding: str, vector) -> DataFrame:
+    """The columns ``keep`` and ``score``, the dot product with one query, a batch at a
+    time; of vectors of unlike lengths the shorter one's places count."""
+    asked = np.asarray(list(vector), np.float64)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(len(keep))
+            sizes = np.diff(column.offsets.to_numpy())
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(sizes) and (sizes == len(asked)).all():
+                # Row by row in one fixed order, so that equal vectors have equal scores.
+                out = (flat.reshape(len(sizes), -1) * asked).sum(axis=1) if len(asked) else np.zeros(len(sizes))
+            else:
+                ends = np.cumsum(sizes)
+                out = np.array([(flat[e - n : e][: len(asked)] * asked[:n]).sum() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], np.float64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(out)], names=[*keep, "score"])
+
+    return rows.select(*keep, embedding).where(F.col(embedding).isNotNull()).mapInArrow(run, f"{kinds}, score double")

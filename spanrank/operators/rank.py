@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanrank.functions import vectors
@@ -21,11 +21,16 @@ def hydration_window(limit: int) -> int:
     return max(limit, WINDOW)
 
 
-def ranked(rows: DataFrame, query: Column, limit: int, embedding: str = "embedding") -> DataFrame:
-    """The best ``limit`` rows with score and rank; narrow columns alone are sorted."""
-    scored = rows.withColumn("score", vectors.dot(F.col(embedding), query)).drop(embedding)
+def ranked(rows: DataFrame, vector, limit: int, embedding: str = "embedding") -> DataFrame:
+    """The best ``limit`` rows with score and rank.
+
+    Only (owner, slot) and vectors are scored and sorted; what else the rows have is read
+    for the winners."""
+    scored = vectors.scores(rows, ("owner", "slot"), embedding, vector)
     top = scored.orderBy(F.col("score").desc(), "owner", "slot").limit(limit)  # TakeOrderedAndProject
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "owner", "slot")))  # at most ``limit`` rows
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "owner", "slot")))  # at most ``limit`` rows
+    rest = rows.drop(embedding)
+    return hydrate(top, rest, limit) if len(rest.columns) > 2 else top
 
 
 def union_roots(roots: list[DataFrame]) -> DataFrame:

@@ -80,23 +80,33 @@ class Index:
             current = same.unionByName(opened.select("path", "hash", "len", "mtime")).persist()
             difference = snapshots.diff(held["files"], current).persist()
             pairs = snapshots.moves(difference).persist()
-            kept = snapshots.renamed(snapshots.retired(held["sections"], difference, pairs), pairs)
             moved = pairs.select(F.col("target").alias("path"))
             new = difference.where("state in ('new', 'changed')").join(moved, "path", "left_anti").join(opened.select("path", "text"), "path")
-            base = int(snapshots.high_water(held["sections"]).first()[0])
-            made = snapshots.numbered(self.cut(new.select("path", "text")), base)
+            made = snapshots.numbered(self.cut(new.select("path", "text")), 0 if fresh else self.catalog.state(snap)["next"])
             made = made.withColumn("_sent", T.embedded_text(F.col("path"), F.col("text"), s.document_prefix, s.function_prefix))
             made = E.embed(made.drop("text"), "_sent", self.embedder).persist()
-            sections = kept.unionByName(made.drop("embedding"))
-            vectors = held["vectors"].unionByName(made.select("slot", "embedding"))
-            live, rows = sections.count(), vectors.count()
-            if rows - live > live:  # more dead rows than live ones
-                sections, vectors = snapshots.compacted(sections, vectors)
+            # What changes: the rows of changed, vanished and moved files, and the stamps that differ.
+            lost = difference.where("state in ('changed', 'gone')").select("path")
+            carried = snapshots.renamed(held["sections"].join(pairs.select(F.col("source").alias("path")), "path", "left_semi"), pairs)
+            stamps = current.join(held["files"], ["path", "hash", "len", "mtime"], "left_anti")
+            old_stamps = held["files"].join(current, ["path", "hash", "len", "mtime"], "left_anti").select("path")
+            top = made.agg(F.max("slot")).first()[0]
+            after = (0 if fresh else self.catalog.state(snap)["next"]) if top is None else int(top) + 1
+            whole = meta | space | {"fingerprint": print_, "dim": len(print_), "query_prefix": s.query_prefix}
+            self.catalog.commit(
+                whole, replace=fresh, next_slot=after, retired={} if fresh else {"sections": lost, "files": old_stamps},
+                sections=carried.unionByName(made.drop("embedding").select(*carried.columns)), vectors=made.select("slot", "embedding"), files=stamps,
+            )
+            live, rows = self.catalog.read("sections").count(), self.catalog.read("vectors").count()
+            dead = rows - live
+            if dead > live:  # more dead rows than live ones: everything anew, densely
+                sections, vectors = snapshots.compacted(self.catalog.read("sections"), self.catalog.read("vectors"))
+                self.catalog.commit(whole, replace=True, next_slot=live, sections=sections, vectors=vectors, files=self.catalog.read("files"))
+                dead = 0
             done = {r["state"]: r["count"] for r in difference.groupBy("state").count().collect()}
-            self.catalog.commit(meta | space | {"fingerprint": print_, "dim": len(print_), "query_prefix": s.query_prefix}, sections=sections, vectors=vectors, files=current)
             for d in (opened, current, difference, pairs, made):
                 d.unpersist()
-            return {"files": done, "sections": live, "dead": rows - live}
+            return {"files": done, "sections": live, "dead": dead, "embedded": made.count(), "held": live - made.count()}
 
     def rows(self) -> DataFrame:
         return self.catalog.read("sections").join(self.catalog.read("vectors"), "slot")
@@ -129,7 +139,7 @@ class Index:
         sections, vectors = snapshots.compacted(snapshots.sliced(self.catalog.read("sections"), prefix), self.catalog.read("vectors"))
         if not sections.limit(1).count():
             raise ValueError(f"nothing under {prefix}")
-        out.catalog.commit(self.catalog.meta(), sections=sections, vectors=vectors, files=files.join(stamps.select("path"), "path", "left_semi"))
+        out.catalog.commit(self.catalog.meta(), replace=True, next_slot=sections.count(), sections=sections, vectors=vectors, files=files.join(stamps.select("path"), "path", "left_semi"))
         return out
 
     def doctor(self, longest: str | None = None) -> dict:
@@ -155,7 +165,7 @@ def query(indexes: list[Index], text: str, where=(), exclude_pointed_by=(), iden
     vectors = rank.union_roots([i.catalog.read("vectors") for i in roots])
     chosen = rank.select(records, list(where), list(exclude_pointed_by), identity).select("owner", "slot")
     window = rank.hydration_window(limit)
-    top = rank.ranked(vectors.join(chosen, ["owner", "slot"]), F.lit(vector) if vector else F.array(), window)
+    top = rank.ranked(vectors.join(chosen, ["owner", "slot"]), vector, window)
     top = rank.hydrate(top, records.drop("fm"), window)
     top = top.withColumn("trail", F.array_join(F.array_append("breadcrumb", F.coalesce("heading", F.lit("(preamble)"))), " > "))
     ground = rank.background(top)

@@ -42,10 +42,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def vector(spark, sf, key: int = 0):
-    """One row's vector as a literal."""
+def vector(spark, sf, key: int = 0) -> list[float]:
+    """One row's vector."""
     rows = table(spark, sf, "embeddings").where(F.col("vec_id") == key).select("embedding").take(1)
-    return F.lit(rows[0][0]) if rows else F.array().cast("array<float>")
+    return list(rows[0][0]) if rows else []
 
 
 # ---------------------------------------------------------------- vectors
@@ -93,7 +93,7 @@ def vec_normalize(spark, sf):
 def vec_same_space(spark, sf):
     e = table(spark, sf, "embeddings")
     short = F.slice("embedding", 1, 3)
-    return e.select("vec_id", F.round(V.same_space(F.col("embedding"), vector(spark, sf)), 6).alias("same"), V.same_space(F.col("embedding"), short).alias("other"))
+    return e.select("vec_id", F.round(V.same_space(F.col("embedding"), F.lit(vector(spark, sf)).cast("array<float>")), 6).alias("same"), V.same_space(F.col("embedding"), short).alias("other"))
 
 
 MULTI = """mq AS (SELECT q.vec_id AS query, e.vec_id, e.label, q.label AS qlabel, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
@@ -374,6 +374,18 @@ def fm_flatten(spark, sf):
     return lined.select("path", F.explode("fm").alias("key", "v")).select("path", "key", F.array_join("v.vals", ",").alias("value"))
 
 
+@query("""SELECT 'd/' || doc_id || '.md' AS path, unnest(['who.by', 'who.tags', 'steps[0].n', 'steps[1].n', 'steps[1].of', 'flag']) AS key,
+unnest(['human:' || source, lang || ',x y', doc_id::VARCHAR, '2', lang, 'true']) AS value, unnest([false, true, false, false, false, false]) AS is_list FROM documents""")
+def fm_flatten_nested(spark, sf):
+    """Maps, lists of scalars and lists of maps in front matter."""
+    d = table(spark, sf, "documents")
+    head = F.concat(
+        F.lit("---\nwho:\n  by: human:"), "source", F.lit("\n  tags: ["), "lang", F.lit(", x y]\nsteps:\n  - n: "), F.col("doc_id").cast("string"), F.lit("\n  - n: 2\n    of: "), "lang", F.lit("\nflag: true\nnone: {}\n---\ntext"),
+    )
+    lined = units.with_lines(d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), head.alias("text")))
+    return lined.select("path", F.explode(frontmatter.fm(F.col("_lines"), F.col("_body"))).alias("key", "v")).select("path", "key", F.array_join("v.vals", ",").alias("value"), "v.is_list")
+
+
 @query("SELECT unnest(['lang', 'source']) AS key FROM (SELECT 1 FROM documents LIMIT 1)")
 def fm_keys(spark, sf):
     lined = units.with_lines(md_docs(spark, sf)).select(frontmatter.fm(F.col("_lines"), F.col("_body")).alias("fm"))
@@ -482,10 +494,18 @@ def multi_root_rank(spark, sf):
     return rank.ranked(every, vector(spark, sf), 20).select("owner", F.col("slot").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT count(DISTINCT len(embedding)) <= 1 AS compatible FROM embeddings")
+@query("""SELECT 'as they are' AS roots, count(DISTINCT len(embedding)) <= 1 AS compatible FROM embeddings UNION ALL SELECT 'other budget', count(DISTINCT label % 2) <= 1 FROM embeddings
+UNION ALL SELECT 'other vectors', count(DISTINCT len(embedding) + label % 2) <= 1 FROM embeddings""")
 def roots_compatible(spark, sf):
-    dims = table(spark, sf, "embeddings").select(F.size("embedding").alias("dim"), F.lit(8000).alias("max_chars"), F.lit("").alias("prefixes"), F.lit("x").alias("fingerprint"))
-    return snapshots.compatible(dims)
+    """Whether roots share a space: as they are, with two budgets, with vectors of two lengths."""
+    e, odd = table(spark, sf, "embeddings"), F.col("label") % 2
+    cases = {"as they are": (F.size("embedding"), F.lit(8000)), "other budget": (F.size("embedding"), 8000 + odd), "other vectors": (F.size("embedding") + odd, F.lit(8000))}
+    out = None
+    for name, (dim, budget) in cases.items():
+        one = snapshots.compatible(e.select(dim.alias("dim"), budget.alias("max_chars"), F.lit("").alias("prefixes"), F.lit("x").alias("fingerprint")))
+        one = one.select(F.lit(name).alias("roots"), "compatible")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---------------------------------------------------------------- evaluation
@@ -924,7 +944,7 @@ def query_end_to_end(spark, sf):
     rows = rows.withColumn("fm", P.fm_of(id=F.col("slot"), label=F.col("label"), supersedes=F.when(F.col("slot") % 10 == 0, F.col("slot") + 1)))
     chosen = rank.select(rows, ["label!=9"], ["supersedes"])
     window_ = rank.hydration_window(5)
-    top = rank.hydrate(rank.ranked(chosen.select("owner", "slot", "embedding"), vector(spark, sf), window_), rows.select("owner", "slot", "path", "start", "end", "trail"), window_)
+    top = rank.ranked(chosen.select("owner", "slot", "path", "start", "end", "trail", "embedding"), vector(spark, sf), window_)
     return shown_all(merge.results(rank.deduplicated(top, ["owner", "path", "start", "end"]), rank.background(top), 5))
 
 

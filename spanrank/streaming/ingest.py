@@ -36,19 +36,21 @@ def ingest(index: Index, stream: DataFrame, checkpoint: str) -> StreamingQuery:
     def commit(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         with index.catalog.lock(60):
-            s, held = index.settings, {t: index.catalog.read(t) for t in ("sections", "vectors", "files")}
-            base = int(snapshots.high_water(held["sections"]).first()[0])
+            s, base = index.settings, index.catalog.state()["next"]
             made = snapshots.numbered(index.cut(batch.select("path", "text")), base)
             made = made.withColumn("_sent", T.embedded_text(F.col("path"), F.col("text"), s.document_prefix, s.function_prefix))
             made = E.embed(made.drop("text"), "_sent", index.embedder).persist()
             names = batch.select("path")
             print_ = index.embedder.embed([PROBE])[0].tolist()
             space = {"max_chars": s.max_chars, "document_prefix": s.document_prefix, "function_prefix": s.function_prefix, "code": s.code}
+            top = made.agg(F.max("slot")).first()[0]
             index.catalog.commit(
                 space | {"fingerprint": print_, "dim": len(print_), "query_prefix": s.query_prefix},
-                sections=held["sections"].join(names, "path", "left_anti").unionByName(made.drop("embedding")),
-                vectors=held["vectors"].unionByName(made.select("slot", "embedding")),
-                files=held["files"].join(names, "path", "left_anti").unionByName(batch.select("path", "hash", "len", "mtime")),
+                next_slot=base if top is None else int(top) + 1,
+                retired={"sections": names, "files": names},
+                sections=made.drop("embedding"),
+                vectors=made.select("slot", "embedding"),
+                files=batch.select("path", "hash", "len", "mtime"),
             )
             made.unpersist()
         batch.unpersist()

@@ -38,6 +38,43 @@ def test_life_of_an_index(spark, tmp_path):
     assert query([index, index], "dogs").count() == 1
 
 
+def test_an_update_writes_its_own_rows_alone(spark, tmp_path, monkeypatch):
+    from spanrank.sources import catalog
+
+    docs = tmp_path / "docs"
+    write(docs, **{f"f{i}": f"# T{i}\nwords number {i}\n" for i in range(6)})
+    index = Index(spark, str(tmp_path / "index"))
+    index.update(str(docs))
+    state = index.catalog.state()
+    old = {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*.parquet")}
+    write(docs, f3="# Other\nnew text\n")
+    (docs / "f4.md").rename(docs / "g4.md")
+    done = index.update(str(docs))
+    assert (done["embedded"], done["held"], done["dead"]) == (1, 5, 1)
+    now = index.catalog.state()
+    assert all(p.stat().st_mtime_ns == t for p, t in old.items())
+    assert all(now["runs"][t][:1] == state["runs"][t] for t in now["runs"])
+    new = lambda t: spark.read.parquet(f"{index.catalog.root}/{now['runs'][t][-1][1]}")
+    assert (new("vectors").count(), sorted(r.path for r in new("sections").collect())) == (1, ["f3.md", "g4.md"])
+    # A slot that died is never given again.
+    assert index.catalog.read("vectors").agg({"slot": "max"}).first()[0] == 6 and index.catalog.inconsistent() == 0
+    assert index.query("new text", limit=1).first()["path"] == "f3.md"
+    monkeypatch.setattr(catalog, "RUNS", 2)
+    write(docs, f0="# Zero\nagain\n")
+    index.update(str(docs))
+    assert len(index.catalog.state()["runs"]["sections"]) == 2 and index.catalog.read("sections").count() == 6
+    index.catalog.vacuum(1)
+    assert index.catalog.read("sections").count() == 6 and index.catalog.read("vectors").count() == 8
+
+
+def test_a_query_set_and_arms(spark):
+    from spanrank.operators import evaluate
+
+    results = spark.createDataFrame([(1, "a", 1, 5, 1), (1, "a", 300, 900, 2), (2, "a", 1, 5, 1)], "query int, file string, start int, end int, rank int")
+    pairs = spark.createDataFrame([(1, "a", 700, "x"), (2, "a", 6, "x")], "query int, file string, line int, lang string")
+    assert evaluate.scored(results, pairs, ("lang",)).first().asDict() == {"lang": "x", "n": 2, "top1": 0, "top5": 1, "top10": 1, "top20": 1, "mrr": 0.25}
+
+
 def test_extract(spark, tmp_path):
     docs = tmp_path / "docs"
     write(docs, keep__a="# A\none\n", keeper="# B\ntwo\n")
@@ -69,7 +106,7 @@ def test_lock_and_isolation(spark, tmp_path):
     assert c.read("files").count() == 0 and c.current() is None
     old = c.commit({}, files=spark.createDataFrame([("a", -1, 2, -3)], c.read("files").schema))
     seen = c.read("files", old)
-    c.commit({}, files=spark.createDataFrame([("b", 1, 2, 3)], c.read("files").schema))
+    c.commit({}, replace=True, files=spark.createDataFrame([("b", 1, 2, 3)], c.read("files").schema))
     assert [r.path for r in seen.collect()] == ["a"] and [r.path for r in c.read("files").collect()] == ["b"]
 
 
