@@ -123,7 +123,8 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, buckets: int = BU
         f"e -> zip_with(w, post, (x, p) -> x + {RATE} * (aggregate(p, 0D, (s, i) -> s + e[i]) / greatest(size(d), 1) - {DECAY} * x)))[0])"
     )
     # Two uses of ``post`` keep the optimiser from computing it anew in every round.
-    return posted.select(F.expr(f"if(size(post) = 0, cast(null as array<double>), {step})").alias("w")).first()["w"]
+    learnt = posted.select(F.expr(f"if(size(d) = 0, cast(null as array<double>), {step})").alias("w")).first()["w"]
+    return learnt or [0.0] * buckets + [-30.0]  # without labels nothing is blocked
 
 
 def score(features_col: str, weights: list[float]) -> Column:

@@ -98,9 +98,14 @@ def leaks(docs, items, stride=32, piece=96):
     def words(t):
         return re.findall(r"[a-z0-9\x80-\uffff]+", (t or "").lower())
 
-    out = set()
+    out, df, n_docs = set(), {}, 0
+    for _, t in docs:
+        n_docs += bool(words(t))
+        for w in set(words(t)):
+            df[w] = df.get(w, 0) + 1
     for i, t in items:
         own = words(t)
+        telling = {w for w in own if df.get(w, 0) <= 0.1 * n_docs}
         n = len(own)
         answer = own[n - min(n, max(8, len(words(t.rstrip(" .!?\n").replace("!", ".").replace("?", ".").rpartition(".")[2])))) :]
         k = max(1, -(-n // piece))
@@ -112,6 +117,6 @@ def leaks(docs, items, stride=32, piece=96):
                     lo, width = (s - stride, 4 * stride) if k == 1 else (s - before - before // 2 - stride, n + n // 2 + 4 * stride)
                     row = w[max(0, lo) : max(0, lo + width)]
                     share = lcs(own, row) / n
-                    if share >= 0.7 or share >= 0.55 and lcs(answer, row) >= 0.85 * len(answer):
+                    if share >= 0.7 or share >= 0.55 and lcs(answer, row) >= 0.85 * len(answer) and len(telling & set(row)) >= 0.55 * len(telling):
                         out.add((d, i))
     return sorted(out)
