@@ -298,8 +298,13 @@ def classes(docs: DataFrame) -> DataFrame:
     # nodes hang on few others.
     score = materialise(held.groupBy("node").agg(F.sum("n").alias("score"), F.min("doc").alias("doc")), "scores")
     known = held.select("key", "node").join(score.select("node", "score"), "node")
-    pivot = known.groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("pivot"))
-    family = components(held.join(pivot, "key").where("node <> pivot").select("pivot", "node").distinct()).withColumnRenamed("root", "family")
+    pivot = known.groupBy("key").agg(F.max(F.struct("score", "node")).alias("pivot"))
+    # A node hangs on the best of its bands' pivots alone, and the other ones on that: as
+    # many links as nodes, and a few between pivots, however many bands they share.
+    own = held.join(pivot, "key").groupBy("node").agg(F.collect_set("pivot").alias("pivots"))
+    ends = F.explode(F.array_union(F.array("node"), F.transform("pivots", lambda p: p["node"])))
+    hung = own.select(F.array_max("pivots")["node"].alias("pivot"), ends.alias("node")).where("node <> pivot").distinct()
+    family = components(hung).withColumnRenamed("root", "family")
     placed = materialise(family.join(score, "node"), "families")
     centre = placed.groupBy("family").agg(F.max_by("node", F.struct("score", "node")).alias("pivot"))
     star = placed.join(centre, "family").where("node <> pivot").select("pivot", "node")

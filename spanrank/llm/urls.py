@@ -78,7 +78,7 @@ def features(df: DataFrame, host: str, path: str, buckets: int = BUCKETS) -> Dat
 def seed_table(spark: SparkSession) -> DataFrame:
     """url, label, word, host: the small labelled table."""
     made = [(w, y, k) for y, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for k, w in enumerate(words)]
-    hosts = [(AROUND[(k + j) % len(AROUND)].format(w), PATHS[(k + 2 * j) % len(PATHS)], y, w) for w, y, k in made for j in range(4)]
+    hosts = [(AROUND[(k + j) % len(AROUND)].format(w), PATHS[(k + 2 * j) % len(PATHS)], y, w) for w, y, k in made for j in range(2)]
     return spark.createDataFrame([(f"https://{h}{p}", y, w, h) for h, p, y, w in hosts], "url string, label int, word string, host string")
 
 
