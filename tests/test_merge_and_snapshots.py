@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from spanrank.operators import merge, rank, snapshots
 
+# Scores, ranges and expected results below are fixed values: behaviour that must match.
+
 
 def test_runs():
     s = [0.674, 0.673, 0.676, 0.674, 0.716, 0.791]

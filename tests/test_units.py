@@ -2,6 +2,8 @@ import random
 
 from spanrank.operators import code, units
 
+# Texts, ranges and expected results below are fixed values: behaviour that must match.
+
 DOC = "---\nstatus: live\nverified:\n  by: human:me\ntags: [a]\n---\n\npreamble\n\n## Top\n\ntext\n```\n# not a heading\n```\n### Nested\nend\n"
 
 
