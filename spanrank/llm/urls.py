@@ -44,7 +44,7 @@ ALLOW_WORDS = (
 #: What stands around them: the same for both.
 AROUND = ("{}.test", "www.{}.test", "my-{}.test", "{}-online.test", "blog.{}.test", "m.the-{}.test", "{}24.test", "free-{}.test")
 PATHS = ("/en/145", "/fr/72.html", "/de/980/", "/es/3?page=2&ref=x", "/en/511#top")
-BUCKETS, SIZES, MAX_LABELLED, ROUNDS, RATE, DECAY = 4096, (3, 4, 5), 2000, 400, 4.0, 1e-4
+BUCKETS, SIZES, MAX_LABELLED, ROUNDS, RATE, DECAY = 1 << 16, (3, 4, 5), 2000, 400, 4.0, 1e-4
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -110,21 +110,28 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, buckets: int = BU
         .select(F.col("label").cast("double").alias("y"), host.alias("_h"), path.alias("_q"))
     )
     one = features(few, "_h", "_q", buckets).agg(F.array_sort(F.collect_list(F.struct("y", F.col("_f").alias("f")))).alias("d"))
-    posted = one.withColumn(
-        "post",
-        F.expr(
-            f"concat(transform(sequence(0, {buckets - 1}), j -> filter(transform(d, (r, i) -> if(array_contains(r.f, j), i, -1)), i -> i >= 0)), "
-            "array(transform(d, (r, i) -> i)))"
-        ),
-    )
+    # Each as a lambda's variable, worked out once: a column's expression the optimiser would
+    # put into the rounds, and each weight of each round would work it out anew.
+    bound = lambda name, made, body: f"transform(array({made}), {name} -> {body})[0]"
     step = (
-        f"aggregate(sequence(1, {rounds}), array_repeat(0D, {buckets + 1}), (w, t) -> transform(array(transform(d, r -> "
-        f"(r.y - 1 / (1 + exp(-(w[{buckets}] + aggregate(r.f, 0D, (s, j) -> s + w[j]) / sqrt(size(r.f) + 1D))))) / sqrt(size(r.f) + 1D))), "
-        f"e -> zip_with(w, post, (x, p) -> x + {RATE} * (aggregate(p, 0D, (s, i) -> s + e[i]) / greatest(size(d), 1) - {DECAY} * x)))[0])"
+        f"aggregate(sequence(1, {rounds}), array_repeat(0D, size(seen) + 1), (w, t) -> transform(array(transform(rows, r -> "
+        "(r.y - 1 / (1 + exp(-(w[size(seen)] + aggregate(r.f, 0D, (s, j) -> s + w[j]) / sqrt(size(r.f) + 1D))))) / sqrt(size(r.f) + 1D))), "
+        f"e -> zip_with(w, post, (x, p) -> x + {RATE} * (aggregate(p, 0D, (s, i) -> s + e[i]) / greatest(size(rows), 1) - {DECAY} * x)))[0])"
+    )
+    # Only buckets that some row has get a weight; by their place among those.
+    post = (
+        "concat(transform(seen, (b, j) -> filter(transform(rows, (r, i) -> if(array_contains(r.f, j), i, -1)), i -> i >= 0)), "
+        "array(transform(rows, (r, i) -> i)))"
     )
-    # Two uses of ``post`` keep the optimiser from computing it anew in every round.
-    learnt = posted.select(F.expr(f"if(size(d) = 0, cast(null as array<double>), {step})").alias("w")).first()["w"]
-    return learnt or [0.0] * buckets + [-30.0]  # without labels nothing is blocked
+    rows = "transform(d, r -> named_struct('y', r.y, 'f', transform(r.f, b -> cast(array_position(seen, b) - 1 as int))))"
+    learnt = bound("seen", "array_sort(array_distinct(flatten(transform(d, r -> r.f))))", f"named_struct('b', seen, 'w', {bound('rows', rows, bound('post', post, step))})")
+    got = one.where("size(d) > 0").select(F.expr(learnt).alias("x")).collect()  # one row at most
+    if not got:
+        return [0.0] * buckets + [-30.0]  # without labels nothing is blocked
+    weights = [0.0] * buckets + [got[0]["x"]["w"][-1]]
+    for b, w in zip(got[0]["x"]["b"], got[0]["x"]["w"]):
+        weights[b] = w
+    return weights
 
 
 def score(features_col: str, weights: list[float]) -> Column:
