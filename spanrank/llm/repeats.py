@@ -59,9 +59,9 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i for i < n."""
-    if len(_powers.get("up", ())) < n:
+    if len(_powers.get("up", ())) < max(n, 1):
         for name, b in (("up", BASE), ("down", INVERSE)):
-            x = np.full(n, b, U)
+            x = np.full(max(n, 1), b, U)
             x[0] = U(1)
             _powers[name] = np.multiply.accumulate(x)
     return _powers["up"][:n], _powers["down"][:n]

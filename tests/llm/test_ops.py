@@ -316,6 +316,17 @@ def test_url_model_on_hosts_it_has_not_seen(spark):
     assert got.n == 2 * (len(urls.BLOCK_WORDS) + len(urls.ALLOW_WORDS)) and got.precision > chance
 
 
+def test_url_model_is_fitted_in_time_and_lends_no_weights(spark):
+    import time
+
+    start = time.perf_counter()
+    weights = urls.fit(urls.seed_table(spark).select("url", "label"))
+    assert time.perf_counter() - start < 120  # minutes more if lists are made anew in every round
+    host, path = urls.host_path(F.lit("http://y.org/" + "z" * 50))
+    rows = urls.features(spark.range(1).select(host.alias("h"), path.alias("p")), "h", "p")
+    assert rows.select(urls.score("_f", weights)).first()[0] < 0.5  # nothing of it was seen
+
+
 def test_pii(spark):
     texts = ["mail a.b@c-d.org, or x@y", "a@b.c@d.e", "1.2.3.4 256.1.1.1 001.002.003.004.5", "card 4111 1111 1111 1111 x", "+1 (222) 333-4444.", "é" * 5 + " q@w.de", None, "", "9" * 5000, "a" * 20000 + "@", "@" * 500, "+" + "(" * 3000, "4111-1111-1111-1111 4111111111111112", "z@a.b_x@c.d"]
     r = random.Random(2)
@@ -417,6 +428,15 @@ def test_empty_table(spark, op):
     assert op(frame(spark, EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("op", [suffixes.op4, fmindex.op9, neardup.op5, lines.op1])
+def test_tasks_without_words(spark, op):
+    """Workers that have seen no word before."""
+    repeats._powers.clear()
+    docs = frame(spark, [(1, None), (2, ""), (3, " \n")]).repartition(1)
+    assert sorted(r.doc_id for r in op(docs).collect()) == [1, 2, 3]
+    assert [len(x) for x in repeats.powers(0)] == [0, 0]
+
+
 @pytest.mark.parametrize("op", [suffixes.op4, fmindex.op9, neardup.op5, lines.op1])
 def test_repeated_rows_and_null_ids(spark, op):
     text = " ".join(f"w{i}" for i in range(60))
