@@ -39,8 +39,9 @@ def doc_key(docs: DataFrame) -> tuple[Column, Column]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row per selected place: doc, digest, print, and the lines around it.
 
-    ``near`` has the WINDOW - 1 lines before, the line itself and as many after it, as
-    (number, digest, whether long), null beyond the text's ends."""
+    These are the WINDOW - 1 lines before, the line itself and as many after it: ``near``
+    has twice their numbers, and one more for long ones, null beyond the text's ends;
+    ``told`` has their digests end to end."""
     doc, digest = doc_key(docs)
     line = lambda x, i: F.struct(
         i.alias("i"),
@@ -55,8 +56,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     long = "transform(filter(transform(c, (x, j) -> if(x.long, j + 1, 0)), k -> k > 0), k -> k)"
     # No condition on it: pushed down, it would work the lines out anew for every window.
     chosen = told.withColumn("_at", F.expr(f"array_distinct(concat({windows}, {long}))"))
-    around = ", ".join(f"get(c, k - 1 + {d})" for d in range(1 - WINDOW, WINDOW))
-    return chosen.select("doc", "digest", F.expr(f"inline(transform(_at, k -> struct(c[k - 1].h as print, array({around}) as near)))"))
+    around = [f"get(c, k - 1 + {d})" for d in range(1 - WINDOW, WINDOW)]
+    near = ", ".join(f"cast({x}.i * 2 + if({x}.long, 1, 0) as int)" for x in around)
+    told = ", ".join(f"coalesce({x}.m, X'{'00' * 16}')" for x in around)
+    return chosen.select("doc", "digest", F.expr(f"inline(transform(_at, k -> struct(c[k - 1].h as print, array({near}) as near, concat({told}) as told)))"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -67,10 +70,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     near = chosen.join(often, "print", "left_semi")  # positions of repeated fingerprints
     # Extended: the runs of up to WINDOW lines that hold the fingerprint's line.
     runs = [(lo, n) for n in range(1, WINDOW + 1) for lo in range(WINDOW - n, WINDOW)]
-    each = ", ".join(f"slice(near, {lo + 1}, {n})" for lo, n in runs)
-    whole = f"x -> not exists(x, y -> y is null) and (size(x) = {WINDOW} or exists(x, y -> y.long))"
-    extended = near.select("doc", "digest", F.explode(F.expr(f"transform(filter(array({each}), {whole}), x -> struct(x.i as lines, x.m as run))")).alias("x"))
-    extended = extended.select("doc", "digest", "x.lines", F.unhex(F.md5(F.expr("array_join(transform(x.run, y -> hex(y)), '')").cast("binary"))).alias("run"))
+    each = ", ".join(f"struct(slice(near, {lo + 1}, {n}) as x, substring(told, {16 * lo + 1}, {16 * n}) as run)" for lo, n in runs)
+    whole = f"r -> not exists(r.x, y -> y is null) and (size(r.x) = {WINDOW} or exists(r.x, y -> y % 2 = 1))"
+    extended = near.select("doc", "digest", F.explode(F.expr(f"filter(array({each}), {whole})")).alias("r"))
+    extended = extended.select("doc", "digest", F.expr("transform(r.x, y -> shiftright(y, 1))").alias("lines"), F.unhex(F.md5("r.run")).alias("run"))
     place = F.struct("doc", "digest", F.expr("lines[0]").alias("at"))
     first = extended.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     return extended.join(first, "run").where(place > F.col("first")).select("doc", "digest", "lines")

@@ -187,6 +187,13 @@ def test_lines(spark):
     assert lines.deduplicated(frame(spark, EMPTY)).count() == 0
 
 
+def test_line_fingerprints_are_small(spark):
+    """What is shuffled for each place: 16 bytes and a number for each line, no structs."""
+    got = {r.near[2] // 2: r for r in lines.fingerprints(frame(spark, [(1, "a\nb\n\nc c\nd")])).collect()}
+    assert {len(r.told) for r in got.values()} == {16 * (2 * lines.WINDOW - 1)}
+    assert all(x is None or isinstance(x, int) for r in got.values() for x in r.near)
+
+
 def test_quality(spark):
     good = [(i, "the cat sat on the mat and then it went to sleep for a very long time " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(3000)]
     bad = [(i + 5000, " ".join(f"w{i}$$$ ###{k}" for k in range(30))) for i in range(300)]
