@@ -17,8 +17,9 @@ compared with half as many words again as it has, around the place where it woul
 
 The items are a stated query set, taken BLOCK at a time, long ones by BLOCK pieces, with
 a space for each block and SCAN blocks to a pass over the documents; the spaces are
-fitted on about SAMPLE documents (each drawn by a digest of its id and text) and the
-items, and every passage of every document is searched.
+fitted on every passage of every document and the items, and all of them are searched.
+Texts are read once: their words, as the numbers of the items' words, are written to the
+shared folder, and all later passes read those.
 
 Defined results: a null or empty text has no passages; an item without words
 matches nothing, one of fewer than MIN_ITEM words only as a whole, in order and
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,9 @@ RANK, EXTRA = 96, 8
 #: Power of the inverse document frequency: common words would make all passages of
 #: a language alike.  Words of no item have no weight.  Items count so many times in the fit, so that the space holds them.
 POWER, EMPHASIS = 2, 20.0
-SAMPLE, BLOCK, SCAN, MIN_ITEM = 2000, 512, 8, 8
+BLOCK, SCAN, MIN_ITEM = 512, 8, 8
+#: Bytes of word numbers worked on at once; numbers sorted words are summed by; terms to a partial sum.
+CODES, SUMMED, PART = 1 << 20, 1 << 14, 256
 #: Words of the longest item that the four strides around a passage surely hold.
 PIECE = 3 * STRIDE
 #: A word of more than this share of all documents is common: it takes no part in bounds.
@@ -239,18 +243,47 @@ class Items(Words):
         return out
 
 
-def document_frequencies(texts: DataFrame, items: Words) -> tuple[int, np.ndarray]:
+def coded(texts: DataFrame, items: Words) -> DataFrame:
+    """doc_id, and the words of the text as numbers of the items' words, end to end."""
+    kind = code_type(items)
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, codes binary"
+    held = texts.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for batch in batches:
+            for part in repeats.pieces(batch):
+                words, counts = read_words(part.column("text"))
+                data = own.numbers(words).astype(kind)
+                offsets = (counts * data.itemsize).astype(np.int32)
+                codes = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), codes], names=["doc_id", "codes"])
+
+    return materialise(texts.mapInArrow(run, schema), "words")
+
+
+def code_type(items: Words) -> type:
+    return np.uint16 if len(items.known) < 1 << 16 else np.uint32
+
+
+def read_codes(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers, and the texts' offsets in them."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return data.copy().view(kind).astype(np.int64), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+def document_frequencies(words: DataFrame, items: Words) -> tuple[int, np.ndarray]:
     """Documents with a word, and how many have each word of the items: one number a
     word, summed on the executors."""
-    size = len(items.known) + 1
+    size, kind = len(items.known) + 1, code_type(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for part in repeats.pieces(batch, 1 << 21):
-                words, counts = read_words(part.column("text"))
-                numbers = own.numbers(words)
+            for part in repeats.pieces(batch, CODES, "codes"):
+                numbers, counts = read_codes(part.column("codes"), kind)
                 at = np.flatnonzero(numbers)
                 pairs = np.unique((np.searchsorted(counts, at, "right") - 1) * size + numbers[at])
                 total += np.bincount(pairs % size, minlength=size)
@@ -258,9 +291,8 @@ def document_frequencies(texts: DataFrame, items: Words) -> tuple[int, np.ndarra
         some = np.flatnonzero(total)
         yield repeats.batch_of("term int, n long", some.astype(np.int32), total[some])
 
-    held = texts.sparkSession.sparkContext.broadcast(items)
     out = np.zeros(size, np.int64)
-    for r in texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in words.select("codes").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return int(out[0]), out
 
@@ -286,13 +318,6 @@ def strides(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np
     return text, start, vectors, np.append(text[1:] == text[:-1], False)
 
 
-def passages(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, latent vector) of every passage: two strides, or what the text has."""
-    text, start, vectors, more = strides(terms, counts, rows)
-    alone = ~more & (start > counts[:-1][text])  # a last stride is in the passage before
-    return text[~alone], start[~alone], doubled(vectors, more)[~alone]
-
-
 def doubled(vectors: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Each stride's vector plus the next one's of its text."""
     both = vectors.copy()
@@ -300,58 +325,96 @@ def doubled(vectors: np.ndarray, more: np.ndarray) -> np.ndarray:
     return both
 
 
-def drawn(texts: DataFrame, n: int) -> DataFrame:
-    """About SAMPLE of the ``n`` documents, drawn one by one, so that no task has to see more than its share."""
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 40))
-    return materialise(texts.where("text <> ''").where(chance).repartition(4), "sample")
+def squared(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` the product of the passages' matrix, turned, and their vectors.
 
-
-def latent_space(few: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
-    """An orthonormal base (terms x RANK) by randomised SVD with one power step.
+    A passage is two strides, or what the text has; so a word gets the vectors of the
+    passages that begin with its stride and with the one before."""
+    text, start, vectors, more = strides(terms, counts, rows)
+    made = doubled(vectors, more)
+    made[~more & (start > counts[:-1][text])] = 0  # a last stride is in the passage before
+    back = made.copy()
+    back[1:][more[:-1]] += made[:-1][more[:-1]]
+    used = np.flatnonzero(terms)
+    stride = np.searchsorted(start, used, "right") - 1
+    order = np.argsort(terms[used].astype(np.uint16 if len(rows) < 1 << 16 else np.int64), kind="stable")
+    for lo in range(0, len(order), SUMMED):
+        some = order[lo : lo + SUMMED]
+        own = terms[used[some]]
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        total[own[heads]] += np.add.reduceat(back[stride[some]], heads, axis=0)
+
+
+def latent_spaces(words: DataFrame, every: Words, blocks: list[tuple[Items, np.ndarray]]) -> list[np.ndarray]:
+    """For each block an orthonormal base (terms x RANK) by randomised SVD with one power
+    step, on all passages of all documents.
 
     The passage matrix is never formed: each product with it is summed over the
-    executors' passages, terms x (RANK + EXTRA) numbers a task."""
-
-    def product(right: np.ndarray) -> np.ndarray:
-        """A'A right, A the TF-IDF passages."""
-
-        held = few.sparkSession.sparkContext.broadcast(items)
-
-        def own(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-            total = np.zeros((len(weight), right.shape[1]))
-            rows = (weight[:, None] * right).astype(np.float32)
-            for numbers, counts in batches:
-                text, start, made = passages(numbers, counts, rows)
-                end = np.minimum(start + 2 * STRIDE, counts[1:][text])
-                sizes = end - start
-                row = np.repeat(np.arange(len(start)), sizes)
-                word = np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-                terms = numbers[word]
-                order = np.argsort(terms, kind="stable")
-                heads = np.flatnonzero(np.append(True, np.diff(terms[order]) > 0)) if len(terms) else terms
-                for lo in range(0, len(heads), 256):
-                    cut = heads[lo : lo + 256]
-                    upto = heads[lo + 256] if lo + 256 < len(heads) else len(terms)
-                    total[terms[order[cut]]] += np.add.reduceat(made[row[order[cut[0] : upto]]], cut - cut[0], axis=0)
-            return total * weight[:, None]
+    executors' passages, terms x (RANK + EXTRA) numbers a block and task, and these by
+    PART terms on the executors again."""
+    kind, schema = code_type(every), "block int, part int, task int, sum binary"
+    lookups = [lookup(every, items) for items, _ in blocks]
+    context = words.sparkSession.sparkContext
+
+    def products(rights: list[np.ndarray]) -> list[np.ndarray]:
+        """A'A right, A the TF-IDF passages of a block."""
+        rows = [(weight[:, None] * right).astype(np.float32) for (_, weight), right in zip(blocks, rights, strict=True)]
+        held = context.broadcast((rows, lookups))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = (read_words(p.column("text")) for b in batches for p in repeats.pieces(b))
-            got = own((held.value.numbers(w), c) for w, c in words)
-            yield pa.RecordBatch.from_arrays([pa.array([got.astype(np.float32).tobytes()], pa.binary())], names=["sum"])
+            rows, lookups = held.value
+            totals = [np.zeros(r.shape) for r in rows]
+            for batch in batches:
+                for piece in repeats.pieces(batch, CODES, "codes"):
+                    numbers, counts = read_codes(piece.column("codes"), kind)
+                    for own, right, total in zip(lookups, rows, totals, strict=True):
+                        squared(own[numbers], counts, right, total)
+            task = TaskContext.get().partitionId()
+            for block, total in enumerate(totals):
+                for part, at in enumerate(range(0, len(total), PART)):
+                    if (some := total[at : at + PART]).any():
+                        yield row_of(block, part, task, some.astype(np.float32))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                for r in batch.to_pylist():
+                    key, one = (r["block"], r["part"]), np.frombuffer(r["sum"], np.float32)
+                    sums[key] = sums[key] + one if key in sums else one.astype(np.float64)
+            for (block, part), total in sums.items():
+                yield row_of(block, part, 0, total)
+
+        def row_of(block: int, part: int, task: int, some: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (block, part, task)), pa.array([some.tobytes()], pa.binary())], names=["block", "part", "task", "sum"])
+
+        out = [np.zeros(r.shape) for r in rows]
+        for (items, _), right, total in zip(blocks, rows, out, strict=True):
+            for x in items.words:
+                squared(items.numbers(x), np.array([0, len(x)]), right, total)
+            total *= EMPHASIS**2
+        # In the tasks' order, so that a sum is the same each time.
+        parts = words.select("codes").mapInArrow(run, schema).repartition("block", "part").sortWithinPartitions("block", "part", "task").mapInArrow(add, schema)
+        for r in parts.collect():  # one row for PART terms of a block
+            at = r["part"] * PART
+            out[r["block"]][at : at + PART] += np.frombuffer(r["sum"], np.float64).reshape(-1, out[r["block"]].shape[1])
+        held.unpersist()
+        return [total * weight[:, None] for total, (_, weight) in zip(out, blocks, strict=True)]
+
+    draw = lambda n: np.random.default_rng(0).standard_normal((n, min(n, RANK + EXTRA)))
+    bases = [np.linalg.qr(draw(len(weight)))[0] for _, weight in blocks]
+    for _ in range(2):
+        bases = [np.linalg.qr(x)[0] for x in products(bases)]
+    out = []
+    for base, made in zip(bases, products(bases), strict=True):
+        small = base.T @ made
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        out.append(base @ vectors[:, np.argsort(values)[::-1][:RANK]])
+    return out
 
-        parts = few.mapInArrow(run, "sum binary").collect()  # four rows
-        total = EMPHASIS**2 * own([(items.numbers(x), np.array([0, len(x)])) for x in items.words])
-        for r in parts:
-            total += np.frombuffer(r["sum"], np.float32).reshape(total.shape)
-        return total
 
-    base = np.linalg.qr(np.random.default_rng(0).standard_normal((len(weight), min(len(weight), RANK + EXTRA))))[0]
-    for _ in range(2):
-        base = np.linalg.qr(product(base))[0]
-    small = base.T @ product(base)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return base @ vectors[:, np.argsort(values)[::-1][:RANK]]
+def lookup(every: Words, items: Words) -> np.ndarray:
+    """For each number of all items' words the number among a block's, or 0."""
+    return np.append(0, items.numbers(every.known))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -393,7 +456,7 @@ def within(numbers: np.ndarray, counts: np.ndarray, text: np.ndarray, first: np.
     return np.where(inside, numbers[np.clip(place, 0, len(numbers) - 1)], 0), place, inside
 
 
-def compare(own: Items, words: np.ndarray, numbers: np.ndarray, counts: np.ndarray, text: np.ndarray, start: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, float]]:
+def compare(own: Items, numbers: np.ndarray, counts: np.ndarray, text: np.ndarray, start: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """(text, item, share) of those near pairs of stride and item that hold."""
     for at in range(0, len(text), 1 << 14):
         t, s, i = (x[at : at + (1 << 14)] for x in (text, start, item))
@@ -406,7 +469,7 @@ def compare(own: Items, words: np.ndarray, numbers: np.ndarray, counts: np.ndarr
         tail = lcs(own.rows_of(own.tail_keys, row[half], i[half]), own.tail_places, own.answers[i[half]])
         yes[half] = (tail >= ANSWER * own.answers[i[half]]) & own.telling(row[half], i[half])
         for k in np.flatnonzero((length < MIN_ITEM) & (got == length)):
-            yes[k] = any((words[p : p + length[k]] == own.words[i[k]]).all() for p in place[k][inside[k]] if p + length[k] <= counts[t[k] + 1])
+            yes[k] = any((numbers[p : p + length[k]] == own.numbers(own.words[i[k]])).all() for p in place[k][inside[k]] if p + length[k] <= counts[t[k] + 1])
         yield from zip(t[yes].tolist(), i[yes].tolist(), share[yes].tolist())
 
 
@@ -445,39 +508,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> D
     if not blocks:
         return spark.createDataFrame([], schema)
 
-    n, found = document_frequencies(texts, every := Words(np.concatenate([x.known for x in blocks])))
-    few = drawn(texts, n)
-    ready = []
+    words = coded(texts, every := Words(np.concatenate([x.known for x in blocks])))
+    kind_of_code = code_type(every)
+    n, found = document_frequencies(words, every)
+    weighed = []
     for items in blocks:
         weight = np.append(0, (np.log((n + 1) / (found[every.numbers(items.known)] + 1)) + 0.1) ** POWER)
         items.bound(np.append(False, found[every.numbers(items.known)] > OFTEN * n))
-        ready.append((items, (weight[:, None] * latent_space(few, items, weight)).astype(np.float32)))
+        weighed.append((items, weight))
+    ready = []
+    for at in range(0, len(weighed), SCAN):
+        some = weighed[at : at + SCAN]
+        for (items, weight), base in zip(some, latent_spaces(words, every, some), strict=True):
+            ready.append((items, lookup(every, items), (weight[:, None] * base).astype(np.float32)))
 
-    def search(some: list[tuple[Items, np.ndarray]]) -> DataFrame:
+    def search(some: list[tuple[Items, np.ndarray, np.ndarray]]) -> DataFrame:
         # At most SCAN * BLOCK pieces, and RANK numbers for each of their words.
         shared = spark.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sought = [(own, rows, unit(np.stack([rows[own.numbers(w)].sum(axis=0) for w in own.pieces])), {}) for own, rows in shared.value]
+            sought = [(own, known, rows, unit(np.stack([rows[own.numbers(w)].sum(axis=0) for w in own.pieces])), {}) for own, known, rows in shared.value]
             for batch in batches:
-                for part in repeats.pieces(batch):
-                    words, counts = read_words(part.column("text"))
+                for part in repeats.pieces(batch, CODES, "codes"):
+                    codes, counts = read_codes(part.column("codes"), kind_of_code)
                     best: dict[tuple, float] = {}
-                    for own, rows, wanted, made in sought if len(words) else ():
-                        numbers = own.numbers(words)
+                    for own, known, rows, wanted, made in sought if len(codes) else ():
+                        numbers = known[codes]
                         text, start, vectors, more = strides(numbers, counts, rows)
                         # A stride by itself serves short items, two together long ones.
                         close = np.maximum(unit(vectors) @ wanted.T, unit(doubled(vectors, more)) @ wanted.T) >= near
                         at, piece = np.nonzero(own.possible(close, numbers, start))
                         pairs = (text[at], start[at], piece)
-                        for t, i, share in compare_long(own, made, numbers, counts, *pairs) if own.long else compare(own, words, numbers, counts, *pairs):
+                        for t, i, share in compare_long(own, made, numbers, counts, *pairs) if own.long else compare(own, numbers, counts, *pairs):
                             best[t, own.ids[i]] = max(best.get((t, own.ids[i]), 0.0), share)
                     yield pa.RecordBatch.from_arrays(
                         [part.column("doc_id").take(pa.array([t for t, _ in best], pa.int64())), pa.array([i for _, i in best], batch_type), pa.array(list(best.values()), pa.float64())],
                         names=["doc_id", "item_id", "share"],
                     )
 
-        return texts.mapInArrow(run, schema)
+        return words.mapInArrow(run, schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
 

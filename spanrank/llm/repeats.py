@@ -253,12 +253,12 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """A batch cut into runs of rows of about ``most`` bytes of text."""
+def pieces(batch: pa.RecordBatch, most: int = 1 << 22, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch cut into runs of rows of about ``most`` bytes of text, or of another column."""
     let_go()
     if not batch.num_rows:
         return
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))

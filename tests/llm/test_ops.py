@@ -414,6 +414,26 @@ def test_decontamination_against_brute_force(spark):
     assert set(found) <= set(want) and len(found) >= 0.95 * len(want)
 
 
+def test_latent_space_of_all_documents(spark):
+    """Its base makes the product of all passages, 2,600 documents' and the items', diagonal."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.choice([0, 3, 40, 100]))) for _ in range(2600)]
+    items = decontaminate.Items([1, 2], [" ".join(vocabulary[:20]), " ".join(vocabulary[10:])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    weight = np.append(0, np.linspace(0.5, 3, 30))
+    base = decontaminate.latent_spaces(decontaminate.coded(docs, items), items, [(items, weight)])[0]
+    rows = []
+    for t, times in [(x, 1.0) for x in texts] + [(" ".join(vocabulary[:20]), decontaminate.EMPHASIS), (" ".join(vocabulary[10:]), decontaminate.EMPHASIS)]:
+        words = t.split()
+        starts = range(0, max(1, len(words) - decontaminate.STRIDE), decontaminate.STRIDE)
+        numbers = items.numbers(decontaminate.read_words(__import__("pyarrow").array([t]))[0])
+        rows += [times * np.bincount(numbers[at : at + 2 * decontaminate.STRIDE], minlength=31) for at in starts]
+    a = np.array(rows) * weight
+    got = base.T @ (a.T @ a) @ base
+    assert np.abs(got - np.diag(np.diag(got))).max() < 1e-4 * np.abs(got).max()
+
+
 def test_decontamination_by_long_items(spark):
     r = random.Random(4)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(3000)]
