@@ -10,8 +10,11 @@ symbol with one key each.  Only stretches meet in a shuffle, by key:
   string with several places: all but the first are repeated as a whole;
 * the different strings of one key are *open*: some of their windows may be equal and
   some not.  They go to the caller's index, by key, as bytes, and are compared exactly;
-* where a key has very many of them (HOT), their windows are dealt singly, by their own
-  digest, each still as bytes and to the same index.
+* where a key has very many of them (HOT), as at the edges of a passage that many texts
+  share, their windows are cut into stretches anew by longer grams (``Shape.finer``), of
+  which again only the open ones go to the index as bytes; what has a very frequent key
+  even then is dealt singly, by the window's own digest, still as bytes and to the same
+  index.
 
 Copies inside one batch of rows are merged before the shuffle, so a passage
 that a third of all rows share sends one row per batch, not one per copy.
@@ -26,6 +29,7 @@ import os
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +103,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def binary(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls and its n + 1 offsets."""
+    _, offsets, data = blobs.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
@@ -183,6 +195,7 @@ def twice_near(grams: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
 class Shape:
     length: int
     gram: int
+    finer: tuple[int, ...] = ()  # longer grams for the stretches of very frequent keys
 
     @property
     def width(self) -> int:
@@ -228,6 +241,8 @@ def stretches(symbols: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[n
 
 STRETCH = "key long, content long, doc long, digest int, start int, windows int, own boolean, seen boolean"
 SPANS = "doc long, digest int, start int, windows int"
+PLACE = ["key", "doc", "digest", "start", "windows"]
+BLOBS = f"key long, {SPANS}, blob binary"
 
 
 def batch_of(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -276,6 +291,22 @@ def repeated_rows(*columns: np.ndarray, last: tuple | None = None) -> np.ndarray
     return out
 
 
+def ordered(key: np.ndarray, content: np.ndarray, doc: np.ndarray, dig: np.ndarray, start: np.ndarray, same_doc: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The order of stretches by key, content and place, each place once, and which of
+    them have an equal one earlier."""
+    columns = (key, content, doc, dig, start)
+    order = np.lexsort(columns[::-1])
+    order = order[~repeated_rows(*(x[order] for x in columns))]
+    key, content, doc = (x[order] for x in columns[:3])
+    same = np.zeros(len(order), bool)
+    same[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
+    if same_doc:
+        return order, same
+    # Earlier means in a document with a smaller id.
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
+    return order, same & (doc != doc[head])
+
+
 def all_stretches(texts: DataFrame, symbols: Callable, shape: Shape, same_doc: bool) -> DataFrame:
     """The stretches of every text.  ``seen``: an equal one stands earlier in the
     same batch, which settles it.  ``same_doc``: whether an earlier place in the
@@ -288,19 +319,9 @@ def all_stretches(texts: DataFrame, symbols: Callable, shape: Shape, same_doc: b
                 dig = part.column("digest").to_numpy(zero_copy_only=False)
                 flat, offsets = symbols(*utf8(part.column("text")))
                 text, start, count, key, content, own = stretches(flat, offsets, shape)
-                order = np.lexsort((start, dig[text], doc[text], content, key))
-                again = repeated_rows(*(x[order] for x in (key, content, doc[text], dig[text], start)))
-                order = order[~again]
+                order, seen = ordered(key, content, doc[text], dig[text], start, same_doc)
                 text, start, count, key, content, own = (x[order] for x in (text, start, count, key, content, own))
-                owner = doc[text]
-                same = np.zeros(len(order), bool)
-                same[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
-                if same_doc:
-                    seen = same
-                else:  # earlier means in a document with a smaller id
-                    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
-                    seen = same & (owner != owner[head])
-                yield batch_of(STRETCH, key.view(np.int64), content.view(np.int64), owner, dig[text], start.astype(np.int32), count.astype(np.int32), own & same_doc, seen)
+                yield batch_of(STRETCH, key.view(np.int64), content.view(np.int64), doc[text], dig[text], start.astype(np.int32), count.astype(np.int32), own & same_doc, seen)
 
     return texts.mapInArrow(run, STRETCH)
 
@@ -406,11 +427,10 @@ def repeated_spans(
     found = materialise(split_stretches(every, same_doc), f"{name}-found")
     whole = every.where("seen").select("doc", "digest", "start", "windows").unionByName(found.where("key is null").select("doc", "digest", "start", "windows"))
     open_ = found.where("key is not null")
-    hot = open_.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    hot = hot_keys(open_)
 
     wanted = open_.join(hot, "key", "left").groupBy("doc", "digest").agg(F.collect_list(F.struct("key", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
-    pieces_schema = "key long, doc long, digest int, start int, windows int, blob binary"
-    names = ["key", "doc", "digest", "start", "windows", "blob"]
+    names = [*PLACE, "blob"]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,12 +443,21 @@ def repeated_spans(
                 blob = cut(*utf8(part.column("text")), text, start, start + windows + shape.length - 1)
                 doc, dig = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "digest"))
                 batch_ = pa.RecordBatch.from_arrays([*map(pa.array, (key, doc, dig, start, windows)), blob], names=names)
+                if shape.finer:
+                    yield batch_.append_column("hot", pa.array(hot))
+                    continue
                 yield batch_.filter(pa.array(~hot))
                 for at in range(0, len(many := np.flatnonzero(hot)), 4096):
                     yield singly(batch_.take(pa.array(many[at : at + 4096])), bounds, same_doc)
 
     # Rows repeated with their id and text give the same places; none counts against itself.
-    got = texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "asked").mapInArrow(fetch, pieces_schema)
+    got = texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "asked").mapInArrow(fetch, BLOBS + ", hot boolean" * bool(shape.finer))
+    if shape.finer:
+        if hot.isEmpty():
+            got = got.drop("hot")
+        else:
+            got, more = by_longer_grams(materialise(got, f"{name}-blobs"), symbols, cut, bounds, shape, same_doc, name)
+            whole = whole.unionByName(more)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled: list[pa.RecordBatch] = []
@@ -452,6 +481,51 @@ def repeated_spans(
     return texts, whole.unionByName(got.repartition("key").sortWithinPartitions("key").mapInArrow(decide, SPANS))
 
 
+def hot_keys(open_: DataFrame) -> DataFrame:
+    return open_.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+
+
+def by_longer_grams(blobs: DataFrame, symbols: Callable, cut: Callable, bounds: Callable, shape: Shape, same_doc: bool, name: str) -> tuple[DataFrame, DataFrame]:
+    """The blobs to index, for open stretches of which some are ``hot``; and spans that
+    are settled.  Hot ones are cut into shorter stretches by each longer gram in turn.
+    Equal windows have equal keys by any gram, so they meet at each step or not at all."""
+    ready, settled = [blobs.where("not hot").drop("hot")], []
+    for gram in shape.finer:
+        every = materialise(finer_stretches(blobs.where("hot"), symbols, cut, Shape(shape.length, gram), same_doc), f"{name}-stretches-{gram}")
+        found = materialise(split_stretches(every.drop("blob"), same_doc), f"{name}-found-{gram}")
+        settled += [x.select(*PLACE[1:]) for x in (every.where("seen"), found.where("key is null"))]
+        open_ = found.where("key is not null")
+        again = every.where("not seen").select(*PLACE, "blob").join(open_, PLACE).join(hot_keys(open_), "key", "left")
+        blobs = materialise(again.withColumn("hot", F.coalesce("hot", F.lit(False))), f"{name}-blobs-{gram}")
+        ready.append(blobs.where("not hot").drop("hot"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                yield singly(batch.slice(at, 4096), bounds, same_doc)
+
+    ready.append(blobs.where("hot").drop("hot").mapInArrow(windows, BLOBS))
+    return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, settled)
+
+
+def finer_stretches(blobs: DataFrame, symbols: Callable, cut: Callable, shape: Shape, same_doc: bool) -> DataFrame:
+    """The stretches of blobs' windows, with their bytes."""
+    schema = STRETCH + ", blob binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, column="blob"):
+                doc, dig, first = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "digest", "start"))
+                data, offsets = binary(part.column("blob"))
+                text, at, count, key, content, own = stretches(*symbols(data, offsets), shape)
+                order, seen = ordered(key, content, doc[text], dig[text], first[text] + at, same_doc)
+                text, at, count, key, content, own = (x[order] for x in (text, at, count, key, content, own))
+                rows = batch_of(STRETCH, key.view(np.int64), content.view(np.int64), doc[text], dig[text], (first[text] + at).astype(np.int32), count.astype(np.int32), own & same_doc, seen)
+                yield rows.append_column("blob", cut(data, offsets, text, at, at + count + shape.length - 1))
+
+    return blobs.select(*PLACE, "blob").mapInArrow(run, schema)
+
+
 def singly(rows: pa.RecordBatch, bounds: Callable, same_doc: bool) -> pa.RecordBatch:
     """The windows of stretches as stretches of their own, by their digest.  Of equal
     ones only the first keeps its bytes; the others are settled: they have none."""

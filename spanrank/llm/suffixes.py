@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 
 from spanrank.llm import repeats
 from spanrank.llm.common import LAST
-from spanrank.llm.repeats import Shape, U
+from spanrank.llm.repeats import Shape, U, binary
 
 LENGTH, GRAM = 100, 32
+#: Grams, of eights of bytes, for stretches of very frequent keys.
+FINER = (64, 88)
 #: Tuples a queue keeps in memory, and tuples scanned at once.
 IN_MEMORY, SCANNED = 1 << 16, 1 << 15
 #: Symbols of a string of names up to which it is sorted by induction, if it is so many times longer.
@@ -377,12 +379,6 @@ def equal_windows(blobs: pa.Array, windows: np.ndarray, doc: np.ndarray, dig: np
     return flags
 
 
-def binary(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    _, offsets, data = blobs.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
-    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def bytes_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
@@ -408,7 +404,7 @@ def bounds(blobs: pa.Array, windows: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    shape = Shape(LENGTH, GRAM)
+    shape = Shape(LENGTH, GRAM, FINER)
     texts, spans = repeats.repeated_spans(docs, bytes_symbols, cut, bounds, equal_windows, shape, True, "suffixes")
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 

@@ -54,6 +54,25 @@ def test_suffix_dedup_of_hot_keys(spark, monkeypatch):
     assert collected(fmindex.op9(frame(spark, rows))) == sorted(brute.words_dedup(rows))
 
 
+def test_suffix_dedup_sends_few_bytes_of_hot_keys(spark, monkeypatch, tmp_path):
+    """A passage in many texts, each time amid other words: its edges' windows are not sorted one by one."""
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 8))) for _ in range(n))
+    passage = text(60)
+    rows = [(i, f"{text(30)} {passage} {text(30)}") for i in range(120)]
+    monkeypatch.setattr(repeats, "HOT", 30)
+    plain, folder = suffixes.equal_windows, str(tmp_path)
+
+    def noted(blobs, *rest):
+        Path(folder, str(random.SystemRandom().random())).write_text(str(int(np.diff(repeats.utf8(blobs.cast("string"))[1]).sum())))
+        return plain(blobs, *rest)
+
+    monkeypatch.setattr(suffixes, "equal_windows", noted)
+    assert collected(suffixes.op4(frame(spark, rows))) == sorted(brute.bytes_dedup(rows))
+    sent = sum(int(p.read_text()) for p in tmp_path.iterdir())
+    assert sent < 15 * 100 * len(rows) * 2  # two edges a text, of 68 windows and less
+
+
 @pytest.mark.parametrize("buckets", [2, 30000])
 def test_suffix_order_and_common_prefixes(tmp_path, monkeypatch, buckets):
     rng = np.random.default_rng(0)
