@@ -43,13 +43,15 @@ from spanrank.llm.repeats import U
 
 #: Words from one passage to the next; a passage has two such strides.
 STRIDE = 32
-RANK, EXTRA = 96, 8
+RANK, EXTRA, TINY = 96, 8, 1e-6
 #: Power of the inverse document frequency: common words would make all passages of
 #: a language alike.  Words of no item have no weight.  Items count so many times in the fit, so that the space holds them.
 POWER, EMPHASIS = 2, 20.0
 BLOCK, SCAN, MIN_ITEM = 512, 8, 8
 #: Bytes of word numbers worked on at once; numbers sorted words are summed by; terms to a partial sum.
-CODES, SUMMED, PART = 1 << 20, 1 << 14, 256
+CODES, SUMMED, PART = 1 << 19, 1 << 14, 256
+#: Most frequent words that are counted as a matrix, and strides at once.
+DENSE, AT_ONCE = 512, 2048
 #: Words of the longest item that the four strides around a passage surely hold.
 PIECE = 3 * STRIDE
 #: A word of more than this share of all documents is common: it takes no part in bounds.
@@ -214,7 +216,9 @@ class Items(Words):
         lo, n = heads[numbers[at]], heads[numbers[at] + 1] - heads[numbers[at]]
         row = np.repeat(stride, n)
         item = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        one = np.bincount(row * len(self.pieces) + item, minlength=len(start) * len(self.pieces)).reshape(len(start), len(self.pieces)).astype(np.int32)
+        # A word counts once for a piece, so four strides make at most 128.
+        one = np.zeros((len(start), len(self.pieces)), np.uint8)
+        np.add.at(one.reshape(-1), row * len(self.pieces) + item, np.uint8(1))
         out = one.copy()
         out[1:] += one[:-1]
         out[:-1] += one[1:]
@@ -224,12 +228,13 @@ class Items(Words):
     def possible(self, close: np.ndarray, numbers: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Of the close strides and pieces those where the words around can make a match."""
         there = self.hits(self.posted, numbers, start, close.any(axis=1))
-        half = close & (there >= self.half)
+        bounds = [np.maximum(x, 0).astype(np.uint8) for x in (self.half, self.most, self.tail)]  # PIECE words at most
+        half = close & (there >= bounds[0])
         if self.long or not half.any():
             return half
-        sure = half & (there >= self.most)
+        sure = half & (there >= bounds[1])
         left = half & ~sure
-        return sure | left & (self.hits(self.tail_posted, numbers, start, left.any(axis=1)) >= self.tail)
+        return sure | left & (self.hits(self.tail_posted, numbers, start, left.any(axis=1)) >= bounds[2])
 
     def telling(self, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Whether each row of word numbers has half of the item's words that aren't common."""
@@ -297,10 +302,29 @@ def document_frequencies(words: DataFrame, items: Words) -> tuple[int, np.ndarra
     return int(out[0]), out
 
 
-def strides(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def columns_of(weight: np.ndarray) -> np.ndarray:
+    """For each word number its column among the DENSE most frequent words, which weigh least, or -1."""
+    out = np.full(len(weight), -1, np.int64)
+    out[np.argsort(weight[1:], kind="stable")[:DENSE] + 1] = np.arange(min(DENSE, len(weight) - 1))
+    return out
+
+
+def counted(terms: np.ndarray, heads: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often strides have each word with a column, as a matrix; and a mark for the other words.
+
+    Most words of a text are among few: their sums are one matrix product."""
+    at, n = columns[terms], int(columns.max(initial=-1)) + 1
+    other = at < 0
+    stride = np.repeat(np.arange(len(heads) - 1) * n, np.diff(heads))
+    out = np.zeros((len(heads) - 1) * n, np.float32)
+    np.add.at(out, (stride + at)[~other], np.float32(1))
+    return out.reshape(len(heads) - 1, n), other
+
+
+def strides(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray, columns: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, latent vector) of every stride of words, and whether its text
     goes on after it.  ``terms`` are word numbers, ``rows`` their weighted vectors; number
-    0, a word of no item, weighs nothing."""
+    0, a word of no item, weighs nothing.  ``columns``: see :func:`columns_of`."""
     sizes = np.diff(counts)
     number = -(-sizes // STRIDE)
     text = np.repeat(np.arange(len(sizes)), number)
@@ -308,67 +332,83 @@ def strides(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np
     vectors = np.empty((len(start), rows.shape[1]), np.float32)
     if not len(start):
         return text, start, vectors, np.empty(0, bool)
+    columns = np.full(len(rows), -1, np.int64) if columns is None else columns
+    often = rows[np.argsort(columns, kind="stable")[int((columns < 0).sum()) :]]
     used = np.flatnonzero(terms)  # words of no item add nothing
     heads = np.append(np.searchsorted(used, start), len(used))
-    for a in range(0, len(start), 2048):  # some strides at a time, so that the words' rows stay few
-        b = min(len(start), a + 2048)
-        lo, hi = heads[a], heads[b]
-        vectors[a:b] = np.add.reduceat(rows[np.append(terms[used[lo:hi]], 0)], heads[a:b] - lo, axis=0)
-        vectors[a:b][heads[a + 1 : b + 1] == heads[a:b]] = 0
+    for a in range(0, len(start), AT_ONCE):  # some strides at a time, so that the words' rows stay few
+        b = min(len(start), a + AT_ONCE)
+        own = terms[used[heads[a] : heads[b]]]
+        many, other = counted(own, heads[a : b + 1] - heads[a], columns)
+        left = np.append(0, np.cumsum(other))[heads[a : b + 1] - heads[a]]
+        vectors[a:b] = np.add.reduceat(rows[np.append(own[other], 0)], left[:-1], axis=0)
+        vectors[a:b][left[1:] == left[:-1]] = 0
+        vectors[a:b] += many @ often
     return text, start, vectors, np.append(text[1:] == text[:-1], False)
 
 
 def doubled(vectors: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Each stride's vector plus the next one's of its text."""
     both = vectors.copy()
-    both[more] += vectors[1:][more[:-1]]
+    both[:-1] += vectors[1:] * more[:-1, None]
     return both
 
 
-def squared(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray, total: np.ndarray) -> None:
+def squared(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray, total: np.ndarray, columns: np.ndarray | None = None) -> None:
     """Add to ``total`` the product of the passages' matrix, turned, and their vectors.
 
     A passage is two strides, or what the text has; so a word gets the vectors of the
     passages that begin with its stride and with the one before."""
-    text, start, vectors, more = strides(terms, counts, rows)
+    columns = np.full(len(rows), -1, np.int64) if columns is None else columns
+    text, start, vectors, more = strides(terms, counts, rows, columns)
     made = doubled(vectors, more)
     made[~more & (start > counts[:-1][text])] = 0  # a last stride is in the passage before
     back = made.copy()
-    back[1:][more[:-1]] += made[:-1][more[:-1]]
+    back[1:] += made[:-1] * more[:-1, None]
+    often = np.argsort(columns, kind="stable")[int((columns < 0).sum()) :]
     used = np.flatnonzero(terms)
-    stride = np.searchsorted(start, used, "right") - 1
-    order = np.argsort(terms[used].astype(np.uint16 if len(rows) < 1 << 16 else np.int64), kind="stable")
-    for lo in range(0, len(order), SUMMED):
-        some = order[lo : lo + SUMMED]
-        own = terms[used[some]]
-        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        total[own[heads]] += np.add.reduceat(back[stride[some]], heads, axis=0)
+    heads = np.append(np.searchsorted(used, start), len(used))
+    for a in range(0, len(start), AT_ONCE):
+        b = min(len(start), a + AT_ONCE)
+        some = terms[used[heads[a] : heads[b]]]
+        many, other = counted(some, heads[a : b + 1] - heads[a], columns)
+        total[often] += many.T @ back[a:b]
+        stride = a + np.repeat(np.arange(b - a), np.diff(heads[a : b + 1]))[other]
+        some = some[other]
+        order = np.argsort(some.astype(np.uint16 if len(rows) < 1 << 16 else np.int64), kind="stable")
+        for lo in range(0, len(order), SUMMED):
+            at = order[lo : lo + SUMMED]
+            own = some[at]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            total[own[first]] += np.add.reduceat(back[stride[at]], first, axis=0)
 
 
 def latent_spaces(words: DataFrame, every: Words, blocks: list[tuple[Items, np.ndarray]]) -> list[np.ndarray]:
     """For each block an orthonormal base (terms x RANK) by randomised SVD with one power
-    step, on all passages of all documents.
+    step, on all passages of all documents.  Nystrom's form takes the singular values from
+    the last product itself, so it needs no third one for them.
 
     The passage matrix is never formed: each product with it is summed over the
     executors' passages, terms x (RANK + EXTRA) numbers a block and task, and these by
     PART terms on the executors again."""
     kind, schema = code_type(every), "block int, part int, task int, sum binary"
     lookups = [lookup(every, items) for items, _ in blocks]
+    columns = [columns_of(weight) for _, weight in blocks]
     context = words.sparkSession.sparkContext
 
     def products(rights: list[np.ndarray]) -> list[np.ndarray]:
         """A'A right, A the TF-IDF passages of a block."""
         rows = [(weight[:, None] * right).astype(np.float32) for (_, weight), right in zip(blocks, rights, strict=True)]
-        held = context.broadcast((rows, lookups))
+        held = context.broadcast((rows, lookups, columns))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows, lookups = held.value
+            rows, lookups, columns = held.value
             totals = [np.zeros(r.shape) for r in rows]
             for batch in batches:
                 for piece in repeats.pieces(batch, CODES, "codes"):
                     numbers, counts = read_codes(piece.column("codes"), kind)
-                    for own, right, total in zip(lookups, rows, totals, strict=True):
-                        squared(own[numbers], counts, right, total)
+                    for own, right, total, often in zip(lookups, rows, totals, columns, strict=True):
+                        squared(own[numbers], counts, right, total, often)
             task = TaskContext.get().partitionId()
             for block, total in enumerate(totals):
                 for part, at in enumerate(range(0, len(total), PART)):
@@ -402,13 +442,13 @@ def latent_spaces(words: DataFrame, every: Words, blocks: list[tuple[Items, np.n
 
     draw = lambda n: np.random.default_rng(0).standard_normal((n, min(n, RANK + EXTRA)))
     bases = [np.linalg.qr(draw(len(weight)))[0] for _, weight in blocks]
-    for _ in range(2):
-        bases = [np.linalg.qr(x)[0] for x in products(bases)]
+    bases = [np.linalg.qr(x)[0] for x in products(bases)]
     out = []
     for base, made in zip(bases, products(bases), strict=True):
         small = base.T @ made
         values, vectors = np.linalg.eigh((small + small.T) / 2)
-        out.append(base @ vectors[:, np.argsort(values)[::-1][:RANK]])
+        some = values > TINY * values.max(initial=0)
+        out.append(np.linalg.svd(made @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)[0][:, :RANK])
     return out
 
 
@@ -422,6 +462,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(size == 0, 1, size)
 
 
+def close_pairs(vectors: np.ndarray, more: np.ndarray, wanted: np.ndarray, near: float) -> np.ndarray:
+    """For each stride and unit vector whether their cosine is ``near`` at least, or that of
+    the stride and the next one together."""
+    out = np.zeros((len(vectors), len(wanted)), bool)
+    made = vectors @ wanted.T
+    for x, sums in ((vectors, made), (doubled(vectors, more), doubled(made, more))):
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        out |= sums >= np.where(size == 0, np.inf, near * size)[:, None].astype(np.float32)
+    return out
+
+
 def lcs(rows: np.ndarray, masks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each row, and an item of so many words, their longest common subsequence.
 
@@ -520,23 +571,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> D
     for at in range(0, len(weighed), SCAN):
         some = weighed[at : at + SCAN]
         for (items, weight), base in zip(some, latent_spaces(words, every, some), strict=True):
-            ready.append((items, lookup(every, items), (weight[:, None] * base).astype(np.float32)))
+            ready.append((items, lookup(every, items), (weight[:, None] * base).astype(np.float32), columns_of(weight)))
 
-    def search(some: list[tuple[Items, np.ndarray, np.ndarray]]) -> DataFrame:
+    def search(some: list[tuple[Items, np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
         # At most SCAN * BLOCK pieces, and RANK numbers for each of their words.
         shared = spark.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sought = [(own, known, rows, unit(np.stack([rows[own.numbers(w)].sum(axis=0) for w in own.pieces])), {}) for own, known, rows in shared.value]
+            sought = [(own, known, rows, often, unit(np.stack([rows[own.numbers(w)].sum(axis=0) for w in own.pieces])), {}) for own, known, rows, often in shared.value]
             for batch in batches:
                 for part in repeats.pieces(batch, CODES, "codes"):
                     codes, counts = read_codes(part.column("codes"), kind_of_code)
                     best: dict[tuple, float] = {}
-                    for own, known, rows, wanted, made in sought if len(codes) else ():
+                    for own, known, rows, often, wanted, made in sought if len(codes) else ():
                         numbers = known[codes]
-                        text, start, vectors, more = strides(numbers, counts, rows)
+                        text, start, vectors, more = strides(numbers, counts, rows, often)
                         # A stride by itself serves short items, two together long ones.
-                        close = np.maximum(unit(vectors) @ wanted.T, unit(doubled(vectors, more)) @ wanted.T) >= near
+                        close = close_pairs(vectors, more, wanted, near)
                         at, piece = np.nonzero(own.possible(close, numbers, start))
                         pairs = (text[at], start[at], piece)
                         for t, i, share in compare_long(own, made, numbers, counts, *pairs) if own.long else compare(own, numbers, counts, *pairs):

@@ -453,6 +453,31 @@ def test_latent_space_of_all_documents(spark):
     assert np.abs(got - np.diag(np.diag(got))).max() < 1e-4 * np.abs(got).max()
 
 
+def test_latent_space_takes_two_passes(spark, monkeypatch):
+    """The words of all documents are read twice for a base, and frequent words as a matrix sum up as others do."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choice(vocabulary[: r.choice([10, 400])]) for _ in range(r.choice([0, 5, 70, 200]))) for _ in range(300)]
+    items = decontaminate.Items([1], [" ".join(vocabulary[:90])])
+    words = decontaminate.coded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items)
+    read, plain = [], type(words).select
+    monkeypatch.setattr(type(words), "select", lambda self, *c: (read.append(c) if self is words else None, plain(self, *c))[1])
+    weight = np.append(0, np.linspace(0.5, 3, 90))
+    base = decontaminate.latent_spaces(words, items, [(items, weight)])[0]
+    assert len(read) == 2 and np.allclose(base.T @ base, np.eye(base.shape[1]), atol=1e-6)
+    numbers, counts = items.numbers(decontaminate.read_words(__import__("pyarrow").array(texts))[0]), decontaminate.read_words(__import__("pyarrow").array(texts))[1]
+    rows = (weight[:, None] * np.random.default_rng(0).standard_normal((91, 9))).astype(np.float32)
+    monkeypatch.setattr(decontaminate, "DENSE", 20)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 7)
+    got, want = np.zeros((91, 9)), np.zeros((91, 9))
+    decontaminate.squared(numbers, counts, rows, got, decontaminate.columns_of(weight))
+    for lo, hi in zip(counts[:-1], counts[1:]):
+        for at in range(lo, max(lo + 1, hi - decontaminate.STRIDE), decontaminate.STRIDE):
+            some = np.bincount(numbers[at : min(hi, at + 2 * decontaminate.STRIDE)], minlength=91) * (np.arange(91) > 0)
+            want += np.outer(some, some @ rows)
+    assert np.abs(got - want).max() < 1e-4 * np.abs(want).max()
+
+
 def test_decontamination_by_long_items(spark):
     r = random.Random(4)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(3000)]
