@@ -65,10 +65,16 @@ LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <
 
 def read_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Digests of the words in lower case without signs, and the texts' offsets in them."""
+    digests, coded, counts = different_words(column)
+    return digests[coded], counts
+
+
+def different_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as different digests and for each word the place of its own, and the offsets."""
     data, offsets = repeats.utf8(column)
     data = np.frombuffer(data.tobytes().translate(LETTERS.tobytes()), np.uint8)
     starts, ends, counts = repeats.words_at(data, offsets)
-    return repeats.word_symbols(data, starts, ends), counts
+    return *repeats.word_digests(data, starts, ends), counts
 
 
 def tiled(n: int) -> list[tuple[int, int]]:
@@ -258,8 +264,8 @@ def coded(texts: DataFrame, items: Words) -> DataFrame:
         own = held.value
         for batch in batches:
             for part in repeats.pieces(batch):
-                words, counts = read_words(part.column("text"))
-                data = own.numbers(words).astype(kind)
+                digests, coded, counts = different_words(part.column("text"))
+                data = own.numbers(digests).astype(kind)[coded]
                 offsets = (counts * data.itemsize).astype(np.int32)
                 codes = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), codes], names=["doc_id", "codes"])

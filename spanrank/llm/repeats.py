@@ -149,11 +149,17 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return list(number), same[coded]
 
 
-def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A digest (XXH3, 64 bits) of each word's bytes."""
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests (XXH3, 64 bits) of the words' bytes, and for each word the place of its own."""
     words, coded = coded_words(data, starts, ends)
     make = xxhash.xxh3_64_intdigest
-    return np.fromiter((make(w.rstrip(BLANK)) for w in words), U, len(words))[coded]
+    return np.fromiter((make(w.rstrip(BLANK)) for w in words), U, len(words)), coded
+
+
+def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A digest of each word's bytes."""
+    digests, coded = word_digests(data, starts, ends)
+    return digests[coded]
 
 
 def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
