@@ -434,8 +434,6 @@ def repeated_spans(
     whole = every.where("seen").select("doc", "digest", "start", "windows").unionByName(found.where("key is null").select("doc", "digest", "start", "windows"))
     open_ = found.where("key is not null")
     hot = hot_keys(open_)
-
-    wanted = open_.join(hot, "key", "left").groupBy("doc", "digest").agg(F.collect_list(F.struct("key", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
     names = [*PLACE, "blob"]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,20 +447,29 @@ def repeated_spans(
                 blob = cut(*utf8(part.column("text")), text, start, start + windows + shape.length - 1)
                 doc, dig = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "digest"))
                 batch_ = pa.RecordBatch.from_arrays([*map(pa.array, (key, doc, dig, start, windows)), blob], names=names)
-                if shape.finer:
-                    yield batch_.append_column("hot", pa.array(hot))
-                    continue
                 yield batch_.filter(pa.array(~hot))
                 for at in range(0, len(many := np.flatnonzero(hot)), 4096):
                     yield singly(batch_.take(pa.array(many[at : at + 4096])), bounds, same_doc)
 
-    # Rows repeated with their id and text give the same places; none counts against itself.
-    got = texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "asked").mapInArrow(fetch, BLOBS + ", hot boolean" * bool(shape.finer))
-    if shape.finer:
+    def fetched(texts: DataFrame, places: DataFrame) -> DataFrame:
+        """The bytes of open stretches (PLACE, hot), hot ones' windows singly."""
+        wanted = places.groupBy("doc", "digest").agg(F.collect_list(F.struct("key", "start", "windows", "hot")).alias("asked"))
+        # Rows repeated with their id and text give the same places; none counts against itself.
+        return texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "asked").mapInArrow(fetch, BLOBS)
+
+    if not shape.finer:
+        got = fetched(texts, open_.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+    else:
+        whole_ones = lambda places: places.select(*PLACE, F.lit(False).alias("hot"))
         if hot.isEmpty():
-            got = got.drop("hot")
+            got = fetched(texts, whole_ones(open_))
         else:
-            got, more = by_longer_grams(materialise(got, f"{name}-blobs"), symbols, cut, bounds, shape, same_doc, name)
+            # Only texts with hot stretches are dealt a second time: the other open ones are
+            # fetched in the plan that deals all texts for their spans, which does so once.
+            many = open_.join(hot, "key", "left_semi")
+            blobs = materialise(fetched(marked(texts, many), whole_ones(many)), f"{name}-blobs")
+            ready, more = by_longer_grams(blobs, symbols, cut, bounds, shape, same_doc, name)
+            got = fetched(texts, whole_ones(open_.join(hot, "key", "left_anti"))).unionByName(ready)
             whole = whole.unionByName(more)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,26 +498,48 @@ def hot_keys(open_: DataFrame) -> DataFrame:
     return open_.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
 
 
+#: Bits of the mark for texts with hot stretches.
+MARKS = 1 << 24
+
+
+def marked(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """The texts that have some of the places, and few others: by one bit for each digest
+    of id and text, MARKS in all, so that what is sent to all tasks is of a fixed size."""
+    bit = F.pmod(F.xxhash64("doc", "digest"), F.lit(MARKS))
+    bytes_ = places.select(bit.alias("bit")).groupBy(F.expr("cast(bit div 8 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 as int)))").alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 8, np.uint8)
+    marks[bytes_.column("at").to_numpy()] = bytes_.column("bits").to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(marks)
+
+    @F.arrow_udf("boolean")
+    def some(bit: pa.Array) -> pa.Array:
+        at = bit.to_numpy(zero_copy_only=False)
+        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return texts.where(some(bit))
+
+
 def by_longer_grams(blobs: DataFrame, symbols: Callable, cut: Callable, bounds: Callable, shape: Shape, same_doc: bool, name: str) -> tuple[DataFrame, DataFrame]:
-    """The blobs to index, for open stretches of which some are ``hot``; and spans that
-    are settled.  Hot ones are cut into shorter stretches by each longer gram in turn.
+    """The blobs to index, for open stretches with very frequent keys; and spans that are
+    settled.  They are cut into shorter stretches by each longer gram in turn.
     Equal windows have equal keys by any gram, so they meet at each step or not at all."""
-    ready, settled = [blobs.where("not hot").drop("hot")], []
+    ready, settled = [], []
     for gram in shape.finer:
-        every = materialise(finer_stretches(blobs.where("hot"), symbols, cut, Shape(shape.length, gram), same_doc), f"{name}-stretches-{gram}")
+        every = materialise(finer_stretches(blobs, symbols, cut, Shape(shape.length, gram), same_doc), f"{name}-stretches-{gram}")
         found = materialise(split_stretches(every.drop("blob"), same_doc), f"{name}-found-{gram}")
         settled += [x.select(*PLACE[1:]) for x in (every.where("seen"), found.where("key is null"))]
         open_ = found.where("key is not null")
         again = every.where("not seen").select(*PLACE, "blob").join(open_, PLACE).join(hot_keys(open_), "key", "left")
-        blobs = materialise(again.withColumn("hot", F.coalesce("hot", F.lit(False))), f"{name}-blobs-{gram}")
-        ready.append(blobs.where("not hot").drop("hot"))
+        both = materialise(again.withColumn("hot", F.coalesce("hot", F.lit(False))), f"{name}-blobs-{gram}")
+        ready.append(both.where("not hot").drop("hot"))
+        blobs = both.where("hot").drop("hot")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 yield singly(batch.slice(at, 4096), bounds, same_doc)
 
-    ready.append(blobs.where("hot").drop("hot").mapInArrow(windows, BLOBS))
+    ready.append(blobs.mapInArrow(windows, BLOBS))
     return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, settled)
 
 

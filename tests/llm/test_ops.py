@@ -73,6 +73,23 @@ def test_suffix_dedup_sends_few_bytes_of_hot_keys(spark, monkeypatch, tmp_path):
     assert sent < 15 * 100 * len(rows) * 2  # two edges a text, of 68 windows and less
 
 
+def test_suffix_dedup_deals_only_texts_with_hot_keys_twice(spark, monkeypatch):
+    """Texts are dealt by id for their spans; for the bytes of very frequent keys only those that have some are dealt before."""
+    r = random.Random(7)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 8))) for _ in range(n))
+    passage, rare = text(60), text(60)
+    rows = [(i, f"{text(30)} {passage if i < 40 else rare if i < 44 else text(20)} {text(30)}") for i in range(200)]
+    monkeypatch.setattr(repeats, "HOT", 30)
+    plain, written = repeats.materialise, {}
+    monkeypatch.setattr(repeats, "materialise", lambda df, name: written.setdefault(name, plain(df, name)))
+    monkeypatch.setattr(repeats, "MARKS", 1 << 16)
+    out = suffixes.op4(frame(spark, rows))
+    assert collected(out) == sorted(brute.bytes_dedup(rows))
+    assert {r["doc"] for r in written["suffixes-blobs"].collect()} == set(range(40))
+    monkeypatch.setattr(repeats, "MARKS", 8)  # marks that hit nearly every text
+    assert collected(suffixes.op4(frame(spark, rows))) == sorted(brute.bytes_dedup(rows))
+
+
 @pytest.mark.parametrize("buckets", [2, 30000])
 def test_suffix_order_and_common_prefixes(tmp_path, monkeypatch, buckets):
     rng = np.random.default_rng(0)
