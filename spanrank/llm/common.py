@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanrank.session import ship
+from spanrank.session import materialise, shared_dir, ship
 
 __all__ = ["KEPT", "LAST", "SPACE", "let_go", "materialise", "only", "sha256_hex", "shared_dir", "ship", "table", "text_of", "words_of"]
 #: What separates words everywhere in this subpackage (fixed by the contracts).
@@ -33,30 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one of
-    this process where the session names none (tests on one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="spanrank-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return spark.sparkContext.getCheckpointDir()
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and
-    a lost executor costs nothing that was finished."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(df: DataFrame) -> Column:
     """The text, a null counting as empty."""
     return F.coalesce(df["text"].cast("string"), F.lit(""))
