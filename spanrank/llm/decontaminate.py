@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +50,9 @@ RANK, EXTRA, TINY = 96, 8, 1e-6
 POWER, EMPHASIS = 2, 20.0
 BLOCK, SCAN, MIN_ITEM = 512, 8, 8
 #: Bytes of word numbers worked on at once; numbers sorted words are summed by; terms to a partial sum.
-CODES, SUMMED, PART = 1 << 19, 1 << 14, 256
+CODES, SUMMED, PART = 1 << 18, 1 << 14, 256
 #: Most frequent words that are counted as a matrix, and strides at once.
-DENSE, AT_ONCE = 512, 2048
+DENSE, AT_ONCE = 256, 512
 #: Words of the longest item that the four strides around a passage surely hold.
 PIECE = 3 * STRIDE
 #: A word of more than this share of all documents is common: it takes no part in bounds.
@@ -59,6 +60,8 @@ OFTEN = 0.1
 #: An answer is the last sentence, or so many last words where that is shorter.
 MIN_ANSWER = 8
 NEAR, MOST, HALF, ANSWER = 0.2, 0.7, 0.55, 0.85
+#: Bytes of a word that its short key tells apart.
+SHORT = 16
 #: Bytes to letters: ASCII letters in lower case, digits, what lies beyond ASCII; all else divides words.
 LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
@@ -71,10 +74,26 @@ def read_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def different_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same as different digests and for each word the place of its own, and the offsets."""
+    data, starts, ends, counts = placed_words(column)
+    return *repeats.word_digests(data, starts, ends), counts
+
+
+def placed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' letters, where words start and end in them, and the texts' offsets in words."""
     data, offsets = repeats.utf8(column)
     data = np.frombuffer(data.tobytes().translate(LETTERS.tobytes()), np.uint8)
-    starts, ends, counts = repeats.words_at(data, offsets)
-    return *repeats.word_digests(data, starts, ends), counts
+    return data, *repeats.words_at(data, offsets)
+
+
+def short_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A digest of each word's first and last eight bytes and its length: of words of SHORT
+    bytes and less as much as of all bytes."""
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # at each byte, with the seven after it
+    size = ends - starts
+    spare = (8 * np.maximum(8 - size, 0)).astype(U)  # bits of the bytes beyond a word of less than eight
+    first = eight[starts + 8] << spare
+    return repeats.mix(repeats.mix(first + size.astype(U) * repeats.C1) ^ np.where(size > 8, eight[ends], U(0)))
 
 
 def tiled(n: int) -> list[tuple[int, int]]:
@@ -130,12 +149,41 @@ class Words:
         return out
 
 
+class Numbers:
+    """The numbers of :class:`Words` for words of texts, of which few have to be digested."""
+
+    def __init__(self, items: Words, texts: list[str]):
+        data, starts, ends, _ = placed_words(pa.array(texts, pa.string()))
+        digests, coded = repeats.word_digests(data, starts, ends)
+        self.items = items
+        self.keys, first = np.unique(short_keys(data, starts, ends), return_index=True)
+        self.number = np.append(items.numbers(digests[coded][first]), 0)
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[(self.keys >> U(44)).astype(np.int64)] = True
+
+    def of(self, column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers, 0 for other words, and the texts' offsets in them."""
+        data, starts, ends, counts = placed_words(column)
+        out = np.zeros(len(starts), kind)
+        keys = short_keys(data, starts, ends)
+        maybe = np.flatnonzero(self.filter[(keys >> U(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+        same = self.keys[at] == keys[maybe]
+        maybe, at = maybe[same], at[same]
+        out[maybe] = self.number[at]
+        # Of longer words the bytes between count too.
+        long = maybe[ends[maybe] - starts[maybe] > SHORT]
+        digests = np.array([xxhash.xxh3_64_intdigest(data[a:b].tobytes()) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], U)
+        out[long] = self.items.numbers(digests)
+        return out, counts
+
+
 class Items(Words):
     """The items of one block, ready for comparison: all of at most PIECE words, or all longer."""
 
     def __init__(self, ids: list, texts: list[str]):
         words, counts = read_words(pa.array(texts, pa.string()))
-        self.ids = ids
+        self.ids, self.texts = ids, texts
         self.words = [words[a:b] for a, b in zip(counts[:-1], counts[1:], strict=True)]
         self.lengths = np.diff(counts)
         super().__init__(words)
@@ -254,18 +302,19 @@ class Items(Words):
         return out
 
 
-def coded(texts: DataFrame, items: Words) -> DataFrame:
+def coded(texts: DataFrame, items: Numbers | Items) -> DataFrame:
     """doc_id, and the words of the text as numbers of the items' words, end to end."""
-    kind = code_type(items)
+    items = Numbers(items, items.texts) if isinstance(items, Items) else items
+    kind = code_type(items.items)
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, codes binary"
     held = texts.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        repeats.keep()
         for batch in batches:
             for part in repeats.pieces(batch):
-                digests, coded, counts = different_words(part.column("text"))
-                data = own.numbers(digests).astype(kind)[coded]
+                data, counts = own.of(part.column("text"), kind)
                 offsets = (counts * data.itemsize).astype(np.int32)
                 codes = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), codes], names=["doc_id", "codes"])
@@ -327,10 +376,11 @@ def counted(terms: np.ndarray, heads: np.ndarray, columns: np.ndarray) -> tuple[
     return out.reshape(len(heads) - 1, n), other
 
 
-def strides(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray, columns: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def strides(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray, columns: np.ndarray | None = None, kept: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, latent vector) of every stride of words, and whether its text
     goes on after it.  ``terms`` are word numbers, ``rows`` their weighted vectors; number
-    0, a word of no item, weighs nothing.  ``columns``: see :func:`columns_of`."""
+    0, a word of no item, weighs nothing.  ``columns``: see :func:`columns_of`.  ``kept``
+    gets what is counted, for AT_ONCE strides at a time."""
     sizes = np.diff(counts)
     number = -(-sizes // STRIDE)
     text = np.repeat(np.arange(len(sizes)), number)
@@ -346,6 +396,8 @@ def strides(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray, columns: np
         b = min(len(start), a + AT_ONCE)
         own = terms[used[heads[a] : heads[b]]]
         many, other = counted(own, heads[a : b + 1] - heads[a], columns)
+        if kept is not None:
+            kept.append((own, many, other))
         left = np.append(0, np.cumsum(other))[heads[a : b + 1] - heads[a]]
         vectors[a:b] = np.add.reduceat(rows[np.append(own[other], 0)], left[:-1], axis=0)
         vectors[a:b][left[1:] == left[:-1]] = 0
@@ -366,7 +418,7 @@ def squared(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray, total: np.n
     A passage is two strides, or what the text has; so a word gets the vectors of the
     passages that begin with its stride and with the one before."""
     columns = np.full(len(rows), -1, np.int64) if columns is None else columns
-    text, start, vectors, more = strides(terms, counts, rows, columns)
+    text, start, vectors, more = strides(terms, counts, rows, columns, kept := [])
     made = doubled(vectors, more)
     made[~more & (start > counts[:-1][text])] = 0  # a last stride is in the passage before
     back = made.copy()
@@ -374,10 +426,8 @@ def squared(terms: np.ndarray, counts: np.ndarray, rows: np.ndarray, total: np.n
     often = np.argsort(columns, kind="stable")[int((columns < 0).sum()) :]
     used = np.flatnonzero(terms)
     heads = np.append(np.searchsorted(used, start), len(used))
-    for a in range(0, len(start), AT_ONCE):
+    for a, (some, many, other) in zip(range(0, len(start), AT_ONCE), kept, strict=True):
         b = min(len(start), a + AT_ONCE)
-        some = terms[used[heads[a] : heads[b]]]
-        many, other = counted(some, heads[a : b + 1] - heads[a], columns)
         total[often] += many.T @ back[a:b]
         stride = a + np.repeat(np.arange(b - a), np.diff(heads[a : b + 1]))[other]
         some = some[other]
@@ -409,6 +459,7 @@ def latent_spaces(words: DataFrame, every: Words, blocks: list[tuple[Items, np.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, lookups, columns = held.value
+            repeats.keep()
             totals = [np.zeros(r.shape) for r in rows]
             for batch in batches:
                 for piece in repeats.pieces(batch, CODES, "codes"):
@@ -565,7 +616,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> D
     if not blocks:
         return spark.createDataFrame([], schema)
 
-    words = coded(texts, every := Words(np.concatenate([x.known for x in blocks])))
+    every = Words(np.concatenate([x.known for x in blocks]))
+    words = coded(texts, Numbers(every, [r["text"].lower() for r in asked]))
     kind_of_code = code_type(every)
     n, found = document_frequencies(words, every)
     weighed = []
@@ -584,6 +636,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> D
         shared = spark.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            repeats.keep()
             sought = [(own, known, rows, often, unit(np.stack([rows[own.numbers(w)].sum(axis=0) for w in own.pieces])), {}) for own, known, rows, often in shared.value]
             for batch in batches:
                 for part in repeats.pieces(batch, CODES, "codes"):

@@ -274,6 +274,13 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def keep() -> None:
+    """Let this worker use freed memory again, until :func:`trim`, in place of new pages for each large array."""
+    with contextlib.suppress(OSError, AttributeError):
+        for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            ctypes.CDLL(None).mallopt(option, 1 << 30)
+
+
 def pieces(batch: pa.RecordBatch, most: int = 1 << 22, column: str = "text") -> Iterator[pa.RecordBatch]:
     """A batch cut into runs of rows of about ``most`` bytes of text, or of another column."""
     let_go()

@@ -90,6 +90,31 @@ def test_suffix_dedup_deals_only_texts_with_hot_keys_twice(spark, monkeypatch):
     assert collected(suffixes.op4(frame(spark, rows))) == sorted(brute.bytes_dedup(rows))
 
 
+def test_words_of_no_item_are_not_digested(monkeypatch):
+    """Numbers of words are those by whole digests; words that no item has are told apart without one."""
+    import pyarrow as pa
+    import xxhash
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("ab\u00e9") for _ in range(n))
+    words = [word(r.randint(1, 12)) for _ in range(150)] + [word(8) + word(n) + "abcdefgh" for n in (0, 1, 4, 9, 40) for _ in range(4)]
+    long = "aaaaaaaa{}bbbbbbbb"
+    items = [" ".join(words[::3]), long.format("xyz") + ", " + long.format("xyw"), ""]
+    texts = [" ".join(r.choice(words) for _ in range(400)), "", long.format("xyz") + " " + long.format("qqq") + "!" + long.format("xyw"), "A a B.b  ab"]
+    texts = [t.lower() for t in texts]
+    every = decontaminate.Words(decontaminate.read_words(pa.array(items, pa.string()))[0])
+    numbers = decontaminate.Numbers(every, items)
+    digests, counts = decontaminate.read_words(pa.array(texts, pa.string()))
+    plain, asked = xxhash.xxh3_64_intdigest, []
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: (asked.append(w), plain(w))[1])
+    got, offsets = numbers.of(pa.array(texts, pa.string()), np.uint16)
+    assert got.tolist() == every.numbers(digests).tolist() and offsets.tolist() == counts.tolist()
+    assert 0 < np.count_nonzero(got) < len(got)
+    assert all(len(w) > decontaminate.SHORT for w in asked)
+    none = decontaminate.Numbers(decontaminate.Words(np.empty(0, np.uint64)), [""])
+    assert not none.of(pa.array(texts, pa.string()), np.uint16)[0].any()
+
+
 @pytest.mark.parametrize("buckets", [2, 30000])
 def test_suffix_order_and_common_prefixes(tmp_path, monkeypatch, buckets):
     rng = np.random.default_rng(0)
